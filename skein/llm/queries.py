@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import merkle, mixing, secrets
+from pyspark.sql import functions as F
+
+from . import merkle, mixing, packing, secrets, topk
 from .common import read
 
 
@@ -10,6 +12,14 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_to_weights(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     found, _ = secrets.scan(read(spark, sf_dir, "documents"))
     return secrets.digest(found)
@@ -19,5 +29,5 @@ def op10_merkle_fingerprints(spark, sf_dir):
     return merkle.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op9_secret_scan, op10_merkle_fingerprints)}
-ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op9_secret_scan": secrets.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_top_k, op4_best_fit_packing, op9_secret_scan, op10_merkle_fingerprints)}
+ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_secret_scan": secrets.ORACLE}
