@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, packing, secrets, topk
+from . import langid, merkle, mixing, packing, quality, secrets, topk, toxicity
 from .common import read
 
 
@@ -20,6 +20,30 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def _predicted(scored, of, rest):
+    held = langid.held_out(F.col("doc_id"), of, rest)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_quality_neighbours(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, ~langid.held_out(F.col("doc_id"), 5, 0))
+    return _predicted(quality.score(docs, model), 5, 0)
+
+
+def op6_toxicity_nnpu(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, ~langid.held_out(F.col("doc_id"), 4, 2))
+    return _predicted(toxicity.score(docs, model), 4, 2)
+
+
+def op8_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    net = langid.fit(docs, ~held)
+    return langid.identify(docs, net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_secret_scan(spark, sf_dir):
     found, _ = secrets.scan(read(spark, sf_dir, "documents"))
     return secrets.digest(found)
@@ -29,5 +53,5 @@ def op10_merkle_fingerprints(spark, sf_dir):
     return merkle.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_top_k, op4_best_fit_packing, op9_secret_scan, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_top_k, op4_best_fit_packing, op5_quality_neighbours, op6_toxicity_nnpu, op8_language_id, op9_secret_scan, op10_merkle_fingerprints)}
 ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_secret_scan": secrets.ORACLE}
