@@ -1,65 +1,21 @@
-"""Shared helpers: durable intermediates, size-checked broadcasts, byte views of Arrow text."""
+"""Shared helpers: table reading and byte views of Arrow text."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_KEPT: list[str] = []
+from skein.plans.durable import durable, partitions, release, shared_dir, small_enough
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs no more than the tasks that were
-    running.  Call :func:`release` when the results that read the tables are written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _KEPT.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> int:
-    """Deletes the tables :func:`durable` has written in this session; returns how many."""
-    n = 0
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _KEPT:
-        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
+__all__ = ["durable", "one_thread", "partitions", "read", "release", "shared_dir", "small_enough", "split_batches", "text_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
-    return df.select(F.lit(1).alias("one")).limit(rows + 1).count() <= rows
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def text_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string array and its n+1 offsets, without a copy; nulls are empty."""
     import pyarrow as pa

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, merkle, mixing, packing, quality, secrets, topk, toxicity
+from . import jaccard, langid, merkle, mixing, packing, quality, secrets, topk, toxicity
 from .common import read
 
 
@@ -37,6 +37,10 @@ def op6_toxicity_nnpu(spark, sf_dir):
     return _predicted(toxicity.score(docs, model), 4, 2)
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op8_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"), 4, 2)
@@ -53,5 +57,5 @@ def op10_merkle_fingerprints(spark, sf_dir):
     return merkle.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_top_k, op4_best_fit_packing, op5_quality_neighbours, op6_toxicity_nnpu, op8_language_id, op9_secret_scan, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_top_k, op4_best_fit_packing, op5_quality_neighbours, op6_toxicity_nnpu, op7_ngram_jaccard, op8_language_id, op9_secret_scan, op10_merkle_fingerprints)}
 ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_secret_scan": secrets.ORACLE}
