@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, merkle, mixing, packing, quality, secrets, topk, toxicity
+from . import jaccard, langid, merkle, mixing, packing, quality, secrets, suffix_dedup, topk, toxicity
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix_to_weights(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_exact_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -57,5 +61,5 @@ def op10_merkle_fingerprints(spark, sf_dir):
     return merkle.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_exact_top_k, op4_best_fit_packing, op5_quality_neighbours, op6_toxicity_nnpu, op7_ngram_jaccard, op8_language_id, op9_secret_scan, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_suffix_dedup, op3_exact_top_k, op4_best_fit_packing, op5_quality_neighbours, op6_toxicity_nnpu, op7_ngram_jaccard, op8_language_id, op9_secret_scan, op10_merkle_fingerprints)}
 ORACLE_SQL = {"op1_mix_sources": mixing.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_secret_scan": secrets.ORACLE}
