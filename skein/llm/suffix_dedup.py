@@ -13,8 +13,8 @@ Equal pieces are one class, held by its earliest place.
 How they are compared.  The classes of an anchor go to one collection.  Its suffix order
 is built column by column: each round inserts the next symbol of every piece, from the
 right, into the Burrows-Wheeler transform of the collection, together with the lengths of
-common prefixes; transform, prefixes and owners are sequential files that a round reads
-once and writes once.  Runs of common prefixes of ``SPAN`` or more are the equal strings,
+common prefixes; transform and prefixes are sequential files that a round reads once and
+writes once.  Runs of common prefixes of ``SPAN`` or more are the equal strings,
 and the earliest of each run owns it.  Anchors with very many classes are dealt over
 several collections; the owners of these are then compared by 128-bit hashes of their strings.
 A class that is alone with its anchor has nothing to be compared with.
@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import durable, one_thread, text_bytes
 from .words import mix
 
-SPAN, GRAM = 100, 32
+SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
 #: Bytes worked on at once; pieces of a collection; classes of an anchor from which it is dealt over collections; bits of the filter.
-BLOCK, COLLECTION, CROWD, FILTER_BITS = 2 << 20, 4096, 4096, 27
-HALF = 35
+BLOCK, COLLECTION, CROWD, FILTER_BITS = 2 << 20, 1024, 2048, 27
+HALF = 32
 _TABLE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 _FACTORS = np.random.default_rng(78).integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PIECES = "anchor long, h1 long, h2 long, doc long, start long, starts int, content binary"
@@ -202,39 +202,59 @@ def suffix_order(texts: list[bytes], folder: str | None = None) -> tuple[np.ndar
         k, end = len(texts), np.uint8(0xFF)
         size = np.array([len(t) for t in texts])
         data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(size)])
-        files = Columns(own, {"bwt": np.uint8, "lcp": np.uint8, "who": np.int32, "len": np.uint8})
+        files = Columns(own, {"bwt": np.uint8, "lcp": np.uint8})
         last = np.full(k, end)
         last[size > 0] = data[off[1:][size > 0] - 1]
-        files.write(bwt=last, lcp=np.zeros(k, np.uint8), who=np.arange(k), len=np.zeros(k, np.uint8))
+        files.write(bwt=last, lcp=np.zeros(k, np.uint8))
+        # the suffixes of the last round: their places, in order, and whose they are
+        place, owner = np.arange(k), np.arange(k)
         for j in range(1, int(size.max(initial=0)) + 1):
-            bwt, lcp, who, length = files.read()
-            order = np.argsort(bwt, kind="stable")
-            order = order[: len(bwt) - int((bwt == end).sum())]
-            fresh = length[order] == j - 1
-            rank = np.flatnonzero(fresh)
-            owner, sym = who[order[rank]], bwt[order]
+            bwt, lcp = files.read()
+            order = np.argsort(bwt, kind="stable")  # by symbol, then place: entry t is where suffix k + t will stand
+            counts = np.bincount(bwt, minlength=256)
+            firsts = np.concatenate([[0], np.cumsum(counts[:-1])])
+            live = len(bwt) - int(counts[end])
+            goes = bwt[place] != end
+            place, owner = place[goes], owner[goes]
+            mark = np.zeros(len(bwt), bool)
+            mark[place] = True
+            rank = np.flatnonzero(mark[order[:live]])
+            whose = np.empty(len(bwt), np.int32)
+            whose[place] = owner
+            owner = whose[order[rank]]
             # common prefixes change at new suffixes and at those that follow one
-            touched = np.unique(np.concatenate([rank, rank[rank + 1 < len(order)] + 1]))
-            touched = touched[touched > 0]
-            touched = touched[sym[touched] == sym[touched - 1]]
+            after = rank + 1
+            after = after[after < live]
+            touched = np.concatenate([rank, after[~mark[order[after]]]])
+            start = np.zeros(live + 1, bool)
+            start[firsts[firsts <= live]] = True
+            touched = touched[~start[touched]]
             left, right = order[touched - 1] + 1, order[touched] + 1
-            by = np.argsort(-left, kind="stable")  # so that reduceat skips what lies between ranges
+            by = np.argsort(-left)  # so that reduceat skips what lies between ranges
             ranges = np.stack([left[by], right[by]], axis=1).ravel()
             low = np.minimum.reduceat(np.append(lcp, np.uint8(0)), ranges)[::2] if len(ranges) else np.zeros(0, np.uint8)
-            n = k + len(order)
-            new = np.zeros(n, bool)
-            new[k + rank] = True
-            old = ~new
+            rest = size[owner] - j
+            before = np.where(rest > 0, data[np.maximum(off[:-1][owner] + rest - 1, 0)], end)
+            place = k + rank
+            old = np.ones(k + live, bool)
+            old[place] = False
             columns = []
-            left_over = size[owner] - j
-            before = np.where(left_over > 0, data[np.maximum(off[:-1][owner] + left_over - 1, 0)], end)
-            for have, put in ((bwt, before), (lcp, 0), (who, owner), (length, j)):
-                c = np.empty(n, have.dtype)
-                c[old], c[new] = have, put
+            for have, put in ((bwt, before), (lcp, 0)):
+                c = np.empty(k + live, np.uint8)
+                c[old], c[place] = have, put
                 columns.append(c)
             columns[1][k + touched[by]] = low + np.uint8(1)
-            files.write(bwt=columns[0], lcp=columns[1], who=columns[2], len=columns[3])
-        _, lcp, who, length = files.read()
+            files.write(bwt=columns[0], lcp=columns[1])
+        bwt, lcp = files.read()
+        # whose suffix stands where: from the empty suffixes on, the transform leads from each to the one longer by a symbol
+        forth = np.empty(len(bwt), np.int64)
+        forth[np.argsort(bwt, kind="stable")] = np.arange(k, k + len(bwt))
+        who, length = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.uint8)
+        place, owner, j = np.arange(k), np.arange(k), 0
+        while len(place):
+            who[place], length[place] = owner, j
+            goes = bwt[place] != end
+            place, owner, j = forth[place[goes]], owner[goes], j + 1
         return who, length, lcp
 
 
