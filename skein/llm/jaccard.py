@@ -305,3 +305,15 @@ def _unlinked(stars, known, links, num, den, able) -> DataFrame | None:
     pairs = x.join(y, "a").where((F.col("cx") != F.col("cy")) & once & (F.abs(F.col("dx") - F.col("dy")) <= near) & able("nx", "ny"))
     pairs = durable(pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct(), "jac-rest")
     return pairs if pairs.limit(1).count() else None
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each group of linked texts, the one of the smallest id; all columns kept.
+
+    Of rows that repeat both id and text one stays, which costs a pass over the texts only if there are any.
+    """
+    named = durable(jaccard_components(docs, words, num, den), "jac-keep")
+    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
+    again = kept.groupBy("__keep").count().where("count > 1").limit(1).count()
+    out = docs.join(kept.distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"]) if again else out

@@ -209,3 +209,28 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     return rows.mapInArrow(_label(net), SCORES)
+
+
+def _known(net: Net | None, least: float, columns: list[str]):
+    def run(batches):
+        one_thread()
+        for whole in batches:
+            for batch in split_batches(whole, column="__text"):
+                if net is None:
+                    continue
+                letters = batch.column("__letters").to_numpy(zero_copy_only=False).astype(bool)
+                p = pooled(net, *text_bytes(batch.column("__text"))).max(axis=1)
+                import pyarrow as pa
+
+                yield batch.filter(pa.array(letters & (p >= least))).select(columns)
+
+    return run
+
+
+def keep_known(docs: DataFrame, net: Net | None, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text isn't ``und`` and has a language of probability ``least`` or more; all columns kept.
+
+    ``least`` is little over what a text of no language in particular gets, so only such texts go.
+    """
+    rows = docs.withColumns({"__text": F.col("text").cast("string"), "__letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
+    return rows.mapInArrow(_known(net, least, docs.columns), docs.schema)
