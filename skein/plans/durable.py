@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,15 @@ def release(spark: SparkSession) -> int:
     return n
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more.
+
+    Without it they stay until the driver happens to collect its garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must to tell."""
     return df.select(F.lit(1).alias("one")).limit(rows + 1).count() <= rows
