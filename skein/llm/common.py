@@ -7,9 +7,9 @@ import os
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans.durable import durable, partitions, release, shared_dir, small_enough
+from skein.plans.durable import durable, partitions, release, settle, shared_dir, small_enough
 
-__all__ = ["durable", "one_thread", "partitions", "read", "release", "shared_dir", "small_enough", "split_batches", "text_bytes"]
+__all__ = ["durable", "one_thread", "partitions", "read", "release", "settle", "shared_dir", "small_enough", "split_batches", "text_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

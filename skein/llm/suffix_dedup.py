@@ -8,7 +8,8 @@ anchor; equal strings have equal anchors at equal places.  Neighbouring strings
 document with one anchor are a piece of at most ``SPAN + WINDOW - 1`` bytes, and each
 string is in one piece.  Anchors that occur once can't hold repeats, so only pieces
 with repeated anchors go on (a Bloom filter of fixed size lets a few others through).
-Equal pieces are one class, held by its earliest place.
+Equal pieces, by two
+64-bit hashes of their anchor and bytes, are one class, held by its earliest place.
 
 How they are compared.  The classes of an anchor go to one collection.  Its suffix order
 is built column by column: each round inserts the next symbol of every piece, from the
@@ -34,40 +35,47 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, one_thread, text_bytes
+from .common import durable, one_thread, settle, text_bytes
 from .words import mix
 
 SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
 #: Bytes worked on at once; pieces of a collection; classes of an anchor from which it is dealt over collections; bits of the filter.
-BLOCK, COLLECTION, CROWD, FILTER_BITS = 2 << 20, 1024, 2048, 27
+BLOCK, COLLECTION, CROWD, FILTER_BITS = 1 << 20, 2048, 4096, 27
 HALF = 32
+#: More than the bytes of any text.
+PLACES = 10**11
 _TABLE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 _FACTORS = np.random.default_rng(78).integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PIECES = "anchor long, h1 long, h2 long, doc long, start long, starts int, content binary"
+PIECES = "h1 long, h2 long, doc long, start long, starts int"
 OWNED = "h1 long, h2 long, lo long, hi long, crowded boolean, content binary, doc long, start long"
 
 
 def _least(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each string start: the place of its smallest gram hash (the leftmost), and that hash."""
+    """For each string start: the place of its smallest gram hash (the leftmost), and all gram hashes.
+
+    Grams compare by 32 bits; these and the place are one number, so a window's least
+    gram is a minimum.
+    """
     h, size = _TABLE[raw], 1
     for f in _FACTORS:
         if size == GRAM:
             break
-        h = h[:-size] * f + h[size:]
-        size *= 2
-    h = mix(h)
-    gram = h
-    at, reach = np.arange(len(h), dtype=np.int32), 1
+        g = h[:-size] * f
+        g += h[size:]
+        h, size = g, size * 2
+    low = h * _FACTORS[7]
+    low >>= np.uint64(32)
+    low <<= np.uint64(32)
+    low |= np.arange(len(h), dtype=np.uint64)
+    reach = 1
     while reach * 2 <= WINDOW:
-        less = h[reach:] < h[:-reach]
-        at = np.where(less, at[reach:], at[:-reach])
-        h = np.minimum(h[reach:], h[:-reach])
+        low = np.minimum(low[reach:], low[:-reach])
         reach *= 2
     rest = WINDOW - reach
-    less = h[rest:] < h[: len(h) - rest]
-    at = np.where(less, at[rest:], at[: len(at) - rest])
-    return at, gram[at]
+    if rest:
+        low = np.minimum(low[rest:], low[:-rest])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64), h
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +98,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = ok.copy()
     last[:-1] &= ~ok[1:] | new[1:]
     first = np.flatnonzero(new)
-    return first, np.flatnonzero(last), h[first]
+    return first, np.flatnonzero(last), mix(h[at[first]])
 
 
 def _blocks(batch):
@@ -128,44 +136,74 @@ def _slots(anchor: np.ndarray) -> list[np.ndarray]:
     return [(a >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1) for s in (0, 18, 37)]
 
 
-def _filter(repeated: DataFrame) -> np.ndarray:
-    """A Bloom filter of the repeated anchors, of fixed size, put together by the executors."""
-    bits = F.explode(F.array(*[F.shiftrightunsigned("anchor", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, 18, 37)]))
-    words = repeated.select(bits.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
+def _filter(rows: DataFrame, key) -> np.ndarray:
+    """A Bloom filter of a column of numbers, of fixed size, put together by the executors."""
+    rows = rows.select(key.alias("key"))
+    bits = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, 18, 37)]))
+    words = rows.select(bits.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
     got = words.toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[got.column("word").to_numpy()] = got.column("ones").to_numpy()
     return out.view(np.uint64)
 
 
+def _key(h2, doc, start):
+    """Tells a class at a place from any other, as numpy and Spark both compute it."""
+    return h2 ^ (doc << 21) ^ (start << 5)
+
+
+def _walk(batch, flt, places: bool):
+    """Pieces of a batch that the filter lets through: bytes, anchors, hashes, documents, starts and ends in the bytes."""
+    import xxhash
+
+    for docs, moved, raw, off in _blocks(batch):
+        first, last, h = pieces(raw, off)
+        if not places:
+            keep = _passes(flt, h)
+            first, last, h = first[keep], last[keep], h[keep]
+        if not len(first):
+            continue
+        whole = raw.tobytes()
+        ends = last + SPAN
+        h2 = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
+        owner = np.searchsorted(off, first, side="right") - 1
+        doc, start = docs[owner], first - off[owner] + moved
+        if places:
+            keep = _passes(flt, _key(h2, doc, start).view(np.uint64))
+            first, ends, h, h2, doc, start = first[keep], ends[keep], h[keep], h2[keep], doc[keep], start[keep]
+        yield whole, h.view(np.int64), h2, doc, start, first, ends
+
+
+def _passes(flt: np.ndarray, key: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(key), bool)
+    for bit in _slots(key):
+        keep &= (flt[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+    return keep
+
+
 def _emit(sent):
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         one_thread()
-        flt = sent.value
         for batch in batches:
-            for docs, moved, raw, off in _blocks(batch):
-                first, last, h = pieces(raw, off)
-                keep = np.ones(len(h), bool)
-                for bit in _slots(h):
-                    keep &= (flt[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-                first, last, h = first[keep], last[keep], h[keep]
-                if not len(first):
-                    continue
-                whole, seen, content = raw.tobytes(), set(), []
-                digest = bytearray()
-                for a, b in zip(first.tolist(), (last + SPAN).tolist(), strict=True):
-                    c = whole[a:b]
-                    d = xxhash.xxh3_128_digest(c)
-                    digest += d
-                    content.append(None if d in seen else c)
-                    seen.add(d)
-                two = np.frombuffer(bytes(digest), "<i8").reshape(-1, 2)
-                owner = np.searchsorted(off, first, side="right") - 1
-                arrays = [h.view(np.int64), two[:, 0].copy(), two[:, 1].copy(), docs[owner], first - off[owner] + moved, (last - first + 1).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(content, pa.binary())], names=["anchor", "h1", "h2", "doc", "start", "starts", "content"])
+            for _, h, h2, doc, start, first, end in _walk(batch, sent.value, False):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, h2, doc, start, (end - first - SPAN + 1).astype(np.int32)))], names=["h1", "h2", "doc", "start", "starts"])
+
+    return run
+
+
+def _contents(sent):
+    """Bytes of the classes that are compared, each from its earliest place."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        one_thread()
+        for batch in batches:
+            for whole, h, h2, doc, start, first, end in _walk(batch, sent.value, True):
+                content = pa.array([whole[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, h2, doc, start)), content], names=["h1", "h2", "doc", "start", "content"])
 
     return run
 
@@ -283,8 +321,8 @@ def _collections(batches):
     rows = [b for b in batches if b.num_rows]
     if not rows:
         return
-    t = pa.Table.from_batches(rows).sort_by([("anchor", "ascending"), ("salt", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
-    anchor, salt = (t.column(c).to_numpy() for c in ("anchor", "salt"))
+    t = pa.Table.from_batches(rows).sort_by([("h1", "ascending"), ("salt", "ascending"), ("h2", "ascending")])
+    anchor, salt = (t.column(c).to_numpy() for c in ("h1", "salt"))
     breaks = np.concatenate([[0], np.flatnonzero((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])) + 1, [len(anchor)]])
     a = 0
     while a < len(anchor):
@@ -358,16 +396,27 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc", "text")
-    anchors = texts.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    sent = spark.sparkContext.broadcast(_filter(anchors))  # 2 ** FILTER_BITS bits, whatever the input
+    anchors = texts.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    # filters of 2 ** FILTER_BITS bits, whatever the input
+    sent = spark.sparkContext.broadcast(_filter(anchors, F.col("anchor")))
+    settle(spark)
     rows = durable(texts.mapInArrow(_emit(sent), PIECES), "suffix-pieces")
-    classes = rows.groupBy("h1", "h2").agg(F.max("content").alias("content"), F.min(F.struct("doc", "start")).alias("first"), F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n"))
-    classes = durable(classes.select("h1", "h2", "anchor", "content", "n", F.col("first.doc").alias("doc"), F.col("first.start").alias("start")), "suffix-classes")
-    met = durable(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "suffix-met")
+    # a place is one number, so that the aggregation is by hash
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(PLACES) + F.col("start").cast("decimal(11,0)")
+    classes = rows.select("h1", "h2", place.cast("decimal(38,0)").alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    classes = durable(classes.select("h1", "h2", "n", F.expr(f"CAST(floor(place / {PLACES}BD) AS BIGINT)").alias("doc"), F.expr(f"CAST(pmod(place, {PLACES}BD) AS BIGINT)").alias("start")), "suffix-classes")
+    met = durable(classes.groupBy("h1").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "suffix-met")
+    settle(spark)
     total = met.agg(F.sum("met")).first()[0] or 0
     salts = F.ceil(F.col("met") / CROWD).cast("int")
-    compared = classes.drop("n").join(met.hint("shuffle_hash"), "anchor").withColumn("salts", salts).withColumn("salt", F.pmod("h1", F.col("salts")).cast("int")).drop("met")
-    own = durable(compared.repartition(max(1, -(-total // COLLECTION)), "anchor", "salt").mapInArrow(_collections, OWNED), "suffix-owned")
+    compared = classes.drop("n").join(met.hint("shuffle_hash"), "h1").withColumn("salts", salts).withColumn("salt", F.pmod("h2", F.col("salts")).cast("int")).drop("met")
+    compared = durable(compared, "suffix-compared")
+    key = F.col("h2").bitwiseXOR(F.shiftleft("doc", 21)).bitwiseXOR(F.shiftleft("start", 5))
+    chosen = spark.sparkContext.broadcast(_filter(compared, key))
+    content = texts.mapInArrow(_contents(chosen), "h1 long, h2 long, doc long, start long, content binary")
+    content = content.join(compared.hint("shuffle_hash"), ["h1", "h2", "doc", "start"])
+    own = durable(content.repartition(max(1, -(-total // COLLECTION)), "h1", "salt").mapInArrow(_collections, OWNED), "suffix-owned")
+    settle(spark)
     bits = own.select("h1", "h2", "lo", "hi")
     if own.where("crowded").limit(1).count():
         strings = durable(own.where("crowded").mapInArrow(_strings, "s1 long, s2 long, h1 long, h2 long, o int, doc long, at long"), "suffix-strings")
