@@ -18,9 +18,16 @@ TIES = 2048
 HOT_ROWS = 2_000_000
 
 
+def micros(df: DataFrame, column: str = "timestamp") -> Column:
+    """Microseconds since 1970; a time without a zone is taken as UTC, whatever the session's zone."""
+    if dict(df.dtypes)[column] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(column)
+
+
 def ordered(tx: DataFrame) -> DataFrame:
     """``tx`` with ts_us and ok, the position in causal order as a number; no global sort."""
-    tx = tx.withColumn("ts_us", F.unix_micros("timestamp"))
+    tx = tx.withColumn("ts_us", micros(tx))
     tie = F.row_number().over(Window.partitionBy("ts_us").orderBy("transaction_id")) - 1
     safe = F.when(tie < TIES, tie).otherwise(F.raise_error(F.lit("more rows share one timestamp than the causal key allows")).cast("int"))
     return tx.withColumn("ok", F.col("ts_us") * (2 * TIES) + safe)

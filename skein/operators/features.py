@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,60 +21,61 @@ class Feature:
     group: str
     entity: str
     window: int | None
-    value: Column | None
+    value: Callable[[], Column] | None
     low: float | None
     high: float | None
     purpose: str
 
 
+def _amounts(c: FeatureConfig, e: str, w: int) -> Iterator[Feature]:
+    p, x = (lambda: Past(e, w)), (lambda: F.col("amount"))
+    mean, std, n = (lambda: p().mean("amount")), (lambda: p().std("amount")), (lambda: p().count())
+    f = lambda part, v, lo, why: Feature(f"amt_{e}_{part}_{w}s", "amount", e, w, v, lo, None, why)
+    yield f("mean", mean, None, "mean amount before")
+    yield f("median", lambda: p().median("amount"), None, "median amount before")
+    yield f("std", lambda: gate(std(), n(), c.min_history), 0.0, "spread of amounts before")
+    yield f("dev", lambda: F.when(x().isNotNull(), x() - mean()), None, "distance from the mean before")
+    yield f("z", lambda: gate(safe_div(x() - mean(), std(), c.eps), n(), c.min_history), None, "distance in deviations")
+    yield f("cv", lambda: gate(safe_div(std(), mean(), c.eps), n(), c.min_history), None, "relative spread before")
+
+
 def _amount(c: FeatureConfig) -> Iterator[Feature]:
     for w in c.of("amount"):
         for e in ("card", "device"):
-            p, x = Past(e, w), F.col("amount")
-            n, mean, std = p.count(), p.mean("amount"), p.std("amount")
-            f = lambda part, v, lo, why, e=e, w=w: Feature(f"amt_{e}_{part}_{w}s", "amount", e, w, v, lo, None, why)
-            yield f("mean", mean, None, "mean amount before")
-            yield f("median", p.median("amount"), None, "median amount before")
-            yield f("std", gate(std, n, c.min_history), 0.0, "spread of amounts before")
-            yield f("dev", F.when(x.isNotNull(), x - mean), None, "distance from the mean before")
-            yield f("z", gate(safe_div(x - mean, std, c.eps), n, c.min_history), None, "distance in deviations")
-            yield f("cv", gate(safe_div(std, mean, c.eps), n, c.min_history), None, "relative spread before")
-        p = Past("card", w)
-        yield Feature(f"amt_card_low_value_ratio_{w}s", "amount", "card", w, gate(p.mean("low_value"), p.count(), c.min_history), 0.0, 1.0, "share of small amounts before")
+            yield from _amounts(c, e, w)
+        yield Feature(f"amt_card_low_value_ratio_{w}s", "amount", "card", w, lambda w=w: gate(Past("card", w).mean("low_value"), Past("card", w).count(), c.min_history), 0.0, 1.0, "share of small amounts before")
 
 
 def _bin(c: FeatureConfig) -> Iterator[Feature]:
+    kinds = (("bin_distinct_cards", "bin", "card_fingerprint", "cards"), ("bin_distinct_merchants", "bin", "merchant_id", "merchants"), ("dev_distinct_bins", "device", "bin", "bins"), ("ip_distinct_bins", "ip", "bin", "bins"))
     for w in c.of("bin"):
-        b = Past("bin", w)
-        yield Feature(f"bin_txn_count_{w}s", "bin", "bin", w, b.count(), 0, None, "rows of the bin before")
-        yield Feature(f"bin_distinct_cards_{w}s", "bin", "bin", w, b.nunique("card_fingerprint"), 0, None, "cards of the bin before")
-        yield Feature(f"bin_distinct_merchants_{w}s", "bin", "bin", w, b.nunique("merchant_id"), 0, None, "merchants of the bin before")
-        yield Feature(f"dev_distinct_bins_{w}s", "bin", "device", w, Past("device", w).nunique("bin"), 0, None, "bins of the device before")
-        yield Feature(f"ip_distinct_bins_{w}s", "bin", "ip", w, Past("ip", w).nunique("bin"), 0, None, "bins of the address before")
+        yield Feature(f"bin_txn_count_{w}s", "bin", "bin", w, lambda w=w: Past("bin", w).count(), 0, None, "rows of the bin before")
+        for name, e, x, what in kinds:
+            yield Feature(f"{name}_{w}s", "bin", e, w, lambda e=e, x=x, w=w: Past(e, w).nunique(x), 0, None, f"{what} of the {e} before")
 
 
 def _decline(c: FeatureConfig) -> Iterator[Feature]:
+    rate = lambda p: gate(safe_div(p.sum("declined"), p.count().cast("double"), c.eps), p.count(), c.min_history)
     for w in c.of("decline"):
         for e in ("card", "device", "ip", "merchant"):
-            p = Past(e, w)
-            yield Feature(f"dec_{e}_rate_{w}s", "decline", e, w, gate(safe_div(p.sum("declined"), p.count().cast("double"), c.eps), p.count(), c.min_history), 0.0, 1.0, "share of declines before")
+            yield Feature(f"dec_{e}_rate_{w}s", "decline", e, w, lambda e=e, w=w: rate(Past(e, w)), 0.0, 1.0, "share of declines before")
 
 
 def _device(c: FeatureConfig) -> Iterator[Feature]:
-    yield Feature("dev_reuse_prior_total", "device", "device", None, Past("device", None).count(), 0, None, "all rows of the device before")
+    yield Feature("dev_reuse_prior_total", "device", "device", None, lambda: Past("device", None).count(), 0, None, "all rows of the device before")
     for w in c.of("device"):
-        yield Feature(f"dev_distinct_cards_{w}s", "device", "device", w, Past("device", w).nunique("card_fingerprint"), 0, None, "cards of the device before")
+        yield Feature(f"dev_distinct_cards_{w}s", "device", "device", w, lambda w=w: Past("device", w).nunique("card_fingerprint"), 0, None, "cards of the device before")
 
 
 def _merchant(c: FeatureConfig) -> Iterator[Feature]:
+    spread = lambda p: gate(p.nunique("merchant_id") / F.nullif(p.count(), F.lit(0)), p.count(), c.min_prior_for_ratio)
     for w in c.of("merchant"):
-        yield Feature(f"mer_txn_count_{w}s", "merchant", "merchant", w, Past("merchant", w).count(), 0, None, "rows of the merchant before")
+        yield Feature(f"mer_txn_count_{w}s", "merchant", "merchant", w, lambda w=w: Past("merchant", w).count(), 0, None, "rows of the merchant before")
         for e in ("card", "device", "ip"):
-            p = Past(e, w)
-            n, k = p.count(), p.nunique("merchant_id")
-            yield Feature(f"{e}_distinct_merchants_{w}s", "merchant", e, w, k, 0, None, "merchants of the entity before")
-            yield Feature(f"{e}_merchant_spread_{w}s", "merchant", e, w, gate(k / F.nullif(n, F.lit(0)), n, c.min_prior_for_ratio), 0.0, 1.0, "merchants by row before")
-            yield Feature(f"{e}_merchant_entropy_{w}s", "merchant", e, w, p.entropy("merchant_id", c.min_distinct_for_entropy), 0.0, 1.0, "evenness over merchants before")
+            p = lambda e=e, w=w: Past(e, w)
+            yield Feature(f"{e}_distinct_merchants_{w}s", "merchant", e, w, lambda p=p: p().nunique("merchant_id"), 0, None, "merchants of the entity before")
+            yield Feature(f"{e}_merchant_spread_{w}s", "merchant", e, w, lambda p=p: spread(p()), 0.0, 1.0, "merchants by row before")
+            yield Feature(f"{e}_merchant_entropy_{w}s", "merchant", e, w, lambda p=p: p().entropy("merchant_id", c.min_distinct_for_entropy), 0.0, 1.0, "evenness over merchants before")
         for e in ("device", "ip"):
             yield Feature(f"merchant_related_{e}s_{w}s", "merchant", "merchant", w, None, 0, None, "entities of this merchant that also use others")
 
@@ -83,13 +84,12 @@ def _velocity(c: FeatureConfig) -> Iterator[Feature]:
     w = c.of("velocity")
     for e in ("card", "device", "ip"):
         for x in w:
-            n = Past(e, x).count()
-            yield Feature(f"vel_{e}_count_{x}s", "velocity", e, x, n, 0, None, "rows of the entity before")
+            yield Feature(f"vel_{e}_count_{x}s", "velocity", e, x, lambda e=e, x=x: Past(e, x).count(), 0, None, "rows of the entity before")
             if c.emit_rate_per_min:
-                yield Feature(f"vel_{e}_rate_per_min_{x}s", "velocity", e, x, n * 60.0 / x, 0.0, None, "rows a minute before")
+                yield Feature(f"vel_{e}_rate_per_min_{x}s", "velocity", e, x, lambda e=e, x=x: Past(e, x).count() * 60.0 / x, 0.0, None, "rows a minute before")
         narrow, wide = w[0], w[-1]
-        even = Past(e, wide).count() * float(narrow) / float(wide)
-        yield Feature(f"vel_{e}_burst_density_{narrow}s_{wide}s", "velocity", e, wide, safe_div(Past(e, narrow).count().cast("double"), even, c.eps), 0.0, None, "late rows against an even pace")
+        burst = lambda e=e: safe_div(Past(e, narrow).count().cast("double"), Past(e, wide).count() * float(narrow) / float(wide), c.eps)
+        yield Feature(f"vel_{e}_burst_density_{narrow}s_{wide}s", "velocity", e, wide, burst, 0.0, None, "late rows against an even pace")
 
 
 _BUILD = dict(zip(GROUPS, (_amount, _bin, _decline, _device, _merchant, _velocity), strict=True))
@@ -115,7 +115,7 @@ def feature_table(tx: DataFrame, config: FeatureConfig, groups: tuple[str, ...]
     plain = [f for f in feats if f.value is not None]
     out = base
     for entity in ("card", "device", "ip", "bin", "merchant"):
-        own = {f.name: f.value for f in plain if f.entity == entity}
+        own = {f.name: f.value() for f in plain if f.entity == entity}
         if own:
             out = out.withColumns(own)
     out = out.select("transaction_id", "ok", *[f.name for f in plain])

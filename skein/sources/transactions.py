@@ -67,7 +67,10 @@ def typed(raw: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     at = resolve(raw.columns, overrides)
     text = [n for n in REQUIRED if n not in ("timestamp", "amount")]
     cols = [F.col(at[n]).cast("string").alias(n) for n in text]
-    cols.append(F.coalesce(*[F.try_to_timestamp(F.col(at["timestamp"]).cast("string"))]).alias("timestamp"))
+    said = F.col(at["timestamp"]).cast("string")
+    zoned = said.rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    utc = F.to_utc_timestamp(said.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    cols.append(F.when(zoned, utc).otherwise(said.try_cast("timestamp_ntz")).alias("timestamp"))
     cols.append(F.expr(f"try_cast(`{at['amount']}` AS DOUBLE)").alias("amount"))
     rest = [F.col(c) for c in raw.columns if c in GROUND_TRUTH]
     out = raw.select(*cols, *rest)
