@@ -12,7 +12,8 @@ is dropped for such an index of a cheap one.
 Equal sets are one class, known by a hash of the set.  Within the classes that share a
 signature not all pairs are made: the class that shares most (a copies' original, as a
 rule) is the pivot, all others are verified against it.  Distances are a metric, so what
-is known of two sets' distances to the pivot rules out most of the rest; classes that
+is known of two sets' distances to the pivot rules out much of the rest; so do
+parity sketches, in whose bits two sets differ at most as often as in tokens.  Classes that
 didn't link to their pivot are then verified against those of its star that are in another
 component and not ruled out.  So no link between components is lost, and no group is expanded.
 
@@ -36,13 +37,15 @@ from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
 
-from .common import durable, one_thread, small_enough, split_batches, text_bytes
+from .bloom import bloom, passes
+from .common import durable, one_thread, settle, small_enough, split_batches, text_bytes
 from .words import LOWER, SPACE, hashes, mix, shingles, spans
 
 #: Segments above which a family has no spare ones to choose from; rows that may be broadcast.
 CHOICE, BROADCAST_ROWS = 4096, 1_000_000
-ROWS = "doc_id long, n long, key long, check long, band int, own array<long>, below array<long>"
-_M32 = np.uint64(0xFFFFFFFF)
+ROWS, SIGNED = "doc_id long, n long, key long, check long", "key long, sig long, code long"
+#: Words of 64 bits of a set's parity sketch.
+SKETCH = 16
 
 
 class Shape:
@@ -55,7 +58,7 @@ class Shape:
     def band(self, n: int) -> int:
         while self.tops[-1] < n:
             top = self.tops[-1]
-            self.tops.append(max(top + 1, top * 5 // 4, top * self.den // self.num))
+            self.tops.append(max(top + 1, top * self.den**3 // self.num**3))
         return bisect_left(self.tops, n)
 
     def differ(self, band: int) -> int:
@@ -65,7 +68,7 @@ class Shape:
 
     def segments(self, band: int) -> int:
         h = self.differ(band)
-        return 0 if h == 0 else h + 1 + ((h + 1) // 8 if h + 1 <= CHOICE else 0)
+        return 0 if h == 0 else h + 1 + ((h + 1) // 16 if h + 1 <= CHOICE else 0)
 
     def families(self, n: int) -> list[int]:
         """The bands whose families a set of n tokens is in; equal sets need none."""
@@ -114,29 +117,45 @@ def _sums(tokens: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(seed)), dtype=np.uint64)])
 
 
-def _index(num: int, den: int, seed: int, words: int):
+def _index(seed: int, words: int):
     def run(batches):
         import pyarrow as pa
 
         one_thread()
-        shape, none = Shape(num, den, seed), np.zeros(0, np.int64)
         for whole in batches:
             for part, sets in token_sets(whole, words):
-                cols: list[list] = [[], [], [], [], [], []]
-                for tokens in sets:
-                    sums = _sums(tokens, seed)
-                    fam = shape.families(len(tokens)) if len(tokens) else []
-                    band = shape.band(len(tokens)) if len(tokens) else -1
-                    sig = {b: signatures(shape, tokens, sums, b).view(np.int64) for b in fam}
-                    for c, v in zip(cols, (len(tokens), *_class(tokens, sums, seed), band, sig.get(band, none), sig.get(band - 1, none)), strict=True):
-                        c.append(v)
+                found = [(len(t), *_class(t, _sums(t, seed), seed)) for t in sets]
+                arrays = [part.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", "check"])
+
+    return run
 
-                def lists(x):
-                    edges = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32)
-                    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(x) if x else none))
 
-                arrays = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.int32()), lists(cols[4]), lists(cols[5])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", "check", "band", "own", "below"])
+def _signed(num: int, den: int, seed: int, words: int, sent=None):
+    """(key, sig, code) of every segment of every set in its families; with a filter, of those that it lets through."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        one_thread()
+        shape, none = Shape(num, den, seed), np.zeros(0, np.int64)
+        for whole in batches:
+            for _, sets in token_sets(whole, words):
+                keys, sigs, codes = [none], [none], [none]
+                for tokens in sets:
+                    if not len(tokens):
+                        continue
+                    sums = _sums(tokens, seed)
+                    key = _class(tokens, sums, seed)[0]
+                    for b in shape.families(len(tokens)):
+                        g = signatures(shape, tokens, sums, b)
+                        at = np.arange(len(g))
+                        if sent is not None:
+                            at = np.flatnonzero(passes(sent.value, g))
+                        keys.append(np.full(len(at), key, np.int64))
+                        sigs.append(g[at].view(np.int64))
+                        codes.append((b << 32) + at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sigs, codes)], names=["key", "sig", "code"])
 
     return run
 
@@ -164,6 +183,13 @@ def _one_deletions(num: int, den: int, seed: int, words: int, wanted: dict[int,
     return run
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens that fall on each of 64 * SKETCH bits: two sets differ in at least as many tokens as bits."""
+    at = (tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 10)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(seed: int, words: int):
     def run(batches):
         import pyarrow as pa
@@ -173,7 +199,8 @@ def _sets(seed: int, words: int):
             for _, sets in token_sets(whole, words):
                 keep = [t for t in sets if len(t)]
                 keys = [_class(t, _sums(t, seed), seed)[0] for t in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary())], names=["key", "tokens"])
+                bits = [sketch(t).tolist() for t in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["key", "tokens", "bits"])
 
     return run
 
@@ -216,13 +243,17 @@ def allot(shape: Shape, costs: dict[tuple[int, int], float], sets: dict[int, int
     return dropped, wide
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, seed: int, words: int) -> DataFrame:
-    """(a, b, inter, uni) of pairs (a, b) of classes; only texts that a pair needs are read into sets."""
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = durable(classes.join(need, "key", "left_semi").select(F.col("rep").alias("__rep")), "jac-need")
+def _read_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, seed: int, words: int) -> DataFrame:
+    """(key, tokens, bits) of the classes in ``keys``; only texts that one needs are read into sets."""
+    ids = durable(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("__rep")), "jac-need")
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids.hint("shuffle_hash")
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rep"]), "left_semi").select("text")
-    sets = durable(texts.mapInArrow(_sets(seed, words), "key long, tokens binary").join(need, "key", "left_semi").dropDuplicates(["key"]), "jac-sets")
+    sets = texts.mapInArrow(_sets(seed, words), "key long, tokens binary, bits array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    return durable(sets, "jac-sets")
+
+
+def _verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, inter, uni) of pairs (a, b) of classes."""
     side = lambda x: sets.select(F.col("key").alias(x), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
     return durable(both.mapInArrow(_intersect, "a long, b long, inter long, uni long"), "jac-verified")
@@ -233,46 +264,47 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     Two texts link if den * |intersection| >= num * |union| of their sets of shingles of ``words`` words.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for seed in range(8):
-        rows = durable(docs.mapInArrow(_index(num, den, seed, words), ROWS), "jac-rows")
+        rows = durable(docs.mapInArrow(_index(seed, words), ROWS), "jac-rows")
         classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
         classes = durable(classes, "jac-classes")
         if classes.where("low <> high").limit(1).count() == 0:
             break
-    shape = Shape(num, den, seed)
-    code = lambda band, seg: band.cast("long") * F.lit(1 << 32) + seg
-    exploded = lambda col, less: rows.where(F.size(col) > 0).select("key", F.col("band") - less, F.posexplode(col).alias("seg", "sig")).toDF("key", "b", "seg", "sig").select("key", "sig", code(F.col("b"), F.col("seg")).alias("code"))
-    signed = exploded("own", 0).unionByName(exploded("below", 1))
+    shape, texts = Shape(num, den, seed), docs.select("text")
     shared = lambda df: df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("code").alias("code")).where("low <> high")
-    groups = durable(shared(signed).select("sig", "size", "code"), "jac-groups")
+    groups = durable(shared(texts.mapInArrow(_signed(num, den, seed, words), SIGNED)).select("sig", "size", "code"), "jac-groups")
+    settle(spark)
     bands = {r["band"]: r["count"] for r in classes.select("n").join(F.broadcast(_band_table(shape, classes)), F.col("n").between(F.col("from"), F.col("to"))).groupBy("band").count().collect()}
     costs = {(r["code"] >> 32, r["code"] & 0xFFFFFFFF): r["pairs"] for r in groups.where(F.col("code") % F.lit(1 << 32) <= CHOICE * 2).groupBy("code").agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs")).collect()}
     dropped, wide = allot(shape, costs, {b: bands.get(b, 0) + bands.get(b + 1, 0) for b in {x for x, _ in costs}})
-    spark = docs.sparkSession
     if dropped:
         # at most CHOICE segments a band
         gone = spark.createDataFrame([((b << 32) + s,) for b, s in sorted(dropped)], "code long")
         groups = groups.join(F.broadcast(gone), "code", "left_anti")
-    members = signed.select("key", "sig").join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size")
+    sent = spark.sparkContext.broadcast(bloom(groups, F.col("sig")))
+    members = texts.mapInArrow(_signed(num, den, seed, words, sent), SIGNED).join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size")
     if wide:
-        more = durable(docs.select("text").mapInArrow(_one_deletions(num, den, seed, words, wide), "key long, sig long"), "jac-deletions")
+        more = durable(texts.mapInArrow(_one_deletions(num, den, seed, words, wide), "key long, sig long"), "jac-deletions")
         again = shared(more.withColumn("code", F.lit(0))).select("sig", "size")
         members = members.unionByName(more.join(again.hint("shuffle_hash"), "sig").select("sig", "key", "size"))
     members = durable(members.distinct(), "jac-members")
+    settle(spark)
     rank = members.groupBy("key").agg(F.sum("size").alias("shares"))
     pivot = members.join(rank, "key").groupBy("sig").agg(F.max(F.struct("shares", "key")).alias("pivot")).select("sig", F.col("pivot.key").alias("a"))
     stars = members.join(pivot, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()
-    sizes = classes.select("key", "n")
-    able = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
-    size_of = lambda x: sizes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"))
+    size_of = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"))
     stars = durable(stars.join(size_of("a"), "a").join(size_of("b"), "b"), "jac-stars")
-    known = _verify(docs, classes, stars.select("a", "b"), seed, words)
+    keys = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
+    sets = _read_sets(docs, classes, keys, seed, words)
+    settle(spark)
+    known = _verify(sets, stars.select("a", "b"))
     links = known.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b")
-    rest = _unlinked(stars, known, links, num, den, able)
+    rest = _unlinked(stars, known, links, sets, num, den)
     if rest is not None:
-        more = _verify(docs, classes, rest, seed, words)
-        links = links.unionByName(more.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"))
+        links = links.unionByName(_verify(sets, rest).where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"))
+    settle(spark)
     named = connected_components(links, "a", "b")
     named = classes.select("key", "rep").join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -288,21 +320,24 @@ def _band_table(shape: Shape, classes: DataFrame) -> DataFrame:
     return classes.sparkSession.createDataFrame([(b, (tops[b - 1] + 1) if b else 0, t) for b, t in enumerate(tops)], "band int, `from` long, `to` long")
 
 
-def _unlinked(stars, known, links, num, den, able) -> DataFrame | None:
+def _unlinked(stars, known, links, sets, num, den) -> DataFrame | None:
     """Pairs that may still link components: in a star, not with its pivot, in different components, and near enough to
-    one another by their sizes and their distances to the pivot."""
+    one another by their sizes, their distances to the pivot and their sketches."""
     if links.limit(1).count() == 0 and stars.limit(1).count() == 0:
         return None
     named = connected_components(links, "a", "b")
     comp = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    s = stars.join(known, ["a", "b"]).join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-    s = s.select("a", "b", F.col("nb").alias("n"), (1 - F.col("inter") / F.col("uni")).alias("d"), F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("c"))
+    s = stars.join(known, ["a", "b"]).join(comp("a"), "a", "left").join(comp("b"), "b", "left").join(sets.select(F.col("key").alias("b"), "bits"), "b")
+    s = s.select("a", "b", F.col("nb").alias("n"), (1 - F.col("inter") / F.col("uni")).alias("d"), F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("c"), *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)])
     s = durable(s, "jac-distances")
-    loose = s.where("c <> ca")
-    x, y = loose.select("a", *[F.col(k).alias(f"{k}x") for k in ("b", "n", "d", "c")]), s.select("a", *[F.col(k).alias(f"{k}y") for k in ("b", "n", "d", "c", "ca")])
-    near = 1 - num / den + 1e-9
+    side = lambda df, x: df.select("a", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "a"])
+    x, y = side(s.where("c <> ca"), "x"), side(s, "y")
     once = (F.col("cy") == F.col("cay")) | (F.col("bx") < F.col("by"))
-    pairs = x.join(y, "a").where((F.col("cx") != F.col("cy")) & once & (F.abs(F.col("dx") - F.col("dy")) <= near) & able("nx", "ny"))
+    able = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
+    by_pivot = F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9
+    odd = sum((F.bit_count(F.col(f"w{i}x").bitwiseXOR(F.col(f"w{i}y"))) for i in range(1, SKETCH)), F.bit_count(F.col("w0x").bitwiseXOR(F.col("w0y"))))
+    by_sketch = odd * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)
+    pairs = x.join(y, "a").where((F.col("cx") != F.col("cy")) & once & able & by_pivot & by_sketch)
     pairs = durable(pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct(), "jac-rest")
     return pairs if pairs.limit(1).count() else None
 

@@ -35,13 +35,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom, passes
 from .common import durable, one_thread, settle, text_bytes
 from .words import mix
 
 SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
-#: Bytes worked on at once; pieces of a collection; classes of an anchor from which it is dealt over collections; bits of the filter.
-BLOCK, COLLECTION, CROWD, FILTER_BITS = 1 << 20, 2048, 4096, 27
+#: Bytes worked on at once; pieces of a collection; classes of an anchor from which it is dealt over collections.
+BLOCK, COLLECTION, CROWD = 1 << 20, 2048, 4096
 HALF = 32
 #: More than the bytes of any text.
 PLACES = 10**11
@@ -130,23 +131,6 @@ def _anchors(batches):
             yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(count)], names=["anchor", "n"])
 
 
-def _slots(anchor: np.ndarray) -> list[np.ndarray]:
-    """Bits of the filter for each anchor: three runs of its own bits."""
-    a = anchor.view(np.uint64)
-    return [(a >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1) for s in (0, 18, 37)]
-
-
-def _filter(rows: DataFrame, key) -> np.ndarray:
-    """A Bloom filter of a column of numbers, of fixed size, put together by the executors."""
-    rows = rows.select(key.alias("key"))
-    bits = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, 18, 37)]))
-    words = rows.select(bits.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("ones"))
-    got = words.toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[got.column("word").to_numpy()] = got.column("ones").to_numpy()
-    return out.view(np.uint64)
-
-
 def _key(h2, doc, start):
     """Tells a class at a place from any other, as numpy and Spark both compute it."""
     return h2 ^ (doc << 21) ^ (start << 5)
@@ -159,7 +143,7 @@ def _walk(batch, flt, places: bool):
     for docs, moved, raw, off in _blocks(batch):
         first, last, h = pieces(raw, off)
         if not places:
-            keep = _passes(flt, h)
+            keep = passes(flt, h)
             first, last, h = first[keep], last[keep], h[keep]
         if not len(first):
             continue
@@ -169,18 +153,11 @@ def _walk(batch, flt, places: bool):
         owner = np.searchsorted(off, first, side="right") - 1
         doc, start = docs[owner], first - off[owner] + moved
         if places:
-            keep = _passes(flt, _key(h2, doc, start).view(np.uint64))
+            keep = passes(flt, _key(h2, doc, start).view(np.uint64))
             first, ends, h, h2, doc, start = first[keep], ends[keep], h[keep], h2[keep], doc[keep], start[keep]
         yield whole, h.view(np.int64), h2, doc, start, first, ends
 
 
-def _passes(flt: np.ndarray, key: np.ndarray) -> np.ndarray:
-    keep = np.ones(len(key), bool)
-    for bit in _slots(key):
-        keep &= (flt[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-    return keep
-
-
 def _emit(sent):
     def run(batches):
         import pyarrow as pa
@@ -397,8 +374,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc", "text")
     anchors = texts.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    # filters of 2 ** FILTER_BITS bits, whatever the input
-    sent = spark.sparkContext.broadcast(_filter(anchors, F.col("anchor")))
+    # filters of a fixed size, whatever the input
+    sent = spark.sparkContext.broadcast(bloom(anchors, F.col("anchor")))
     settle(spark)
     rows = durable(texts.mapInArrow(_emit(sent), PIECES), "suffix-pieces")
     # a place is one number, so that the aggregation is by hash
@@ -412,7 +389,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     compared = classes.drop("n").join(met.hint("shuffle_hash"), "h1").withColumn("salts", salts).withColumn("salt", F.pmod("h2", F.col("salts")).cast("int")).drop("met")
     compared = durable(compared, "suffix-compared")
     key = F.col("h2").bitwiseXOR(F.shiftleft("doc", 21)).bitwiseXOR(F.shiftleft("start", 5))
-    chosen = spark.sparkContext.broadcast(_filter(compared, key))
+    chosen = spark.sparkContext.broadcast(bloom(compared, key))
     content = texts.mapInArrow(_contents(chosen), "h1 long, h2 long, doc long, start long, content binary")
     content = content.join(compared.hint("shuffle_hash"), ["h1", "h2", "doc", "start"])
     own = durable(content.repartition(max(1, -(-total // COLLECTION)), "h1", "salt").mapInArrow(_collections, OWNED), "suffix-owned")
