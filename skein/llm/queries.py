@@ -13,7 +13,7 @@ def op1_mix_sources(spark, sf_dir):
 
 
 def op2_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), keep=False).drop("kept")
 
 
 def op3_exact_top_k(spark, sf_dir):

@@ -14,8 +14,8 @@ Equal pieces, by two
 How they are compared.  The classes of an anchor go to one collection.  Its suffix order
 is built column by column: each round inserts the next symbol of every piece, from the
 right, into the Burrows-Wheeler transform of the collection, together with the lengths of
-common prefixes; transform and prefixes are sequential files that a round reads once and
-writes once.  Runs of common prefixes of ``SPAN`` or more are the equal strings,
+common prefixes; transform and prefixes are a sequential file that a round reads once, to
+write the next.  Runs of common prefixes of ``SPAN`` or more are the equal strings,
 and the earliest of each run owns it.  Anchors with very many classes are dealt over
 several collections; the owners of these are then compared by 128-bit hashes of their strings.
 A class that is alone with its anchor has nothing to be compared with.
@@ -46,18 +46,15 @@ BLOCK, COLLECTION, CROWD = 1 << 20, 2048, 4096
 HALF = 32
 #: More than the bytes of any text.
 PLACES = 10**11
-_TABLE = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
-_FACTORS = np.random.default_rng(78).integers(1, 2**62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RNG = np.random.default_rng(77)
+_TABLE = _RNG.integers(0, 2**32, 256, dtype=np.uint32)
+_FACTORS = _RNG.integers(0, 2**31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 PIECES = "h1 long, h2 long, doc long, start long, starts int"
 OWNED = "h1 long, h2 long, lo long, hi long, crowded boolean, content binary, doc long, start long"
 
 
-def _least(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each string start: the place of its smallest gram hash (the leftmost), and all gram hashes.
-
-    Grams compare by 32 bits; these and the place are one number, so a window's least
-    gram is a minimum.
-    """
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each gram, by doubling."""
     h, size = _TABLE[raw], 1
     for f in _FACTORS:
         if size == GRAM:
@@ -65,8 +62,28 @@ def _least(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g = h[:-size] * f
         g += h[size:]
         h, size = g, size * 2
-    low = h * _FACTORS[7]
-    low >>= np.uint64(32)
+    return h
+
+
+def _words(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the grams at the given places, from eight bytes at a time."""
+    eight = np.ndarray(len(raw) - 7, "<u8", raw.data, strides=(1,))
+    h = np.zeros(len(at), np.uint64)
+    for i in range(0, GRAM, 8):
+        h = (h ^ eight[at + np.uint32(i)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _least(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each string start: the place of its gram of least hash (the leftmost); and all these hashes.
+
+    Hash and place are one number, so a window's least gram is a minimum.
+    """
+    h = _grams(raw)
+    h *= _FACTORS[7]
+    h ^= h >> np.uint32(15)
+    low = h.astype(np.uint64)
     low <<= np.uint64(32)
     low |= np.arange(len(h), dtype=np.uint64)
     reach = 1
@@ -76,7 +93,7 @@ def _least(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rest = WINDOW - reach
     if rest:
         low = np.minimum(low[rest:], low[:-rest])
-    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64), h
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.uint32), h
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,7 +116,8 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = ok.copy()
     last[:-1] &= ~ok[1:] | new[1:]
     first = np.flatnonzero(new)
-    return first, np.flatnonzero(last), mix(h[at[first]])
+    spot = at[first]
+    return first, np.flatnonzero(last), mix(_words(raw, spot) ^ h[spot])
 
 
 def _blocks(batch):
@@ -185,25 +203,28 @@ def _contents(sent):
     return run
 
 
-class Columns:
-    """Columns that a round reads from the files of the last one and writes to files of its own, each once and in order."""
+class Column:
+    """A column that a round reads from one file and writes to another, each once and in order."""
 
-    def __init__(self, folder: str, kinds: dict[str, type]) -> None:
-        self.folder, self.kinds, self.turn = folder, kinds, 0
+    def __init__(self, folder: str) -> None:
+        self.files, self.size = [os.open(os.path.join(folder, f"column.{i}"), os.O_RDWR | os.O_CREAT | os.O_TRUNC) for i in range(2)], 0
 
-    def _path(self, name: str) -> str:
-        return os.path.join(self.folder, f"{name}.{self.turn}")
+    def write(self, column: np.ndarray) -> None:
+        self.files.reverse()
+        self.size, done, raw = column.nbytes, 0, memoryview(column).cast("B")
+        while done < self.size:
+            done += os.pwrite(self.files[0], raw[done:], done)
 
-    def write(self, **columns: np.ndarray) -> None:
-        old = [self._path(n) for n in columns] if self.turn else []
-        self.turn += 1
-        for n, c in columns.items():
-            c.astype(self.kinds[n], copy=False).tofile(self._path(n))
-        for p in old:
-            os.unlink(p)
+    def read(self) -> np.ndarray:
+        parts, done = [], 0
+        while done < self.size:
+            parts.append(os.pread(self.files[0], self.size - done, done))
+            done += len(parts[-1])
+        return np.frombuffer(b"".join(parts), np.uint16)
 
-    def read(self) -> list[np.ndarray]:
-        return [np.fromfile(self._path(n), k) for n, k in self.kinds.items()]
+    def close(self) -> None:
+        for f in self.files:
+            os.close(f)
 
 
 def suffix_order(texts: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,51 +237,52 @@ def suffix_order(texts: list[bytes], folder: str | None = None) -> tuple[np.ndar
     with tempfile.TemporaryDirectory(dir=folder) as own:
         k, end = len(texts), np.uint8(0xFF)
         size = np.array([len(t) for t in texts])
-        data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(size)])
-        files = Columns(own, {"bwt": np.uint8, "lcp": np.uint8})
-        last = np.full(k, end)
-        last[size > 0] = data[off[1:][size > 0] - 1]
-        files.write(bwt=last, lcp=np.zeros(k, np.uint8))
+        # an end mark stands before each text, where its full suffix finds it
+        data = np.frombuffer(b"".join(b"\xff" + t for t in texts), np.uint8)
+        stop = np.cumsum(size + 1)
+        column = Column(own)  # transform in the low byte, common prefix in the high one
+        first = data[stop - 1]
+        column.write(first.astype(np.uint16))
+        counts = np.bincount(first, minlength=256)
         # the suffixes of the last round: their places, in order, and whose they are
-        place, owner = np.arange(k), np.arange(k)
+        place, owner = np.arange(k), np.arange(k, dtype=np.int32)
         for j in range(1, int(size.max(initial=0)) + 1):
-            bwt, lcp = files.read()
+            have = column.read()
+            bwt, lcp = have.astype(np.uint8), (have >> 8).astype(np.uint8)
             order = np.argsort(bwt, kind="stable")  # by symbol, then place: entry t is where suffix k + t will stand
-            counts = np.bincount(bwt, minlength=256)
-            firsts = np.concatenate([[0], np.cumsum(counts[:-1])])
             live = len(bwt) - int(counts[end])
             goes = bwt[place] != end
             place, owner = place[goes], owner[goes]
             mark = np.zeros(len(bwt), bool)
             mark[place] = True
-            rank = np.flatnonzero(mark[order[:live]])
             whose = np.empty(len(bwt), np.int32)
             whose[place] = owner
+            fresh = mark[order[:live]]
+            rank = np.flatnonzero(fresh)
             owner = whose[order[rank]]
-            # common prefixes change at new suffixes and at those that follow one
-            after = rank + 1
-            after = after[after < live]
-            touched = np.concatenate([rank, after[~mark[order[after]]]])
-            start = np.zeros(live + 1, bool)
-            start[firsts[firsts <= live]] = True
-            touched = touched[~start[touched]]
-            left, right = order[touched - 1] + 1, order[touched] + 1
-            by = np.argsort(-left)  # so that reduceat skips what lies between ranges
-            ranges = np.stack([left[by], right[by]], axis=1).ravel()
+            # common prefixes change at new suffixes and at those that follow one, but for the first of a symbol
+            fresh[1:] |= mark[order[: live - 1]]
+            starts = np.cumsum(counts) - counts
+            fresh[starts[starts < live]] = False
+            touched = np.flatnonzero(fresh)[::-1]  # backwards, so that reduceat skips most of what lies between ranges
+            ranges = np.empty(2 * len(touched), np.int64)
+            ranges[::2], ranges[1::2] = order[touched - 1], order[touched]
+            ranges += 1
             low = np.minimum.reduceat(np.append(lcp, np.uint8(0)), ranges)[::2] if len(ranges) else np.zeros(0, np.uint8)
-            rest = size[owner] - j
-            before = np.where(rest > 0, data[np.maximum(off[:-1][owner] + rest - 1, 0)], end)
+            before = data[stop[owner] - 1 - j]
+            counts = counts + np.bincount(before, minlength=256)
             place = k + rank
             old = np.ones(k + live, bool)
             old[place] = False
-            columns = []
-            for have, put in ((bwt, before), (lcp, 0)):
-                c = np.empty(k + live, np.uint8)
-                c[old], c[place] = have, put
-                columns.append(c)
-            columns[1][k + touched[by]] = low + np.uint8(1)
-            files.write(bwt=columns[0], lcp=columns[1])
-        bwt, lcp = files.read()
+            counts[end] = np.count_nonzero(before == end) + (len(bwt) - live)
+            grown = np.empty(k + live, np.uint16)
+            grown[old], grown[place] = have, before
+            spot = k + touched
+            grown[spot] = (grown[spot] & 0xFF) | ((low.astype(np.uint16) + 1) << 8)
+            column.write(grown)
+        have = column.read()
+        column.close()
+        bwt, lcp = have.astype(np.uint8), (have >> 8).astype(np.uint8)
         # whose suffix stands where: from the empty suffixes on, the transform leads from each to the one longer by a symbol
         forth = np.empty(len(bwt), np.int64)
         forth[np.argsort(bwt, kind="stable")] = np.arange(k, k + len(bwt))
@@ -332,29 +354,37 @@ def _strings(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if n == "o" else pa.int64()) for i, n in enumerate(names)], names=names)
 
 
-def _cut(batches):
-    import pyarrow as pa
+def _cut(keep: bool):
+    """Lengths, removals and the rest of each text; the rest itself only if it is asked for."""
 
-    for batch in batches:
-        out = []
-        for text, found in zip(batch.column("text"), batch.column("gone"), strict=True):
-            raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and text.as_py() else np.zeros(0, np.uint8)
-            edge = np.zeros(len(raw) + 1, np.int32)
-            if found.is_valid and len(raw):
+    def run(batches):
+        import pyarrow as pa
+
+        one_thread()
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column("text"), batch.column("gone"), strict=True):
+                buf = text.as_buffer() if text.is_valid else None
+                raw = np.frombuffer(buf, np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
+                if not found.is_valid or not len(raw):
+                    out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw.tobytes() if keep else None))
+                    continue
                 v = found.values
                 start, starts, lo, hi = (v.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 bits = np.concatenate([(lo[:, None] & _LO) != 0, (hi[:, None] & _HI) != 0], axis=1)
                 bits &= np.arange(WINDOW) < starts[:, None]
                 piece, o = np.nonzero(bits)
                 at = start[piece] + o
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + SPAN, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(raw) else 0
-            out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest(), raw[~gone].tobytes()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        arrays = [batch.column("doc_id"), *(pa.array(cols[i], pa.int64()) for i in range(3)), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                edge = np.bincount(at, minlength=len(raw) + 1) - np.bincount(at + SPAN, minlength=len(raw) + 1)
+                gone = np.cumsum(edge[:-1]) > 0
+                spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                rest = raw[~gone].tobytes()
+                out.append((len(raw), int(np.count_nonzero(gone)), spans, hashlib.sha256(rest).hexdigest(), rest if keep else None))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            arrays = [batch.column("doc_id"), *(pa.array(cols[i], pa.int64()) for i in range(3)), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return run
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -412,9 +442,9 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     return places.select("doc", "start", "starts", flip("lo", every[0]).alias("lo"), flip("hi", every[1]).alias("hi")).where("lo <> 0 OR hi <> 0")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of ``docs`` (doc_id, text)."""
+def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, if ``keep``) of every row of ``docs`` (doc_id, text)."""
     rows = _numbered(docs)
     gone = repeated_strings(rows).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "starts", "lo", "hi")).alias("gone"))
     joined = rows.join(gone.hint("shuffle_hash"), rows["doc"] == gone["__doc"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(_cut(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
