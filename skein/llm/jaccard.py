@@ -4,8 +4,9 @@ Sets of a size band, and of the sizes above it that can still be similar, are a
 Two similar sets of a family differ in at most H tokens.  The universe of hashed tokens
 is cut into m segments.  A segment is allotted an exact match (budget 1), a match up to
 one deletion (budget 2), or nothing; if the budgets add up to H + 1, two similar sets
-match in some allotted segment.  m is a little over H + 1, and the allotment is made by
-cost: the segments whose signatures have the most pairs over the whole corpus go without,
+match in some allotted segment.  Segments without a token match without saying anything, so
+a set that has fewer of them than m exceeds H (and the segments that go without) leaves
+them out.  m is a little over H + 1, and the allotment is made by cost: the segments whose signatures have the most pairs over the whole corpus go without,
 and where one exact segment costs more than an index of one-deletion neighbourhoods, it
 is dropped for such an index of a cheap one.
 
@@ -43,7 +44,7 @@ from .words import LOWER, SPACE, hashes, mix, shingles, spans
 
 #: Segments above which a family has no spare ones to choose from; rows that may be broadcast.
 CHOICE, BROADCAST_ROWS = 4096, 1_000_000
-ROWS, SIGNED = "doc_id long, n long, key long, check long", "key long, sig long, code long"
+ROWS, SIGNED = "doc_id long, n long, key long, check long, bits array<long>", "key long, sig long, code long"
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 16
 
@@ -68,7 +69,12 @@ class Shape:
 
     def segments(self, band: int) -> int:
         h = self.differ(band)
-        return 0 if h == 0 else h + 1 + ((h + 1) // 16 if h + 1 <= CHOICE else 0)
+        return 0 if h == 0 else h + 2 + (h + 1) // 8
+
+    def spare(self, band: int) -> int:
+        """How many segments may go without: half of those over what the pigeonhole needs, if there are few enough to choose from."""
+        h = self.differ(band)
+        return (h + 1) // 16 if h + 1 <= CHOICE else 0
 
     def families(self, n: int) -> list[int]:
         """The bands whose families a set of n tokens is in; equal sets need none."""
@@ -87,6 +93,12 @@ def signatures(shape: Shape, tokens: np.ndarray, sums: np.ndarray, band: int) ->
     return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix((np.uint64(band + 1) << np.uint64(32)) + np.arange(len(at) - 1, dtype=np.uint64)))
 
 
+def _filled(shape: Shape, tokens: np.ndarray, band: int) -> np.ndarray:
+    """Whether each segment has a token."""
+    at = np.concatenate([[0], np.searchsorted(tokens, shape.edges(band)), [len(tokens)]])
+    return at[1:] > at[:-1]
+
+
 def deletions(shape: Shape, tokens: np.ndarray, band: int, segment: int) -> np.ndarray:
     """Signatures of a segment and of it without each of its tokens."""
     e = shape.edges(band)
@@ -124,9 +136,9 @@ def _index(seed: int, words: int):
         one_thread()
         for whole in batches:
             for part, sets in token_sets(whole, words):
-                found = [(len(t), *_class(t, _sums(t, seed), seed)) for t in sets]
-                arrays = [part.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", "check"])
+                found = [(len(t), *_class(t, _sums(t, seed), seed), sketch(t).tolist()) for t in sets]
+                arrays = [part.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", "check", "bits"])
 
     return run
 
@@ -149,9 +161,11 @@ def _signed(num: int, den: int, seed: int, words: int, sent=None):
                     key = _class(tokens, sums, seed)[0]
                     for b in shape.families(len(tokens)):
                         g = signatures(shape, tokens, sums, b)
-                        at = np.arange(len(g))
+                        filled = _filled(shape, tokens, b)
+                        spare = len(g) - shape.differ(b) - shape.spare(b)
+                        at = np.flatnonzero(filled) if len(g) - np.count_nonzero(filled) < spare else np.arange(len(g))
                         if sent is not None:
-                            at = np.flatnonzero(passes(sent.value, g))
+                            at = at[passes(sent.value, g[at])]
                         keys.append(np.full(len(at), key, np.int64))
                         sigs.append(g[at].view(np.int64))
                         codes.append((b << 32) + at)
@@ -199,8 +213,7 @@ def _sets(seed: int, words: int):
             for _, sets in token_sets(whole, words):
                 keep = [t for t in sets if len(t)]
                 keys = [_class(t, _sums(t, seed), seed)[0] for t in keep]
-                bits = [sketch(t).tolist() for t in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["key", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary())], names=["key", "tokens"])
 
     return run
 
@@ -231,7 +244,7 @@ def allot(shape: Shape, costs: dict[tuple[int, int], float], sets: dict[int, int
         if need > CHOICE:
             continue
         by = sorted(range(m), key=lambda s: (costs.get((band, s), 0.0), s))
-        exact, out = by[:need], by[need:]
+        exact, out = by[: m - shape.spare(band)], by[m - shape.spare(band) :]
         tokens = max(1, shape.tops[band] // m)
         index = lambda s: sets.get(band, 0) * (tokens + 1) + costs.get((band, s), 0.0) * (tokens + 1)
         up = 0
@@ -244,14 +257,25 @@ def allot(shape: Shape, costs: dict[tuple[int, int], float], sets: dict[int, int
 
 
 def _read_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, seed: int, words: int) -> DataFrame:
-    """(key, tokens, bits) of the classes in ``keys``; only texts that one needs are read into sets."""
+    """(key, tokens) of the classes in ``keys``; only texts that one needs are read into sets."""
     ids = durable(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("__rep")), "jac-need")
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids.hint("shuffle_hash")
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(seed, words), "key long, tokens binary, bits array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    sets = texts.mapInArrow(_sets(seed, words), "key long, tokens binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
     return durable(sets, "jac-sets")
 
 
+def _odd(x: str, y: str):
+    """Bits in which two sketches (columns w0x and so on) differ."""
+    return sum((F.bit_count(F.col(f"w{i}{x}").bitwiseXOR(F.col(f"w{i}{y}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"w0{x}").bitwiseXOR(F.col(f"w0{y}"))))
+
+
+def _possible(x: str, y: str, num: int, den: int):
+    """Whether sizes and sketches of two sets let them be similar."""
+    nx, ny = F.col(f"n{x}"), F.col(f"n{y}")
+    return (nx * den >= ny * num) & (ny * den >= nx * num) & (_odd(x, y) * (den + num) <= (nx + ny) * (den - num))
+
+
 def _verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, inter, uni) of pairs (a, b) of classes."""
     side = lambda x: sets.select(F.col("key").alias(x), F.col("tokens").alias(f"t{x}"))
@@ -294,16 +318,21 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     rank = members.groupBy("key").agg(F.sum("size").alias("shares"))
     pivot = members.join(rank, "key").groupBy("sig").agg(F.max(F.struct("shares", "key")).alias("pivot")).select("sig", F.col("pivot.key").alias("a"))
     stars = members.join(pivot, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()
-    size_of = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"))
-    stars = durable(stars.join(size_of("a"), "a").join(size_of("b"), "b"), "jac-stars")
-    keys = stars.select(F.col("a").alias("key")).union(stars.select(F.col("b").alias("key"))).distinct()
-    sets = _read_sets(docs, classes, keys, seed, words)
+    stars = durable(stars, "jac-stars")
+    keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    sketches = rows.where("n > 0").select("key", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)]).join(keys(stars), "key", "left_semi").dropDuplicates(["key"])
+    sketches = durable(sketches, "jac-sketches")
+    of = lambda x: sketches.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in sketches.columns if c != "key"])
+    seen = stars.join(of("a"), "a").join(of("b"), "b")
+    seen = durable(seen.select("a", "b", _possible("a", "b", num, den).alias("near"), (2 * _odd("a", "b") / (F.col("na") + F.col("nb") + _odd("a", "b"))).alias("least")), "jac-seen")
+    near = seen.where("near").select("a", "b")
+    known = _verify(_read_sets(docs, classes, keys(near), seed, words), near)
     settle(spark)
-    known = _verify(sets, stars.select("a", "b"))
     links = known.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b")
-    rest = _unlinked(stars, known, links, sets, num, den)
+    rest = _unlinked(seen, known, links, sketches, num, den)
     if rest is not None:
-        links = links.unionByName(_verify(sets, rest).where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"))
+        more = _verify(_read_sets(docs, classes, keys(rest), seed, words), rest)
+        links = links.unionByName(more.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"))
     settle(spark)
     named = connected_components(links, "a", "b")
     named = classes.select("key", "rep").join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -320,24 +349,23 @@ def _band_table(shape: Shape, classes: DataFrame) -> DataFrame:
     return classes.sparkSession.createDataFrame([(b, (tops[b - 1] + 1) if b else 0, t) for b, t in enumerate(tops)], "band int, `from` long, `to` long")
 
 
-def _unlinked(stars, known, links, sets, num, den) -> DataFrame | None:
+def _unlinked(seen, known, links, sketches, num, den) -> DataFrame | None:
     """Pairs that may still link components: in a star, not with its pivot, in different components, and near enough to
-    one another by their sizes, their distances to the pivot and their sketches."""
-    if links.limit(1).count() == 0 and stars.limit(1).count() == 0:
+    one another by their sizes, their sketches and what is known of their distances to the pivot."""
+    if seen.limit(1).count() == 0:
         return None
     named = connected_components(links, "a", "b")
     comp = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    s = stars.join(known, ["a", "b"]).join(comp("a"), "a", "left").join(comp("b"), "b", "left").join(sets.select(F.col("key").alias("b"), "bits"), "b")
-    s = s.select("a", "b", F.col("nb").alias("n"), (1 - F.col("inter") / F.col("uni")).alias("d"), F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("c"), *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)])
+    d = 1 - F.col("inter") / F.col("uni")
+    s = seen.join(known, ["a", "b"], "left").join(comp("a"), "a", "left").join(comp("b"), "b", "left").join(sketches.withColumnRenamed("key", "b"), "b")
+    s = s.select("a", "b", "n", F.coalesce(d, "least").alias("lo"), F.coalesce(d, F.lit(1.0)).alias("hi"), F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("c"), *[f"w{i}" for i in range(SKETCH)])
     s = durable(s, "jac-distances")
     side = lambda df, x: df.select("a", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "a"])
     x, y = side(s.where("c <> ca"), "x"), side(s, "y")
     once = (F.col("cy") == F.col("cay")) | (F.col("bx") < F.col("by"))
-    able = (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-    by_pivot = F.abs(F.col("dx") - F.col("dy")) <= 1 - num / den + 1e-9
-    odd = sum((F.bit_count(F.col(f"w{i}x").bitwiseXOR(F.col(f"w{i}y"))) for i in range(1, SKETCH)), F.bit_count(F.col("w0x").bitwiseXOR(F.col("w0y"))))
-    by_sketch = odd * (den + num) <= (F.col("nx") + F.col("ny")) * (den - num)
-    pairs = x.join(y, "a").where((F.col("cx") != F.col("cy")) & once & able & by_pivot & by_sketch)
+    far = 1 - num / den + 1e-9
+    by_pivot = (F.col("lox") - F.col("hiy") <= far) & (F.col("loy") - F.col("hix") <= far)
+    pairs = x.join(y, "a").where((F.col("cx") != F.col("cy")) & once & by_pivot & _possible("x", "y", num, den))
     pairs = durable(pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct(), "jac-rest")
     return pairs if pairs.limit(1).count() else None
 
