@@ -17,17 +17,17 @@ from skein.streaming import online
 _M = "m AS (SELECT * FROM t WHERE candidate_size > 1)"
 
 
-def r4(x: str) -> str:
-    """Four places: a mean of two whole microseconds ends in a half at the seventh digit."""
-    return f"(round({x}, 4) + 0.0::DOUBLE)"
+def r7(x: str) -> str:
+    """Seven places, as a mean of two whole microseconds may end in a half."""
+    return f"(round({x}, 7) + 0.0::DOUBLE)"
 
 
-@register(q.assigned(f"""SELECT candidate_id, {r4('gap_mean')} AS gap_mean, {r4('gap_median')} AS gap_median, {r4('gap_min')} AS gap_min, {r4('gap_max')} AS gap_max, {r4('gap_std')} AS gap_std,
- {r4('gap_std / nullif(gap_mean, 0)')} AS gap_cv, {r4('gap_max / nullif(gap_median, 0)')} AS burstiness, {r4('(n - 1) * 60.0::DOUBLE / nullif(span, 0)')} AS transactions_per_minute FROM (
+@register(q.assigned(f"""SELECT candidate_id, {r7('gap_mean')} AS gap_mean, {r7('gap_median')} AS gap_median, {r7('gap_min')} AS gap_min, {r7('gap_max')} AS gap_max, {r7('gap_std')} AS gap_std,
+ {r7('gap_std / nullif(gap_mean, 0)')} AS gap_cv, {r7('gap_max / nullif(gap_median, 0)')} AS burstiness, {r7('(n - 1) * 60.0::DOUBLE / nullif(span, 0)')} AS transactions_per_minute FROM (
  SELECT candidate_id, avg(gap) AS gap_mean, median(gap) AS gap_median, min(gap) AS gap_min, max(gap) AS gap_max, stddev_samp(gap) AS gap_std, count(*) AS n, (max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE AS span FROM (
  SELECT candidate_id, ts_us, (ts_us - lag(ts_us) OVER (PARTITION BY candidate_id ORDER BY ok)) / 1000000.0::DOUBLE AS gap FROM m) GROUP BY 1)""", _M))
 def cand_timing(spark, sf):
-    return rounded(cf.timing(cf.members(*_assigned(spark, sf))), 4)
+    return rounded(cf.timing(cf.members(*_assigned(spark, sf))), 7)
 
 
 _FR = f"""fr AS (SELECT candidate_id, count(*) AS size, {', '.join(f'count(DISTINCT {ENTITY_COLUMN[e]}) AS distinct_{e}s' for e in ('card', 'device', 'ip', 'merchant', 'bin'))}, any_value(e) AS e, any_value(mu) AS mu, any_value(lc) AS lc, any_value(ld) AS ld, any_value(li) AS li,
@@ -287,9 +287,9 @@ def perturb_summary(spark, sf):
     return perturb.summary(t, perturb.truncate_tails(t, 0.5), ("amount",))
 
 
-@register(q.query(f"SELECT campaign_id, count(*) AS n, round((max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE, 4) AS span_seconds, {r4('median(gap)')} AS median_gap FROM (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY campaign_id ORDER BY ts_us, transaction_id)) / 1000000.0::DOUBLE AS gap FROM o {_C}) GROUP BY 1"))
+@register(q.query(f"SELECT campaign_id, count(*) AS n, round((max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE, 7) AS span_seconds, {r7('median(gap)')} AS median_gap FROM (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY campaign_id ORDER BY ts_us, transaction_id)) / 1000000.0::DOUBLE AS gap FROM o {_C}) GROUP BY 1"))
 def cadence_profile(spark, sf):
-    return rounded(perturb.cadence_profile(tx(spark, sf)), 4)
+    return rounded(perturb.cadence_profile(tx(spark, sf)), 7)
 
 
 @register(q.query(f"SELECT campaign_id, count(*) AS n, {', '.join(f'{r6(f"1 - count(DISTINCT {ENTITY_COLUMN[e]})::DOUBLE / count(*)")} AS {e}_reuse' for e in ('card', 'device', 'ip'))} FROM o {_C} GROUP BY 1"))
