@@ -41,8 +41,8 @@ from .words import mix
 
 SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
-#: Bytes worked on at once; pieces of a collection; classes of an anchor from which it is dealt over collections.
-BLOCK, COLLECTION, CROWD = 1 << 20, 2048, 4096
+#: Bytes worked on at once, which a core's cache should hold; pieces of a collection; classes of an anchor from which it is dealt over collections.
+BLOCK, COLLECTION, CROWD = 1 << 16, 2048, 4096
 HALF = 32
 #: More than the bytes of any text.
 PLACES = 10**11
@@ -138,15 +138,30 @@ def _blocks(batch):
             i = j
 
 
-def _anchors(batches):
+def _gathered(parts, names: list[str], rows: int = 1 << 17):
+    """Record batches of about ``rows`` rows from small column tuples."""
     import pyarrow as pa
 
+    held, n = [], 0
+
+    def out():
+        cols = [pa.array(np.concatenate(c)) if isinstance(c[0], np.ndarray) else pa.chunked_array(c).combine_chunks() for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    for p in parts:
+        held.append(p)
+        n += len(p[0])
+        if n >= rows:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
+def _anchors(batches):
     one_thread()
-    for batch in batches:
-        for _, _, raw, off in _blocks(batch):
-            _, _, h = pieces(raw, off)
-            seen, count = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(count)], names=["anchor", "n"])
+    found = ((pieces(raw, off)[2].view(np.int64),) for batch in batches for _, _, raw, off in _blocks(batch))
+    yield from _gathered(found, ["anchor"])
 
 
 def _key(h2, doc, start):
@@ -160,9 +175,8 @@ def _walk(batch, flt, places: bool):
 
     for docs, moved, raw, off in _blocks(batch):
         first, last, h = pieces(raw, off)
-        if not places:
-            keep = passes(flt, h)
-            first, last, h = first[keep], last[keep], h[keep]
+        keep = passes(flt, h)
+        first, last, h = first[keep], last[keep], h[keep]
         if not len(first):
             continue
         whole = raw.tobytes()
@@ -178,12 +192,9 @@ def _walk(batch, flt, places: bool):
 
 def _emit(sent):
     def run(batches):
-        import pyarrow as pa
-
         one_thread()
-        for batch in batches:
-            for _, h, h2, doc, start, first, end in _walk(batch, sent.value, False):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, h2, doc, start, (end - first - SPAN + 1).astype(np.int32)))], names=["h1", "h2", "doc", "start", "starts"])
+        found = ((h, h2, doc, start, (end - first - SPAN + 1).astype(np.int32)) for batch in batches for _, h, h2, doc, start, first, end in _walk(batch, sent.value, False))
+        yield from _gathered(found, ["h1", "h2", "doc", "start", "starts"])
 
     return run
 
@@ -195,10 +206,9 @@ def _contents(sent):
         import pyarrow as pa
 
         one_thread()
-        for batch in batches:
-            for whole, h, h2, doc, start, first, end in _walk(batch, sent.value, True):
-                content = pa.array([whole[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (h, h2, doc, start)), content], names=["h1", "h2", "doc", "start", "content"])
+        cut = lambda whole, first, end: pa.array([whole[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())
+        found = ((h, h2, doc, start, cut(whole, first, end)) for batch in batches for whole, h, h2, doc, start, first, end in _walk(batch, sent.value, True))
+        yield from _gathered(found, ["h1", "h2", "doc", "start", "content"], 1 << 15)
 
     return run
 
@@ -403,7 +413,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc", "text")
-    anchors = texts.mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    anchors = texts.mapInArrow(_anchors, "anchor long").groupBy("anchor").count().where("count > 1")
     # filters of a fixed size, whatever the input
     sent = spark.sparkContext.broadcast(bloom(anchors, F.col("anchor")))
     settle(spark)
@@ -419,7 +429,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     compared = classes.drop("n").join(met.hint("shuffle_hash"), "h1").withColumn("salts", salts).withColumn("salt", F.pmod("h2", F.col("salts")).cast("int")).drop("met")
     compared = durable(compared, "suffix-compared")
     key = F.col("h2").bitwiseXOR(F.shiftleft("doc", 21)).bitwiseXOR(F.shiftleft("start", 5))
-    chosen = spark.sparkContext.broadcast(bloom(compared, key))
+    wanted = compared.select("h1").distinct().unionByName(compared.select(key.alias("h1")))
+    chosen = spark.sparkContext.broadcast(bloom(wanted, F.col("h1")))
     content = texts.mapInArrow(_contents(chosen), "h1 long, h2 long, doc long, start long, content binary")
     content = content.join(compared.hint("shuffle_hash"), ["h1", "h2", "doc", "start"])
     own = durable(content.repartition(max(1, -(-total // COLLECTION)), "h1", "salt").mapInArrow(_collections, OWNED), "suffix-owned")
@@ -446,5 +457,7 @@ def remove_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, if ``keep``) of every row of ``docs`` (doc_id, text)."""
     rows = _numbered(docs)
     gone = repeated_strings(rows).groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("start", "starts", "lo", "hi")).alias("gone"))
+    gone = durable(gone, "suffix-gone")
+    settle(docs.sparkSession)
     joined = rows.join(gone.hint("shuffle_hash"), rows["doc"] == gone["__doc"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut(keep), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
