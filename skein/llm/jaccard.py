@@ -144,7 +144,8 @@ def _index(seed: int, words: int):
 
 
 def _signed(num: int, den: int, seed: int, words: int, sent=None):
-    """(key, sig, code) of every segment of every set in its families; with a filter, of those that it lets through."""
+    """(key, sig, code) of every segment of every set in its families; with a filter, of those that it lets through, and
+    the set's size in place of the code."""
 
     def run(batches):
         import pyarrow as pa
@@ -168,7 +169,7 @@ def _signed(num: int, den: int, seed: int, words: int, sent=None):
                             at = at[passes(sent.value, g[at])]
                         keys.append(np.full(len(at), key, np.int64))
                         sigs.append(g[at].view(np.int64))
-                        codes.append((b << 32) + at)
+                        codes.append((b << 32) + at if sent is None else np.full(len(at), len(tokens)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sigs, codes)], names=["key", "sig", "code"])
 
     return run
@@ -204,6 +205,24 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    """Like :func:`sketch`, with as many bits as the set has tokens, or more."""
+    power = max(10, int(len(tokens) - 1).bit_length())
+    at = (tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - power)
+    odd = np.bincount(at.astype(np.int64), minlength=1 << power) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(x: np.ndarray, y: np.ndarray) -> int:
+    """Tokens in which two sets differ at the least, by their wide sketches; the wider is folded to the other's bits."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        pairs = np.unpackbits(x, bitorder="little").reshape(-1, 2)
+        x = np.packbits(pairs[:, 0] ^ pairs[:, 1], bitorder="little")
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(seed: int, words: int):
     def run(batches):
         import pyarrow as pa
@@ -213,7 +232,22 @@ def _sets(seed: int, words: int):
             for _, sets in token_sets(whole, words):
                 keep = [t for t in sets if len(t)]
                 keys = [_class(t, _sums(t, seed), seed)[0] for t in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary())], names=["key", "tokens"])
+                binary = lambda x: pa.array(x, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(t) for t in keep], pa.int64()), binary([wide_sketch(t) for t in keep]), binary([t.tobytes() for t in keep])], names=["key", "n", "wide", "tokens"])
+
+    return run
+
+
+def _plausible(num: int, den: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = []
+            for x, y, m, n in zip(b.column("wa"), b.column("wb"), b.column("na").to_pylist(), b.column("nb").to_pylist(), strict=True):
+                odd = differ_at_least(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                keep.append(odd * (den + num) <= (m + n) * (den - num))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -257,11 +291,11 @@ def allot(shape: Shape, costs: dict[tuple[int, int], float], sets: dict[int, int
 
 
 def _read_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, seed: int, words: int) -> DataFrame:
-    """(key, tokens) of the classes in ``keys``; only texts that one needs are read into sets."""
+    """(key, n, wide, tokens) of the classes in ``keys``; only texts that one needs are read into sets."""
     ids = durable(classes.join(keys, "key", "left_semi").select(F.col("rep").alias("__rep")), "jac-need")
     ids = F.broadcast(ids) if small_enough(ids, BROADCAST_ROWS) else ids.hint("shuffle_hash")
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__rep"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(seed, words), "key long, tokens binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
+    sets = texts.mapInArrow(_sets(seed, words), "key long, n long, wide binary, tokens binary").join(keys, "key", "left_semi").dropDuplicates(["key"])
     return durable(sets, "jac-sets")
 
 
@@ -276,10 +310,12 @@ def _possible(x: str, y: str, num: int, den: int):
     return (nx * den >= ny * num) & (ny * den >= nx * num) & (_odd(x, y) * (den + num) <= (nx + ny) * (den - num))
 
 
-def _verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, inter, uni) of pairs (a, b) of classes."""
-    side = lambda x: sets.select(F.col("key").alias(x), F.col("tokens").alias(f"t{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+def _verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, inter, uni) of pairs (a, b) of classes, without those that wide sketches rule out."""
+    side = lambda x, c, short: sets.select(F.col("key").alias(x), F.col(c).alias(f"{short}{x}"), *([F.col("n").alias(f"n{x}")] if short == "w" else []))
+    joined = lambda p, c, short: p.join(side("b", c, short), "b").join(side("a", c, short), "a")
+    left = durable(joined(pairs, "wide", "w").select("a", "b", "wa", "wb", "na", "nb").mapInArrow(_plausible(num, den), "a long, b long"), "jac-plausible")
+    both = joined(left, "tokens", "t").select("a", "b", "ta", "tb")
     return durable(both.mapInArrow(_intersect, "a long, b long, inter long, uni long"), "jac-verified")
 
 
@@ -308,30 +344,32 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         gone = spark.createDataFrame([((b << 32) + s,) for b, s in sorted(dropped)], "code long")
         groups = groups.join(F.broadcast(gone), "code", "left_anti")
     sent = spark.sparkContext.broadcast(bloom(groups, F.col("sig")))
-    members = texts.mapInArrow(_signed(num, den, seed, words, sent), SIGNED).join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size")
+    members = texts.mapInArrow(_signed(num, den, seed, words, sent), SIGNED).join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size", F.col("code").alias("n"))
     if wide:
         more = durable(texts.mapInArrow(_one_deletions(num, den, seed, words, wide), "key long, sig long"), "jac-deletions")
         again = shared(more.withColumn("code", F.lit(0))).select("sig", "size")
-        members = members.unionByName(more.join(again.hint("shuffle_hash"), "sig").select("sig", "key", "size"))
+        sized = more.join(again.hint("shuffle_hash"), "sig").join(classes.select("key", "n"), "key")
+        members = members.unionByName(sized.select("sig", "key", "size", "n"))
     members = durable(members.distinct(), "jac-members")
     settle(spark)
     rank = members.groupBy("key").agg(F.sum("size").alias("shares"))
-    pivot = members.join(rank, "key").groupBy("sig").agg(F.max(F.struct("shares", "key")).alias("pivot")).select("sig", F.col("pivot.key").alias("a"))
-    stars = members.join(pivot, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()
+    pivot = members.join(rank, "key").groupBy("sig").agg(F.max(F.struct("shares", "key", "n")).alias("pivot")).select("sig", F.col("pivot.key").alias("a"), F.col("pivot.n").alias("na"))
+    stars = members.join(pivot, "sig").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb"))
+    stars = stars.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).distinct()
     stars = durable(stars, "jac-stars")
     keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sketches = rows.where("n > 0").select("key", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)]).join(keys(stars), "key", "left_semi").dropDuplicates(["key"])
     sketches = durable(sketches, "jac-sketches")
-    of = lambda x: sketches.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in sketches.columns if c != "key"])
+    of = lambda x: sketches.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in sketches.columns if c not in ("key", "n")])
     seen = stars.join(of("a"), "a").join(of("b"), "b")
     seen = durable(seen.select("a", "b", _possible("a", "b", num, den).alias("near"), (2 * _odd("a", "b") / (F.col("na") + F.col("nb") + _odd("a", "b"))).alias("least")), "jac-seen")
     near = seen.where("near").select("a", "b")
-    known = _verify(_read_sets(docs, classes, keys(near), seed, words), near)
+    known = _verify(_read_sets(docs, classes, keys(near), seed, words), near, num, den)
     settle(spark)
     links = known.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b")
     rest = _unlinked(seen, known, links, sketches, num, den)
     if rest is not None:
-        more = _verify(_read_sets(docs, classes, keys(rest), seed, words), rest)
+        more = _verify(_read_sets(docs, classes, keys(rest), seed, words), rest, num, den)
         links = links.unionByName(more.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"))
     settle(spark)
     named = connected_components(links, "a", "b")
