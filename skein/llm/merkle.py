@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, partitions
 
-#: White space after these ends a phrase.
-PHRASE_END = r"(?<=[aeiouAEIOU.,;:!?|])\x20+"
+#: White space after these ends a phrase; a phrase of more characters than that is cut.
+PHRASE_END, PHRASE = r"(?<=[aeiouyAEIOUY0-9\p{P}\p{S}])\x20+", 64
 #: Cells of the id range, counted once; buckets of about equal row counts are runs of cells.
 CELLS = 65_536
 
@@ -36,7 +36,9 @@ def tree(text: Column) -> Column:
     closing = lambda h, p: F.when((F.length(p) == 0) | h.rlike("^[01]"), F.concat(h, F.lit(";"))).otherwise(h)
     chain = F.array_join(F.transform(paragraphs, lambda p: closing(F.sha2(p, 256), p)), ",")
     sections = F.transform(F.split(chain, ";,?", -1), lambda s: F.sha2(s, 256))
-    phrases = F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, PHRASE_END, -1), lambda x: F.hash(x)))))
+    short = lambda x: F.when(F.length(x) > PHRASE, F.regexp_extract_all(x, F.lit(f".{{1,{PHRASE}}}"), F.lit(0))).otherwise(F.array(x))
+    cut = lambda p: F.flatten(F.transform(F.split(p, PHRASE_END, -1), short))
+    phrases = F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.transform(cut(p), lambda x: F.hash(x)))))
     # the number of paragraphs is part of the root, as an empty last section leaves no other trace
     root = F.sha2(F.concat_ws("|", F.array_join(sections, ","), F.size(paragraphs).cast("string")), 256)
     return F.struct(root.alias("root"), sections.alias("sections"), phrases.alias("phrases"))

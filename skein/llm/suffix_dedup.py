@@ -100,7 +100,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """First and last string start of each piece, and its anchor's hash; places are in ``raw``."""
     if len(raw) < SPAN:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none.astype(np.uint64)
     at, h = _least(raw)
     n = len(at)
     ok = np.zeros(n, bool)
