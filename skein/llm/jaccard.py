@@ -10,6 +10,10 @@ them out.  m is a little over H + 1, and the allotment is made by cost: the segm
 and where one exact segment costs more than an index of one-deletion neighbourhoods, it
 is dropped for such an index of a cheap one.
 
+Tokens that very many sets have, by counters over the whole corpus, are a segment of their
+own that always goes without.  Otherwise a segment that holds nothing but a shared passage
+would tie all the sets that have it.
+
 Equal sets are one class, known by a hash of the set.  Within the classes that share a
 signature not all pairs are made: the class that shares most (a copies' original, as a
 rule) is the pivot, all others are verified against it.  Distances are a metric, so what
@@ -47,6 +51,8 @@ CHOICE, BROADCAST_ROWS = 4096, 1_000_000
 ROWS, SIGNED = "doc_id long, n long, key long, check long, bits array<long>", "key long, sig long, code long"
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 16
+#: Tokens are counted by 2 ** COUNTERS counters; those of a counter over OFTEN times the mean are common.
+COUNTERS, OFTEN, LEAST = 18, 4, 16
 
 
 class Shape:
@@ -130,20 +136,40 @@ def _sums(tokens: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _index(seed: int, words: int):
+    """A row a text; and, with n = -1, what each of the task's counters has counted."""
+
     def run(batches):
         import pyarrow as pa
 
         one_thread()
+        counters, names = np.zeros(1 << COUNTERS, np.int64), ["doc_id", "n", "key", "check", "bits"]
         for whole in batches:
             for part, sets in token_sets(whole, words):
                 found = [(len(t), *_class(t, _sums(t, seed), seed), sketch(t).tolist()) for t in sets]
                 arrays = [part.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "key", "check", "bits"])
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
+        at = np.flatnonzero(counters)
+        fixed = lambda x: pa.array(np.full(len(at), x))
+        arrays = [pa.nulls(len(at), pa.int64()), fixed(-1), pa.array(at), pa.array(counters[at]), pa.nulls(len(at), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def _signed(num: int, den: int, seed: int, words: int, sent=None):
+def _common(rows: DataFrame) -> np.ndarray:
+    """By counter, whether its tokens are common; one number a counter comes to the driver, whatever the input."""
+    got = rows.where("n = -1").groupBy("key").agg(F.sum("check").alias("n")).toPandas()
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out > max(LEAST, OFTEN * out.sum() / max(1, np.count_nonzero(out)))
+
+
+def _rare(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    return tokens[~common[(tokens >> np.uint64(64 - COUNTERS)).astype(np.int64)]]
+
+
+def _signed(num: int, den: int, seed: int, words: int, common, sent=None):
     """(key, sig, code) of every segment of every set in its families; with a filter, of those that it lets through, and
     the set's size in place of the code."""
 
@@ -158,11 +184,12 @@ def _signed(num: int, den: int, seed: int, words: int, sent=None):
                 for tokens in sets:
                     if not len(tokens):
                         continue
-                    sums = _sums(tokens, seed)
-                    key = _class(tokens, sums, seed)[0]
+                    key = _class(tokens, _sums(tokens, seed), seed)[0]
+                    rare = _rare(tokens, common.value)
+                    sums = _sums(rare, seed)
                     for b in shape.families(len(tokens)):
-                        g = signatures(shape, tokens, sums, b)
-                        filled = _filled(shape, tokens, b)
+                        g = signatures(shape, rare, sums, b)
+                        filled = _filled(shape, rare, b)
                         spare = len(g) - shape.differ(b) - shape.spare(b)
                         at = np.flatnonzero(filled) if len(g) - np.count_nonzero(filled) < spare else np.arange(len(g))
                         if sent is not None:
@@ -175,7 +202,7 @@ def _signed(num: int, den: int, seed: int, words: int, sent=None):
     return run
 
 
-def _one_deletions(num: int, den: int, seed: int, words: int, wanted: dict[int, list[int]]):
+def _one_deletions(num: int, den: int, seed: int, words: int, common, wanted: dict[int, list[int]]):
     def run(batches):
         import pyarrow as pa
 
@@ -186,10 +213,10 @@ def _one_deletions(num: int, den: int, seed: int, words: int, wanted: dict[int,
                 keys, found = [], []
                 for tokens in sets:
                     if len(tokens):
-                        key = _class(tokens, _sums(tokens, seed), seed)[0]
+                        key, rare = _class(tokens, _sums(tokens, seed), seed)[0], _rare(tokens, common.value)
                         for b in shape.families(len(tokens)):
                             for s in wanted.get(b, ()):
-                                d = deletions(shape, tokens, b, s)
+                                d = deletions(shape, rare, b, s)
                                 keys.append(np.full(len(d), key, np.int64))
                                 found.append(d.view(np.int64))
                 if keys:
@@ -334,7 +361,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             break
     shape, texts = Shape(num, den, seed), docs.select("text")
     shared = lambda df: df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("code").alias("code")).where("low <> high")
-    groups = durable(shared(texts.mapInArrow(_signed(num, den, seed, words), SIGNED)).select("sig", "size", "code"), "jac-groups")
+    common = spark.sparkContext.broadcast(_common(rows))
+    groups = durable(shared(texts.mapInArrow(_signed(num, den, seed, words, common), SIGNED)).select("sig", "size", "code"), "jac-groups")
     settle(spark)
     bands = {r["band"]: r["count"] for r in classes.select("n").join(F.broadcast(_band_table(shape, classes)), F.col("n").between(F.col("from"), F.col("to"))).groupBy("band").count().collect()}
     costs = {(r["code"] >> 32, r["code"] & 0xFFFFFFFF): r["pairs"] for r in groups.where(F.col("code") % F.lit(1 << 32) <= CHOICE * 2).groupBy("code").agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs")).collect()}
@@ -344,9 +372,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         gone = spark.createDataFrame([((b << 32) + s,) for b, s in sorted(dropped)], "code long")
         groups = groups.join(F.broadcast(gone), "code", "left_anti")
     sent = spark.sparkContext.broadcast(bloom(groups, F.col("sig")))
-    members = texts.mapInArrow(_signed(num, den, seed, words, sent), SIGNED).join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size", F.col("code").alias("n"))
+    members = texts.mapInArrow(_signed(num, den, seed, words, common, sent), SIGNED).join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size", F.col("code").alias("n"))
     if wide:
-        more = durable(texts.mapInArrow(_one_deletions(num, den, seed, words, wide), "key long, sig long"), "jac-deletions")
+        more = durable(texts.mapInArrow(_one_deletions(num, den, seed, words, common, wide), "key long, sig long"), "jac-deletions")
         again = shared(more.withColumn("code", F.lit(0))).select("sig", "size")
         sized = more.join(again.hint("shuffle_hash"), "sig").join(classes.select("key", "n"), "key")
         members = members.unionByName(sized.select("sig", "key", "size", "n"))
@@ -376,6 +404,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     named = classes.select("key", "rep").join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_key = durable(named.join(smallest, "component").select(F.col("key").alias("__key"), "component_id"), "jac-named")
+    rows = rows.where("n >= 0")
     out = rows.select("doc_id", "n", "key").join(by_key, (rows["key"] == by_key["__key"]) & (rows["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
