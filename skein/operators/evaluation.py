@@ -206,3 +206,42 @@ def interval_overlaps(df: DataFrame, key: str, first: str, last: str) -> DataFra
     a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in ("k", "f", "l")], "d") for x in "ab")
     meet = F.floor(F.greatest("a_f", "b_f") / day) == F.col("d")
     return a.join(b, "d").where((F.col("a_k") < F.col("b_k")) & (F.col("a_f") <= F.col("b_l")) & (F.col("b_f") <= F.col("a_l")) & meet).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
+
+
+def group_summary(groups: DataFrame) -> DataFrame:
+    """Groups of two or more by purity: how many, their transactions, their share."""
+    t = groups.where("size >= 2").groupBy("purity_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("n_transactions"))
+    return t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def campaign_metrics(members: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """One row: campaigns, those that an alert touches, alerts, and alerts that touch none.
+
+    ``members``: candidate_id and campaign_id by transaction.
+    """
+    hit = members.join(scored, "candidate_id", "left").withColumn("hit", F.coalesce(F.col("score") >= threshold, F.lit(False)))
+    real = F.col("campaign_id") != ""
+    of = lambda cond, c: F.count_distinct(F.when(cond, F.col(c)))
+    t = hit.agg(of(real, "campaign_id").alias("n_campaigns"), of(real & F.col("hit"), "campaign_id").alias("n_detected"), of(F.col("hit"), "candidate_id").alias("n_alerts"), of(F.col("hit") & real, "candidate_id").alias("n_true"))
+    return t.select("n_campaigns", "n_detected", (F.col("n_detected") / F.nullif(F.col("n_campaigns"), F.lit(0))).alias("campaign_recall"), "n_alerts", (F.col("n_alerts") - F.col("n_true")).alias("n_false_alerts"))
+
+
+def comparators(features: DataFrame, by: dict[str, str]) -> DataFrame:
+    """candidate_id and, for each name, the average rank of a column as a share."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    return features.select("candidate_id", *[(average_rank(F.col(c)) / n).alias(name) for name, c in by.items()])
+
+
+def recall_exchange(df: DataFrame, budgets: tuple[float, ...] = (0.01, 0.02, 0.05, 0.10), score: str = "score", label: str = "label") -> DataFrame:
+    """By alert budget: the score that it buys, alerts and hits."""
+    cut = df.agg(F.percentile(score, F.array(*[F.lit(1 - b) for b in budgets])).alias("t"))
+    rows = cut.select(F.explode(F.arrays_zip(F.array(*map(F.lit, budgets)).alias("budget"), F.col("t").alias("threshold"))).alias("x")).select("x.budget", "x.threshold")
+    hit = F.col(score) >= F.col("threshold")
+    return df.crossJoin(F.broadcast(rows)).groupBy("budget", "threshold").agg(F.count_if(hit).alias("n_alerts"), F.count_if(hit & (F.col(label) == 1)).alias("n_hits"))
+
+
+def attach_groups(assigned: DataFrame, gt: DataFrame) -> DataFrame:
+    """By candidate: its campaign and other transactions, campaigns and positives."""
+    j = assigned.select("transaction_id", "candidate_id").join(gt, "transaction_id")
+    real = F.col("campaign_id") != ""
+    return j.groupBy("candidate_id").agg(F.count_if(real).alias("campaign_transactions"), F.count_if(~real).alias("non_campaign_transactions"), F.count_distinct(F.when(real, F.col("campaign_id"))).alias("n_distinct_campaigns"), F.sum("label").alias("label1_transactions"), (F.count_if(real) > 0).alias("is_attack_containing"))

@@ -166,3 +166,13 @@ def detect(tx: DataFrame, assigned: DataFrame, ref: ScorerReference, table: Data
     members = assigned.groupBy("candidate_id").agg(F.array_join(F.sort_array(F.collect_list("transaction_id")), "|").alias("transaction_ids"), F.count(F.lit(1)).alias("size"))
     level = tier(F.round("score", 12), thresholds)
     return s.select("candidate_id", "score", level.alias("tier")).withColumn("action", action(F.col("tier"))).join(members, "candidate_id")
+
+
+def explain_campaigns(scored: DataFrame, ref: ScorerReference, thresholds: RiskThresholds | None = None, k: int = 3) -> DataFrame:
+    """candidate_id, tier and a sentence that names the strongest signals by the share of the reference they exceed."""
+    x = explained(scored, ref)
+    best = Window.partitionBy("candidate_id").orderBy(F.col("suspicion_percentile").desc(), "feature")
+    said = F.concat(F.translate("feature", "_", " "), F.lit(" above "), F.round(100 * F.col("suspicion_percentile"), 0).cast("int").cast("string"), F.lit("% of the reference"))
+    top = x.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("r", said.alias("said")))).alias("s"))
+    level = scored.select("candidate_id", tier(F.round("score", 12), thresholds).alias("tier"))
+    return level.join(top, "candidate_id").select("candidate_id", "tier", F.concat(F.initcap(F.lower("tier")), F.lit(" risk: "), F.array_join(F.transform("s", lambda y: y["said"]), "; "), F.lit(".")).alias("explanation"))

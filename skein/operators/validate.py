@@ -67,3 +67,11 @@ def candidate_checks(assigned: DataFrame, links: DataFrame) -> DataFrame:
     twice = assigned.groupBy("transaction_id").count().agg(F.count_if(F.col("count") > 1).alias("n_assigned_twice"))
     sizes = assigned.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.max("candidate_size").alias("said")).agg(F.count_if(F.col("n") != F.col("said")).alias("n_wrong_size"))
     return across.crossJoin(twice).crossJoin(sizes)
+
+
+def rows_preserved(before: DataFrame, after: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """One row: original rows that are missing or changed, and rows added."""
+    a = before.select("transaction_id", F.xxhash64(*columns).alias("a"), F.lit(1).alias("in_a"))
+    b = after.select("transaction_id", F.xxhash64(*columns).alias("b"), F.lit(1).alias("in_b"))
+    j = a.join(b, "transaction_id", "full_outer")
+    return j.agg(F.count_if(F.col("in_b").isNull()).alias("n_missing"), F.count_if((F.col("in_a") == 1) & (F.col("in_b") == 1) & (F.col("a") != F.col("b"))).alias("n_changed"), F.count_if(F.col("in_a").isNull()).alias("n_added"))

@@ -11,7 +11,7 @@ from skein.operators import scoring as sco
 from skein.plans import oracle as q
 from skein.plans.config import ENTITY_COLUMN, FIXTURE
 from skein.plans.queries import _assigned, _scored, r6, register, rounded, tx
-from skein.sources import transactions
+from skein.sources import replay, transactions
 from skein.streaming import online
 
 _M = "m AS (SELECT * FROM t WHERE candidate_size > 1)"
@@ -373,3 +373,55 @@ def candidate_key(spark, sf):
 @register(q.query("SELECT transaction_id, CASE WHEN len(transaction_id) > 8 THEN left(transaction_id, 8) || '…' ELSE transaction_id END AS masked FROM o"))
 def mask_identifier(spark, sf):
     return tx(spark, sf).select("transaction_id", online.masked("transaction_id").alias("masked"))
+
+
+# more of the evaluation and sources
+
+@register(q.query("SELECT transaction_id, ts_us, row_number() OVER (ORDER BY ts_us, transaction_id) AS cursor FROM o WHERE amount > 0 ORDER BY ts_us, transaction_id LIMIT 500"))
+def replay_source(spark, sf):
+    """The first 500 valid rows in time order: the cap is what a replay is."""
+    return replay.replay(tx(spark, sf))
+
+
+@register(q.assigned(f"SELECT purity_class, count(*) AS n, sum(size)::BIGINT AS n_transactions, {r6('count(*)::DOUBLE / sum(count(*)) OVER ()')} AS share FROM gt WHERE size >= 2 GROUP BY 1", _GT))
+def group_summary(spark, sf):
+    return rounded(evaluation.group_summary(evaluation.group_table(_joined(spark, sf)[2])))
+
+
+_HIT = "hc AS (SELECT t.campaign_id, t.candidate_id, score >= 0.5 AS hit FROM t JOIN (SELECT candidate_id, round(score, 6) AS score FROM ss) USING (candidate_id))"
+
+
+@register(q.assigned(f"SELECT n_campaigns, n_detected, {r6('n_detected::DOUBLE / n_campaigns')} AS campaign_recall, n_alerts, n_false_alerts FROM (SELECT (SELECT count(DISTINCT campaign_id) FROM o WHERE campaign_id <> '') AS n_campaigns, count(DISTINCT campaign_id) FILTER (hit AND campaign_id <> '') AS n_detected, count(DISTINCT candidate_id) FILTER (hit) AS n_alerts, (count(DISTINCT candidate_id) FILTER (hit) - count(DISTINCT candidate_id) FILTER (hit AND campaign_id <> ''))::BIGINT AS n_false_alerts FROM hc)", q.FEATS, q.SCORED, _HIT))
+def campaign_metrics(spark, sf):
+    t, a, f, ref, table = _scored(spark, sf)
+    s = sco.transform(f, ref, table).select("candidate_id", F.round("score", 6).alias("score"))
+    return rounded(evaluation.campaign_metrics(t.join(a.select("transaction_id", "candidate_id"), "transaction_id"), s, 0.5))
+
+
+@register(q.assigned(f"SELECT candidate_id, {r6('(rank() OVER (ORDER BY size) + (count(*) OVER (PARTITION BY size) - 1) / 2.0::DOUBLE) / count(*) OVER ()')} AS by_size, {r6('(rank() OVER (ORDER BY burst_rate_per_minute) + (count(*) OVER (PARTITION BY burst_rate_per_minute) - 1) / 2.0::DOUBLE) / count(*) OVER ()')} AS by_rate FROM f", q.FEATS))
+def comparators(spark, sf):
+    f = _scored(spark, sf)[2]
+    return rounded(evaluation.comparators(f, {"by_size": "size", "by_rate": "burst_rate_per_minute"}))
+
+
+@register(q.assigned(f"SELECT budget, {r6('threshold')} AS threshold, count(*) FILTER (score >= threshold) AS n_alerts, count(*) FILTER (score >= threshold AND label = 1) AS n_hits FROM sl, (SELECT unnest([0.01::DOUBLE, 0.02::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS budget, unnest((SELECT [quantile_cont(score, 0.99), quantile_cont(score, 0.98), quantile_cont(score, 0.95), quantile_cont(score, 0.9)] FROM sl)) AS threshold) GROUP BY 1, threshold", q.FEATS, q.SCORED, _SL))
+def recall_exchange(spark, sf):
+    return rounded(evaluation.recall_exchange(_labelled(spark, sf)))
+
+
+@register(q.assigned("SELECT candidate_id, count(*) FILTER (campaign_id <> '') AS campaign_transactions, count(*) FILTER (campaign_id = '') AS non_campaign_transactions, count(DISTINCT campaign_id) FILTER (campaign_id <> '') AS n_distinct_campaigns, sum(label)::BIGINT AS label1_transactions, count(*) FILTER (campaign_id <> '') > 0 AS is_attack_containing FROM t GROUP BY 1"))
+def attach_groups(spark, sf):
+    t, a = _assigned(spark, sf)
+    return evaluation.attach_groups(a, evaluation.truth(t))
+
+
+@register(q.query("SELECT 0::BIGINT AS n_missing, 0::BIGINT AS n_changed, 24::BIGINT AS n_added"))
+def rows_preserved(spark, sf):
+    t = tx(spark, sf)
+    return validate.rows_preserved(t, perturb.inject_bursts(t, 3, 8, 300, 9), ("ts_us", "card_fingerprint", "amount", "label"))
+
+
+@register()
+def explain_campaign(spark, sf):
+    _, _, f, ref, table = _scored(spark, sf)
+    return sco.explain_campaigns(sco.transform(f, ref, table), ref)
