@@ -19,10 +19,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Self loops name a node without linking it; null ends are ignored.
     """
-    both = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = durable(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
+    half = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    half = durable(half.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges")
     labels = None
     while True:
+        both = half.unionByName(half.select(F.col("v").alias("u"), F.col("u").alias("v")))
         root = durable(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")), "cc-point")
         while True:
             up = root.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -37,7 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             step = root.select(F.col("node").alias("root"), F.col("root").alias("next"))
             labels = durable(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-labels")
         to = lambda a, b: root.select(F.col("node").alias(a), F.col("root").alias(b))
-        both = both.join(to("u", "ru"), "u").join(to("v", "rv"), "v").where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
-        both = durable(both, "cc-edges")
-        if both.limit(1).count() == 0:
+        half = half.join(to("u", "ru"), "u").join(to("v", "rv"), "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+        half = durable(half, "cc-edges")
+        if half.limit(1).count() == 0:
             return labels.select("node", F.col("root").alias("component"))
