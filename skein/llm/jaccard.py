@@ -12,7 +12,8 @@ is dropped for such an index of a cheap one.
 
 Tokens that very many sets have, by counters over the whole corpus, are a segment of their
 own that always goes without.  Otherwise a segment that holds nothing but a shared passage
-would tie all the sets that have it.
+would tie all the sets that have it.  At similarities that make segments long this is not
+done.
 
 Equal sets are one class, known by a hash of the set.  Within the classes that share a
 signature not all pairs are made: the class that shares most (a copies' original, as a
@@ -361,7 +362,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             break
     shape, texts = Shape(num, den, seed), docs.select("text")
     shared = lambda df: df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("code").alias("code")).where("low <> high")
-    common = spark.sparkContext.broadcast(_common(rows))
+    # only short segments, of under six tokens or so, need it
+    common = spark.sparkContext.broadcast(_common(rows) if (den - num) * 6 > num else np.zeros(1 << COUNTERS, bool))
     groups = durable(shared(texts.mapInArrow(_signed(num, den, seed, words, common), SIGNED)).select("sig", "size", "code"), "jac-groups")
     settle(spark)
     bands = {r["band"]: r["count"] for r in classes.select("n").join(F.broadcast(_band_table(shape, classes)), F.col("n").between(F.col("from"), F.col("to"))).groupBy("band").count().collect()}
