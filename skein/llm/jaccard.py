@@ -34,6 +34,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -338,6 +339,11 @@ def _possible(x: str, y: str, num: int, den: int):
     return (nx * den >= ny * num) & (ny * den >= nx * num) & (_odd(x, y) * (den + num) <= (nx + ny) * (den - num))
 
 
+def _size_class(n, num: int, den: int):
+    """Sizes that let two sets be similar are in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (math.log(den / num) * 1.0001)).cast("int")
+
+
 def _verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, inter, uni) of pairs (a, b) of classes, without those that wide sketches rule out."""
     side = lambda x, c, short: sets.select(F.col("key").alias(x), F.col(c).alias(f"{short}{x}"), *([F.col("n").alias(f"n{x}")] if short == "w" else []))
@@ -384,15 +390,16 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     settle(spark)
     rank = members.groupBy("key").agg(F.sum("size").alias("shares"))
     pivot = members.join(rank, "key").groupBy("sig").agg(F.max(F.struct("shares", "key", "n")).alias("pivot")).select("sig", F.col("pivot.key").alias("a"), F.col("pivot.n").alias("na"))
-    stars = members.join(pivot, "sig").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb"))
-    stars = stars.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).distinct()
+    # also members whose size rules out the pivot: they may be similar to one another
+    stars = members.join(pivot, "sig").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb")).distinct()
     stars = durable(stars, "jac-stars")
     keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sketches = rows.where("n > 0").select("key", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)]).join(keys(stars), "key", "left_semi").dropDuplicates(["key"])
     sketches = durable(sketches, "jac-sketches")
     of = lambda x: sketches.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in sketches.columns if c not in ("key", "n")])
     seen = stars.join(of("a"), "a").join(of("b"), "b")
-    seen = durable(seen.select("a", "b", _possible("a", "b", num, den).alias("near"), (2 * _odd("a", "b") / (F.col("na") + F.col("nb") + _odd("a", "b"))).alias("least")), "jac-seen")
+    differ = F.greatest(_odd("a", "b"), F.abs(F.col("na") - F.col("nb")))
+    seen = durable(seen.select("a", "b", _possible("a", "b", num, den).alias("near"), (2 * differ / (F.col("na") + F.col("nb") + differ)).alias("least")), "jac-seen")
     near = seen.where("near").select("a", "b")
     known = _verify(_read_sets(docs, classes, keys(near), seed, words), near, num, den)
     settle(spark)
@@ -430,11 +437,13 @@ def _unlinked(seen, known, links, sketches, num, den) -> DataFrame | None:
     s = s.select("a", "b", "n", F.coalesce(d, "least").alias("lo"), F.coalesce(d, F.lit(1.0)).alias("hi"), F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("c"), *[f"w{i}" for i in range(SKETCH)])
     s = durable(s, "jac-distances")
     side = lambda df, x: df.select("a", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "a"])
-    x, y = side(s.where("c <> ca"), "x"), side(s, "y")
+    near = _size_class(F.col("nx"), num, den)
+    x = side(s.where("c <> ca"), "x").withColumn("class", F.explode(F.array(near - 1, near, near + 1)))
+    y = side(s, "y").withColumn("class", _size_class(F.col("ny"), num, den))
     once = (F.col("cy") == F.col("cay")) | (F.col("bx") < F.col("by"))
     far = 1 - num / den + 1e-9
     by_pivot = (F.col("lox") - F.col("hiy") <= far) & (F.col("loy") - F.col("hix") <= far)
-    pairs = x.join(y, "a").where((F.col("cx") != F.col("cy")) & once & by_pivot & _possible("x", "y", num, den))
+    pairs = x.join(y, ["a", "class"]).where((F.col("cx") != F.col("cy")) & once & by_pivot & _possible("x", "y", num, den))
     pairs = durable(pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct(), "jac-rest")
     return pairs if pairs.limit(1).count() else None
 

@@ -245,6 +245,29 @@ def test_jaccard_matches_brute_force(spark, words_, num, den, seed):
     assert got == components(docs, words_, num, den)
 
 
+def grown(seed):
+    """Chains of texts that extend one another, prefixes of longer texts, and texts with appended ones."""
+    g = random.Random(seed)
+    out = []
+    for _ in range(12):
+        w = [f"w{g.randrange(10**6)}" for _ in range(90)]
+        n = g.randrange(10, 40)
+        while n <= 90:
+            out.append(w[:n])
+            n = int(n * g.choice([1.04, 1.08, 1.1, 1.2])) + 1
+    g.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize(("words_", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_of_size_chains(spark, words_, num, den):
+    """Members of a signature whose sizes rule out its pivot are still compared with one another."""
+    w = [f"v{i}" for i in range(16)]
+    docs = grown(3) + [(1000 + n, " ".join(w[:n])) for n in (13, 14, 16)]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words_, num, den).collect()}
+    assert got == components(docs, words_, num, den)
+
+
 def test_one_deletions_find_what_exact_segments_find(spark, monkeypatch):
     """With a dear cost for exact segments the allotment turns to one-deletion neighbourhoods; nothing is lost."""
     docs = near_copies(7)
