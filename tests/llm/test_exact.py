@@ -268,6 +268,19 @@ def test_jaccard_of_size_chains(spark, words_, num, den):
     assert got == components(docs, words_, num, den)
 
 
+def test_jaccard_of_several_large_groups_of_a_family(spark):
+    """Groups whose shared tokens are all common have the same signatures of empty segments, and one pivot; none is lost."""
+    g = random.Random(5)
+    docs = []
+    for size in (40, 52, 66):
+        base = [f"g{g.randrange(10**9)}" for _ in range(size + 4)]
+        docs += [[f"h{g.randrange(10**9)}", *base[1:-1], f"t{g.randrange(10**9)}"] for _ in range(20)]
+    docs += [[f"u{g.randrange(10**9)}" for _ in range(60)] for _ in range(200)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == components(docs, 5, 80, 100)
+
+
 def test_one_deletions_find_what_exact_segments_find(spark, monkeypatch):
     """With a dear cost for exact segments the allotment turns to one-deletion neighbourhoods; nothing is lost."""
     docs = near_copies(7)
