@@ -10,6 +10,7 @@ from skein.operators import candidates as cand
 from skein.operators import scoring as sco
 from skein.plans import oracle as q
 from skein.plans.config import ENTITY_COLUMN, FIXTURE
+from skein.plans.durable import durable
 from skein.plans.queries import _assigned, _scored, r6, register, rounded, tx
 from skein.sources import replay, transactions
 from skein.streaming import online
@@ -161,14 +162,14 @@ def rank_auc(spark, sf):
     return rounded(evaluation.rank_auc(tx(spark, sf).withColumn("value", F.round("amount", 0))))
 
 
-_AUDIT = [f.name for f in features.declared(FIXTURE, ("velocity",))][:6]
+_EVERY = [f.name for f in features.declared(FIXTURE)]
 
 
 @register()
 def univariate_audit(spark, sf):
     t = transactions.from_events(spark, sf)
-    f = features.feature_table(t, FIXTURE, ("velocity",)).join(t.select("transaction_id", "label"), "transaction_id")
-    return rounded(evaluation.univariate_audit(f, _AUDIT))
+    f = durable(features.feature_table(t, FIXTURE), "features").join(t.select("transaction_id", "label"), "transaction_id")
+    return rounded(evaluation.univariate_audit(f, _EVERY))
 
 
 @register(q.query(f"SELECT {r6('max(abs(p / sp - q / sq))')} AS ks FROM (SELECT sum(p) OVER (ORDER BY amount) AS p, sum(q) OVER (ORDER BY amount) AS q, sum(p) OVER () AS sp, sum(q) OVER () AS sq FROM (SELECT amount, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS q FROM o GROUP BY 1))"))
@@ -243,10 +244,9 @@ def hourly_profile(spark, sf):
 @register()
 def baseline_model(spark, sf):
     t = tx(spark, sf)
-    names = [f.name for f in features.declared(FIXTURE, ("velocity", "device"))]
-    f = features.feature_table(transactions.from_events(spark, sf), FIXTURE, ("velocity", "device")).join(t.select("transaction_id", "label", "ts_us"), "transaction_id")
+    f = durable(features.feature_table(transactions.from_events(spark, sf), FIXTURE), "features").join(t.select("transaction_id", "label", "ts_us"), "transaction_id")
     f = evaluation.chronological_split(f, "transaction_id", "ts_us")
-    model, plan = ml.train(f.where("split = 'train'"), names, max_iter=30)
+    model, plan = ml.train(f.where("split = 'train'"), _EVERY, max_iter=30)
     test = f.where("split = 'test'")
     return ml.score_block(ml.predict(model, plan, test).join(test.select("transaction_id", "label"), "transaction_id"))
 

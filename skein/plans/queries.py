@@ -199,9 +199,14 @@ def feature_dictionary_stats(spark, sf):
     return rounded(features.observed(features.feature_table(transactions.from_events(spark, sf), FIXTURE, ("velocity", "decline"))))
 
 
+@register()
+def feature_dictionary_stats_complete(spark, sf):
+    return rounded(features.observed(features.feature_table(transactions.from_events(spark, sf), FIXTURE)))
+
+
 @register()
 def dq_ranges(spark, sf):
-    return features.out_of_range(features.feature_table(transactions.from_events(spark, sf), FIXTURE, ("decline", "device", "velocity")), FIXTURE)
+    return features.out_of_range(features.feature_table(transactions.from_events(spark, sf), FIXTURE), FIXTURE)
 
 
 # graph
@@ -393,3 +398,9 @@ def detect_campaigns(spark, sf):
 def spearman(spark, sf):
     m = scoring.spearman(scoring.scoring_features(*_assigned(spark, sf)), _NUM[:4])
     return rounded(m.select(F.concat_ws(" ", "a", "b").alias("pair"), "rho"))
+
+
+@register()
+def spearman_complete(spark, sf):
+    m = scoring.spearman(scoring.scoring_features(*_assigned(spark, sf)), _NUM)
+    return rounded(m.select(F.concat_ws(" ", "a", "b").alias("pair"), "rho"))
