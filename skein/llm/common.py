@@ -9,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.plans.durable import durable, partitions, release, settle, shared_dir, small_enough
 
-__all__ = ["durable", "one_thread", "partitions", "read", "release", "settle", "shared_dir", "small_enough", "split_batches", "text_bytes"]
+__all__ = ["durable", "one_thread", "partitions", "read", "refuse", "release", "settle", "shared_dir", "small_enough", "split_batches", "text_bytes"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def refuse(df: DataFrame, prefix: str) -> None:
+    """Columns whose names an operator needs for itself are an error, not a silent clash."""
+    bad = [c for c in df.columns if c.lower().startswith(prefix.lower())]
+    if bad:
+        raise ValueError(f"reserved column names: {bad}")
+
+
 def text_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string array and its n+1 offsets, without a copy; nulls are empty."""
     import pyarrow as pa

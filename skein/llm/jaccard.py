@@ -2,34 +2,32 @@
 
 Sets of a size band, and of the sizes above it that can still be similar, are a family.
 Two similar sets of a family differ in at most H tokens.  The universe of hashed tokens
-is cut into m segments.  A segment is allotted an exact match (budget 1), a match up to
-one deletion (budget 2), or nothing; if the budgets add up to H + 1, two similar sets
-match in some allotted segment.  Segments without a token match without saying anything, so
-a set that has fewer of them than m exceeds H (and the segments that go without) leaves
-them out.  m is a little over H + 1, and the allotment is made by cost: the segments whose signatures have the most pairs over the whole corpus go without,
-and where one exact segment costs more than an index of one-deletion neighbourhoods, it
-is dropped for such an index of a cheap one.
-
-Tokens that very many sets have, by counters over the whole corpus, are a segment of their
-own that always goes without.  Otherwise a segment that holds nothing but a shared passage
-would tie all the sets that have it.  At similarities that make segments long this is not
-done.
+is cut into m segments, more than the H + 1 that the pigeonhole needs.  Every segment of
+every set is indexed by an exact signature.  Each set has a budget of H + 1: it goes
+without as many segments as there are over that, first those that hold nothing, then those whose
+signatures most sets share.  Two similar sets then agree in a segment that one of the two
+hasn't left out, so a signature that only sets that left it out have makes no candidates:
+what a passage fills alone doesn't tie its documents.
 
 Equal sets are one class, known by a hash of the set.  Within the classes that share a
 signature not all pairs are made: the class that shares most (a copies' original, as a
-rule) is the pivot, all others are verified against it.  Distances are a metric, so what
-is known of two sets' distances to the pivot rules out much of the rest; so do
-parity sketches, in whose bits two sets differ at most as often as in tokens.  Classes that
-didn't link to their pivot are then verified against those of its star that are in another
-component and not ruled out.  So no link between components is lost, and no group is expanded.
+rule) is the pivot, all others are verified against it.  What is open then are signatures
+whose other classes are of several components.  By band the cheaper way is taken, by
+counts over all of them: either those of different components under a signature meet, or
+their sets are indexed again by half as many, longer segments with one-deletion neighbourhoods,
+budget 2 a segment, full segments against full ones and against deletions.  Both are exact.
+Sizes and parity sketches (two sets differ in at least as many tokens as bits) rule out
+most of these pairs before sets are read.
 
 Tokens are 64-bit hashes of shingles.  Class hashes are checked by a second hash; on a
 collision the join starts again with another seed.
 
 Defined results: null and empty texts have no tokens and are linked with nothing; a text
-of fewer words than a shingle is one token; repeated rows are one class; rows without an
-id take part and get the smallest id that they reach, null if there is none; an empty
-table gives no rows.
+of fewer words than a shingle is one token; a text of any length is read whole, in a batch
+of its own; repeated rows are one class; rows without an id take part and get the smallest
+id that they reach, null if there is none; an empty table gives no rows; columns other than
+doc_id and text are not read (``keep_one`` keeps them all; names that start with __jac are
+an error there).
 """
 
 from __future__ import annotations
@@ -39,22 +37,23 @@ from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected_components
 
-from .bloom import bloom, passes
-from .common import durable, one_thread, settle, small_enough, split_batches, text_bytes
+from .common import durable, one_thread, refuse, settle, small_enough, split_batches, text_bytes
 from .words import LOWER, SPACE, hashes, mix, shingles, spans
 
-#: Segments above which a family has no spare ones to choose from; rows that may be broadcast.
-CHOICE, BROADCAST_ROWS = 4096, 1_000_000
-ROWS, SIGNED = "doc_id long, n long, key long, check long, bits array<long>", "key long, sig long, code long"
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+ROWS = "doc_id long, h long, n long, key long, check long, bits array<long>, spare array<int>"
 #: Words of 64 bits of a set's parity sketch.
 SKETCH = 16
-#: Tokens are counted by 2 ** COUNTERS counters; those of a counter over OFTEN times the mean are common.
-COUNTERS, OFTEN, LEAST = 18, 4, 16
+#: The low bits of a signature say its band.
+BAND_BITS = 7
+#: What a pair of classes, with two sketches, costs against a row of an index.
+PAIR_COST = 4
 
 
 class Shape:
@@ -72,49 +71,70 @@ class Shape:
 
     def differ(self, band: int) -> int:
         """The most tokens in which two similar sets of a family differ."""
-        self.band(1 if band < len(self.tops) else 2 ** (band // 3 + 1))
+        while len(self.tops) <= band:
+            self.band(self.tops[-1] + 1)
         return (self.den - self.num) * self.tops[band] // self.num
 
-    def segments(self, band: int) -> int:
+    def segments(self, band: int, wide: bool = False) -> int:
+        """Exact segments of a family, or its longer ones of budget 2; a quarter more than the pigeonhole needs."""
         h = self.differ(band)
-        return 0 if h == 0 else h + 2 + (h + 1) // 8
-
-    def spare(self, band: int) -> int:
-        """How many segments may go without: half of those over what the pigeonhole needs, if there are few enough to choose from."""
-        h = self.differ(band)
-        return (h + 1) // 16 if h + 1 <= CHOICE else 0
+        if h == 0:
+            return 0
+        need = (h + 2) // 2 if wide else h + 1
+        return need + 1 + (h + 1) // 4
 
     def families(self, n: int) -> list[int]:
         """The bands whose families a set of n tokens is in; equal sets need none."""
         b = self.band(n)
         return [x for x in (b, b - 1) if x >= 0 and self.differ(x) and (x == b or n * self.num <= self.tops[x] * self.den)]
 
-    @lru_cache(maxsize=256)
-    def edges(self, band: int) -> np.ndarray:
-        m = self.segments(band)
+    @lru_cache(maxsize=512)
+    def edges(self, band: int, wide: bool = False) -> np.ndarray:
+        m = self.segments(band, wide)
         return np.array([-((-i << 64) // m) for i in range(1, m)], np.uint64) if m else np.zeros(0, np.uint64)
 
+    def cuts(self, tokens: np.ndarray, band: int, wide: bool = False) -> np.ndarray:
+        """Where the segments of a sorted token set begin, and its end."""
+        return np.concatenate([[0], np.searchsorted(tokens, self.edges(band, wide)), [len(tokens)]])
+
+    def over(self, tokens: np.ndarray, band: int) -> tuple[int, int]:
+        """How many exact segments a set may go without, and how many of its own hold nothing."""
+        at = self.cuts(tokens, band)
+        return len(at) - 2 - self.differ(band), int((at[1:] == at[:-1]).sum())
+
+
+def _named(values: np.ndarray, segment: np.ndarray, band: int, wide: bool) -> np.ndarray:
+    """Hashes of segments' contents by band, segment and layout; the low bits are the band."""
+    name = mix((np.uint64(2 * band + wide + 1) << np.uint64(32)) + segment.astype(np.uint64))
+    return (mix(values ^ name) & ~np.uint64((1 << BAND_BITS) - 1)) | np.uint64(band)
+
 
 def signatures(shape: Shape, tokens: np.ndarray, sums: np.ndarray, band: int) -> np.ndarray:
-    """A signature of each segment of a sorted token set.  ``sums``: running sums of mixed tokens, from 0."""
-    at = np.concatenate([[0], np.searchsorted(tokens, shape.edges(band)), [len(tokens)]])
-    return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix((np.uint64(band + 1) << np.uint64(32)) + np.arange(len(at) - 1, dtype=np.uint64)))
+    """Signatures of the segments of a sorted token set.  ``sums``: running sums of mixed tokens, from 0.
 
+    Empty segments have none if the set may go without all of its own.
+    """
+    at = shape.cuts(tokens, band)
+    spare, empty = shape.over(tokens, band)
+    segment = np.flatnonzero(at[1:] > at[:-1]) if empty <= spare else np.arange(len(at) - 1)
+    return _named(sums[at[1:]][segment] - sums[at[:-1]][segment], segment, band, False)
 
-def _filled(shape: Shape, tokens: np.ndarray, band: int) -> np.ndarray:
-    """Whether each segment has a token."""
-    at = np.concatenate([[0], np.searchsorted(tokens, shape.edges(band)), [len(tokens)]])
-    return at[1:] > at[:-1]
 
+def neighbourhoods(shape: Shape, tokens: np.ndarray, sums: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the long segments of a sorted token set, and of these without each of their tokens.
 
-def deletions(shape: Shape, tokens: np.ndarray, band: int, segment: int) -> np.ndarray:
-    """Signatures of a segment and of it without each of its tokens."""
-    e = shape.edges(band)
-    a = int(np.searchsorted(tokens, e[segment - 1])) if segment else 0
-    b = int(np.searchsorted(tokens, e[segment])) if segment < len(e) else len(tokens)
-    own = mix(tokens[a:b] + np.uint64(shape.seed))
-    values = own.sum(dtype=np.uint64) - np.append(own, np.uint64(0))
-    return np.unique(mix(values ^ mix((np.uint64(band + 1) << np.uint64(32)) + np.uint64(segment) + (np.uint64(1) << np.uint64(63)))))
+    A segment of one token counts 1 and an empty one 0, without the empty signature, if
+    the set reaches H + 1 even so.
+    """
+    at = shape.cuts(tokens, band, True)
+    size = np.diff(at)
+    light = int(np.minimum(size, 2).sum()) >= shape.differ(band) + 1
+    whole = sums[at[1:]] - sums[at[:-1]]
+    segment = np.flatnonzero(size > 0) if light else np.arange(len(size))
+    of = np.repeat(np.arange(len(size)), size)
+    less = np.flatnonzero(size[of] > 1) if light else np.arange(len(tokens))
+    own = sums[1:] - sums[:-1]
+    return _named(whole[segment], segment, band, True), _named(whole[of[less]] - own[less], of[less], band, True)
 
 
 def token_sets(batch, words: int):
@@ -137,96 +157,99 @@ def _sums(tokens: np.ndarray, seed: int) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens + np.uint64(seed)), dtype=np.uint64)])
 
 
-def _index(seed: int, words: int):
-    """A row a text; and, with n = -1, what each of the task's counters has counted."""
+def _index(num: int, den: int, seed: int, words: int):
+    """A row a text: its set's size, hashes and sketch, and what each of its families can go without of segments that hold something."""
 
     def run(batches):
         import pyarrow as pa
 
         one_thread()
-        counters, names = np.zeros(1 << COUNTERS, np.int64), ["doc_id", "n", "key", "check", "bits"]
+        shape = Shape(num, den, seed)
         for whole in batches:
             for part, sets in token_sets(whole, words):
-                found = [(len(t), *_class(t, _sums(t, seed), seed), sketch(t).tolist()) for t in sets]
-                arrays = [part.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-                counters += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
-        at = np.flatnonzero(counters)
-        fixed = lambda x: pa.array(np.full(len(at), x))
-        arrays = [pa.nulls(len(at), pa.int64()), fixed(-1), pa.array(at), pa.array(counters[at]), pa.nulls(len(at), pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+                found = [(len(t), *_class(t, _sums(t, seed), seed), sketch(t).tolist(), [s - e if e <= s else s for s, e in (shape.over(t, b) for b in shape.families(len(t)))] if len(t) else []) for t in sets]
+                arrays = [part.column("doc_id"), part.column("h"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found], pa.list_(pa.int64())), pa.array([f[4] for f in found], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n", "key", "check", "bits", "spare"])
 
     return run
 
 
-def _common(rows: DataFrame) -> np.ndarray:
-    """By counter, whether its tokens are common; one number a counter comes to the driver, whatever the input."""
-    got = rows.where("n = -1").groupBy("key").agg(F.sum("check").alias("n")).toPandas()
-    out = np.zeros(1 << COUNTERS, np.int64)
-    out[got["key"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out > max(LEAST, OFTEN * out.sum() / max(1, np.count_nonzero(out)))
-
-
-def _rare(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return tokens[~common[(tokens >> np.uint64(64 - COUNTERS)).astype(np.int64)]]
-
-
-def _signed(num: int, den: int, seed: int, words: int, common, sent=None):
-    """(key, sig, code) of every segment of every set in its families; with a filter, of those that it lets through, and
-    the set's size in place of the code."""
+def _signed(num: int, den: int, seed: int, words: int):
+    """(sig, key) of the segments of every set in its families; equal sets of a task once, as far as it remembers."""
 
     def run(batches):
         import pyarrow as pa
 
         one_thread()
-        shape, none = Shape(num, den, seed), np.zeros(0, np.int64)
+        shape, none, seen = Shape(num, den, seed), np.zeros(0, np.int64), set()
         for whole in batches:
             for _, sets in token_sets(whole, words):
-                keys, sigs, codes = [none], [none], [none]
+                keys, sigs = [none], [none]
                 for tokens in sets:
                     if not len(tokens):
                         continue
-                    key = _class(tokens, _sums(tokens, seed), seed)[0]
-                    rare = _rare(tokens, common.value)
-                    sums = _sums(rare, seed)
+                    sums = _sums(tokens, seed)
+                    key = _class(tokens, sums, seed)[0]
+                    if key in seen:
+                        continue
+                    if len(seen) < 100_000:
+                        seen.add(key)
                     for b in shape.families(len(tokens)):
-                        g = signatures(shape, rare, sums, b)
-                        filled = _filled(shape, rare, b)
-                        spare = len(g) - shape.differ(b) - shape.spare(b)
-                        at = np.flatnonzero(filled) if len(g) - np.count_nonzero(filled) < spare else np.arange(len(g))
-                        if sent is not None:
-                            at = at[passes(sent.value, g[at])]
-                        keys.append(np.full(len(at), key, np.int64))
-                        sigs.append(g[at].view(np.int64))
-                        codes.append((b << 32) + at if sent is None else np.full(len(at), len(tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sigs, codes)], names=["key", "sig", "code"])
+                        g = signatures(shape, tokens, sums, b)
+                        keys.append(np.full(len(g), key, np.int64))
+                        sigs.append(g.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "key"])
 
     return run
 
 
-def _one_deletions(num: int, den: int, seed: int, words: int, common, wanted: dict[int, list[int]]):
+def _wide(num: int, den: int, seed: int, bands: set[int]):
+    """(sig, key, part) of the long segments of sets (part 0) and of their one-deletion neighbourhoods (1), in ``bands``."""
+
     def run(batches):
         import pyarrow as pa
 
         one_thread()
         shape = Shape(num, den, seed)
-        for whole in batches:
-            for _, sets in token_sets(whole, words):
-                keys, found = [], []
-                for tokens in sets:
-                    if len(tokens):
-                        key, rare = _class(tokens, _sums(tokens, seed), seed)[0], _rare(tokens, common.value)
-                        for b in shape.families(len(tokens)):
-                            for s in wanted.get(b, ()):
-                                d = deletions(shape, rare, b, s)
-                                keys.append(np.full(len(d), key, np.int64))
-                                found.append(d.view(np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(found))], names=["key", "sig"])
+        for batch in batches:
+            sigs, keys, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for key, raw in zip(batch.column("key").to_pylist(), batch.column("tokens"), strict=True):
+                tokens = np.frombuffer(raw.as_buffer(), np.uint64)
+                sums = _sums(tokens, seed)
+                for b in set(shape.families(len(tokens))) & bands:
+                    for part, g in enumerate(neighbourhoods(shape, tokens, sums, b)):
+                        sigs.append(g.view(np.int64))
+                        keys.append(np.full(len(g), key, np.int64))
+                        parts.append(np.full(len(g), part, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, keys, parts)], names=["sig", "key", "part"])
 
     return run
 
 
+def _shared(batches):
+    """Of rows sorted by (sig, key, ...), the first of each key under a signature that several keys have.
+
+    Only the last row of a batch is kept for the next, however many rows a signature has.
+    """
+    import pyarrow as pa
+
+    held, before = None, False  # the last row, and whether one of another key is before it in its run
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+        sig, key = (t.column(c).to_numpy() for c in ("sig", "key"))
+        new = np.append(True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]))
+        t, sig = t.filter(pa.array(new)), sig[new]
+        same = sig[1:] == sig[:-1]
+        prior = np.append(before, same)
+        keep = prior[:-1] | same
+        yield from t.slice(0, len(sig) - 1).filter(pa.array(keep)).to_batches()
+        held, before = t.slice(len(sig) - 1).to_batches()[0], bool(prior[-1])
+    if held is not None and before:
+        yield held
+
+
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parities of the tokens that fall on each of 64 * SKETCH bits: two sets differ in at least as many tokens as bits."""
     at = (tokens * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 10)
@@ -296,27 +319,12 @@ def _intersect(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "uni"])
 
 
-def allot(shape: Shape, costs: dict[tuple[int, int], float], sets: dict[int, int]) -> tuple[set[tuple[int, int]], dict[int, list[int]]]:
-    """Segments that go without, and by band those with one-deletion neighbourhoods.
+def allot(shape: Shape, pairs: dict[int, float], sets: dict[int, tuple[int, int]]) -> set[int]:
+    """The bands in which one-deletion neighbourhoods of long segments are the cheaper index.
 
-    ``costs``: pairs under the exact signatures of (band, segment); ``sets``: by band, the sets in its family.
+    ``pairs``: by band the pairs that open signatures make; ``sets``: how many sets are open, and their tokens.
     """
-    dropped, wide = set(), {}
-    for band in {b for b, _ in costs}:
-        m, need = shape.segments(band), shape.differ(band) + 1
-        if need > CHOICE:
-            continue
-        by = sorted(range(m), key=lambda s: (costs.get((band, s), 0.0), s))
-        exact, out = by[: m - shape.spare(band)], by[m - shape.spare(band) :]
-        tokens = max(1, shape.tops[band] // m)
-        index = lambda s: sets.get(band, 0) * (tokens + 1) + costs.get((band, s), 0.0) * (tokens + 1)
-        up = 0
-        while exact and up < len(exact) - 1 and costs.get((band, exact[-1]), 0.0) > index(exact[up]):
-            out.append(exact.pop())
-            wide.setdefault(band, []).append(exact[up])
-            up += 1
-        dropped |= {(band, s) for s in [*out, *exact[:up]] if costs.get((band, s), 0.0) > 0}
-    return dropped, wide
+    return {b for b, n in pairs.items() if n * PAIR_COST > sets[b][0] * shape.segments(b, True) + sets[b][1]}
 
 
 def _read_sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, seed: int, words: int) -> DataFrame:
@@ -353,108 +361,128 @@ def _verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     return durable(both.mapInArrow(_intersect, "a long, b long, inter long, uni long"), "jac-verified")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
-
-    Two texts link if den * |intersection| >= num * |union| of their sets of shingles of ``words`` words.
-    """
-    spark = docs.sparkSession
+def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n, key, ...) of ``docs`` (doc_id, text), and the component of each class that has a link (key, component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     for seed in range(8):
-        rows = durable(docs.mapInArrow(_index(seed, words), ROWS), "jac-rows")
-        classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        rows = durable(docs.mapInArrow(_index(num, den, seed, words), ROWS), "jac-rows")
+        classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.first("spare").alias("spare"))
         classes = durable(classes, "jac-classes")
         if classes.where("low <> high").limit(1).count() == 0:
             break
-    shape, texts = Shape(num, den, seed), docs.select("text")
-    shared = lambda df: df.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("code").alias("code")).where("low <> high")
-    # only short segments, of under six tokens or so, need it
-    common = spark.sparkContext.broadcast(_common(rows) if (den - num) * 6 > num else np.zeros(1 << COUNTERS, bool))
-    groups = durable(shared(texts.mapInArrow(_signed(num, den, seed, words, common), SIGNED)).select("sig", "size", "code"), "jac-groups")
-    settle(spark)
-    bands = {r["band"]: r["count"] for r in classes.select("n").join(F.broadcast(_band_table(shape, classes)), F.col("n").between(F.col("from"), F.col("to"))).groupBy("band").count().collect()}
-    costs = {(r["code"] >> 32, r["code"] & 0xFFFFFFFF): r["pairs"] for r in groups.where(F.col("code") % F.lit(1 << 32) <= CHOICE * 2).groupBy("code").agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs")).collect()}
-    dropped, wide = allot(shape, costs, {b: bands.get(b, 0) + bands.get(b + 1, 0) for b in {x for x, _ in costs}})
-    if dropped:
-        # at most CHOICE segments a band
-        gone = spark.createDataFrame([((b << 32) + s,) for b, s in sorted(dropped)], "code long")
-        groups = groups.join(F.broadcast(gone), "code", "left_anti")
-    sent = spark.sparkContext.broadcast(bloom(groups, F.col("sig")))
-    members = texts.mapInArrow(_signed(num, den, seed, words, common, sent), SIGNED).join(groups.select("sig", "size").hint("shuffle_hash"), "sig").select("sig", "key", "size", F.col("code").alias("n"))
-    if wide:
-        more = durable(texts.mapInArrow(_one_deletions(num, den, seed, words, common, wide), "key long, sig long"), "jac-deletions")
-        again = shared(more.withColumn("code", F.lit(0))).select("sig", "size")
-        sized = more.join(again.hint("shuffle_hash"), "sig").join(classes.select("key", "n"), "key")
-        members = members.unionByName(sized.select("sig", "key", "size", "n"))
-    members = durable(members.distinct(), "jac-members")
-    settle(spark)
-    rank = members.groupBy("key").agg(F.sum("size").alias("shares"))
-    pivot = members.join(rank, "key").groupBy("sig").agg(F.max(F.struct("shares", "key", "n")).alias("pivot")).select("sig", F.col("pivot.key").alias("a"), F.col("pivot.n").alias("na"))
-    # also members whose size rules out the pivot: they may be similar to one another
-    stars = members.join(pivot, "sig").where(F.col("a") != F.col("key")).select("a", F.col("key").alias("b"), "na", F.col("n").alias("nb")).distinct()
-    stars = durable(stars, "jac-stars")
-    keys = lambda pairs: pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sketches = rows.where("n > 0").select("key", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)]).join(keys(stars), "key", "left_semi").dropDuplicates(["key"])
-    sketches = durable(sketches, "jac-sketches")
-    of = lambda x: sketches.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in sketches.columns if c not in ("key", "n")])
-    seen = stars.join(of("a"), "a").join(of("b"), "b")
-    differ = F.greatest(_odd("a", "b"), F.abs(F.col("na") - F.col("nb")))
-    seen = durable(seen.select("a", "b", _possible("a", "b", num, den).alias("near"), (2 * differ / (F.col("na") + F.col("nb") + differ)).alias("least")), "jac-seen")
-    near = seen.where("near").select("a", "b")
-    known = _verify(_read_sets(docs, classes, keys(near), seed, words), near, num, den)
-    settle(spark)
-    links = known.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b")
-    rest = _unlinked(seen, known, links, sketches, num, den)
-    if rest is not None:
-        more = _verify(_read_sets(docs, classes, keys(rest), seed, words), rest, num, den)
-        links = links.unionByName(more.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b"))
-    settle(spark)
+    shape = Shape(num, den, seed)
+    shape.band(int(classes.agg(F.max("n")).first()[0] or 1))
+    sorted_runs = lambda df: df.repartition("sig").sortWithinPartitions(*df.columns).mapInArrow(_shared, df.schema)
+    members = durable(sorted_runs(docs.select("text").mapInArrow(_signed(num, den, seed, words), "sig long, key long")), "jac-members")
+    settle(docs.sparkSession)
+    rated = durable(_rated(members, classes, shape), "jac-rated")
+    pivot = rated.groupBy("sig").agg(F.max(F.struct("shares", "key")).alias("pivot"), F.max("probes").alias("probes")).where("probes").select("sig", F.col("pivot.key").alias("a"))
+    stars = rated.join(pivot, "sig").where(F.col("a") != F.col("key"))
+    pairs = stars.select("a", F.col("key").alias("b")).distinct()
+    sketches = rows.where("n > 0").select("key", "n", *[F.col("bits")[i].alias(f"w{i}") for i in range(SKETCH)])
+    links = _similar(docs, classes, sketches, pairs, seed, words, num, den)
+    settle(docs.sparkSession)
     named = connected_components(links, "a", "b")
-    named = classes.select("key", "rep").join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_key = durable(named.join(smallest, "component").select(F.col("key").alias("__key"), "component_id"), "jac-named")
-    rows = rows.where("n >= 0")
-    out = rows.select("doc_id", "n", "key").join(by_key, (rows["key"] == by_key["__key"]) & (rows["n"] > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
+    rest = _unlinked(stars, named, classes, docs, shape, words)
+    if rest is not None:
+        more = _similar(docs, classes, sketches, rest, seed, words, num, den)
+        settle(docs.sparkSession)
+        if more.limit(1).count():
+            named = connected_components(links.unionByName(more), "a", "b")
+    return rows, named.select(F.col("node").alias("key"), "component")
+
+
+def _rated(members: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """(sig, key, probes, shares): whether a class probes a signature or leaves it out, and how much it shares in all."""
+    band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    own = _band(F.col("n"), shape)
+    spare = classes.select("key", own.alias("own"), "spare")
+    sized = members.join(members.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig").join(spare, "key")
+    # families are the own band and the one below it; bands without a family have no signatures
+    sized = sized.withColumn("band", band).withColumn("spare", F.when(F.col("band") == F.col("own"), F.col("spare")[0]).otherwise(F.element_at("spare", -1)))
+    rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.col("size").desc(), "sig"))
+    return sized.withColumn("probes", rank > F.col("spare")).withColumn("shares", F.sum("size").over(Window.partitionBy("key"))).select("sig", "key", "probes", "shares")
+
+
+def _band(n, shape: Shape):
+    """The band of a size, as a column; bands are as many as the logarithm of the largest set."""
+    tops = F.array(*map(F.lit, shape.tops))
+    return F.size(F.filter(tops, lambda t: t < n))
+
+
+def _similar(docs, classes, sketches, pairs, seed, words, num, den) -> DataFrame:
+    """The pairs (a, b) of classes that are similar: by sizes and sketches, by wide sketches, then by their sets."""
+    pairs = durable(pairs, "jac-pairs")
+    keys = lambda p: p.select(F.col("a").alias("key")).union(p.select(F.col("b").alias("key"))).distinct()
+    known = durable(sketches.join(keys(pairs), "key", "left_semi").dropDuplicates(["key"]), "jac-sketches")
+    of = lambda x: known.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in known.columns if c != "key"])
+    near = durable(pairs.join(of("a"), "a").join(of("b"), "b").where(_possible("a", "b", num, den)).select("a", "b"), "jac-near")
+    found = _verify(_read_sets(docs, classes, keys(near), seed, words), near, num, den)
+    return found.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b")
+
+
+def _unlinked(stars, named, classes, docs, shape, words) -> DataFrame | None:
+    """Pairs that may still link components: under an open signature, or, in the bands where that is cheaper, by neighbourhoods."""
+    num, den = shape.num, shape.den
+    comp = named.select(F.col("node").alias("key"), "component")
+    inside = stars.select("sig", "key", "probes").join(comp, "key", "left").withColumn("comp", F.coalesce("component", "key")).select("sig", "key", "probes", "comp")
+    kinds = inside.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
+    left = inside.join(kinds.select("sig", "size", F.col("top.count").alias("most"), F.col("top.comp").alias("big")), "sig").join(classes.select("key", "n"), "key").withColumn("band", band.cast("int"))
+    left = durable(left, "jac-open")
+    costs = left.groupBy("band", "sig").agg(F.max((F.col("size") - F.col("most")) * F.col("size")).alias("pairs")).groupBy("band").agg(F.sum("pairs").cast("double").alias("pairs"))
+    open_sets = left.select("band", "key", "n").distinct().groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
+    counted = costs.join(open_sets, "band").collect()  # a row a band
+    if not counted:
+        return None
+    bands = allot(shape, {r["band"]: r["pairs"] for r in counted}, {r["band"]: (r["sets"], r["tokens"]) for r in counted})
+    side = lambda df, x: df.select("sig", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "sig"])
+    ordered = (F.least("keyx", "keyy").alias("a"), F.greatest("keyx", "keyy").alias("b"))
+    exact = left.where(~F.col("band").isin(sorted(bands))) if bands else left
+    near = _size_class(F.col("n"), num, den)
+    x = side(exact.where("comp <> big").select("sig", "key", "probes", "comp", F.explode(F.array(near - 1, near, near + 1)).alias("c")), "x")
+    y = side(exact.select("sig", "key", "probes", "comp", near.alias("c")), "y")
+    on = (x["sig"] == y["sig"]) & (x["cx"] == y["cy"]) & (x["compx"] != y["compy"]) & (x["probesx"] | y["probesy"])
+    pairs = x.join(y, on).select(*ordered)
+    if bands:
+        keys = left.where(F.col("band").isin(sorted(bands))).select("key", "comp").distinct()
+        sets = _read_sets(docs, classes, keys.select("key"), shape.seed, words).select("key", "tokens")
+        index = sets.mapInArrow(_wide(num, den, shape.seed, bands), "sig long, key long, part int")
+        met = index.repartition("sig").sortWithinPartitions("sig", "key", "part").mapInArrow(_shared, index.schema)
+        met = durable(met.join(keys, "key"), "jac-wide")
+        x, y = side(met.where("part = 0"), "x"), side(met, "y")
+        pairs = pairs.unionByName(x.join(y, (x["sig"] == y["sig"]) & (x["compx"] != y["compy"])).select(*ordered))
+    pairs = pairs.distinct()
+    return pairs
 
-def _band_table(shape: Shape, classes: DataFrame) -> DataFrame:
-    """Bands as rows (band, from, to): as many as the logarithm of the largest set."""
-    shape.band(int(classes.agg(F.max("n")).first()[0] or 1))
-    tops = shape.tops
-    return classes.sparkSession.createDataFrame([(b, (tops[b - 1] + 1) if b else 0, t) for b, t in enumerate(tops)], "band int, `from` long, `to` long")
 
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
-def _unlinked(seen, known, links, sketches, num, den) -> DataFrame | None:
-    """Pairs that may still link components: in a star, not with its pivot, in different components, and near enough to
-    one another by their sizes, their sketches and what is known of their distances to the pivot."""
-    if seen.limit(1).count() == 0:
-        return None
-    named = connected_components(links, "a", "b")
-    comp = lambda x: named.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    d = 1 - F.col("inter") / F.col("uni")
-    s = seen.join(known, ["a", "b"], "left").join(comp("a"), "a", "left").join(comp("b"), "b", "left").join(sketches.withColumnRenamed("key", "b"), "b")
-    s = s.select("a", "b", "n", F.coalesce(d, "least").alias("lo"), F.coalesce(d, F.lit(1.0)).alias("hi"), F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("c"), *[f"w{i}" for i in range(SKETCH)])
-    s = durable(s, "jac-distances")
-    side = lambda df, x: df.select("a", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "a"])
-    near = _size_class(F.col("nx"), num, den)
-    x = side(s.where("c <> ca"), "x").withColumn("class", F.explode(F.array(near - 1, near, near + 1)))
-    y = side(s, "y").withColumn("class", _size_class(F.col("ny"), num, den))
-    once = (F.col("cy") == F.col("cay")) | (F.col("bx") < F.col("by"))
-    far = 1 - num / den + 1e-9
-    by_pivot = (F.col("lox") - F.col("hiy") <= far) & (F.col("loy") - F.col("hix") <= far)
-    pairs = x.join(y, ["a", "class"]).where((F.col("cx") != F.col("cy")) & once & by_pivot & _possible("x", "y", num, den))
-    pairs = durable(pairs.select(F.least("bx", "by").alias("a"), F.greatest("bx", "by").alias("b")).distinct(), "jac-rest")
-    return pairs if pairs.limit(1).count() else None
+    Two texts link if den * |intersection| >= num * |union| of their sets of shingles of ``words`` words.
+    """
+    rows, named = _linked(docs, words, num, den)
+    grouped = rows.select("doc_id", "n", "key").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    smallest = durable(grouped.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "jac-named")
+    out = grouped.join(smallest, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each group of linked texts, the one of the smallest id; all columns kept.
+    """``docs`` with one document of each group of linked texts, the one of the smallest id (null last); all columns kept.
 
-    Of rows that repeat both id and text one stays, which costs a pass over the texts only if there are any.
+    Rows are told apart by id and text: of rows that repeat both one stays, which costs a
+    pass over the texts only if there are any; of those that repeat an id alone each is judged by its text.
     """
-    named = durable(jaccard_components(docs, words, num, den), "jac-keep")
-    kept = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    again = kept.groupBy("__keep").count().where("count > 1").limit(1).count()
-    out = docs.join(kept.distinct().hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
+    refuse(docs, "__jac")
+    rows, named = _linked(docs, words, num, den)
+    grouped = rows.select("doc_id", "h", "n", "key").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
+    kept = grouped.where("n > 0").groupBy("component").agg(first).select(F.col("first.doc_id").alias("__jac_id"), F.col("first.h").alias("__jac_h"))
+    kept = durable(kept.unionByName(grouped.where("n = 0").select(F.col("doc_id").alias("__jac_id"), F.col("h").alias("__jac_h")).distinct()), "jac-keep")
+    seen = grouped.join(kept, grouped["doc_id"].eqNullSafe(kept["__jac_id"]) & (grouped["h"] == kept["__jac_h"]), "left_semi")
+    again = seen.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["__jac_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == kept["__jac_h"])
+    out = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
     return out.dropDuplicates(["doc_id", "text"]) if again else out

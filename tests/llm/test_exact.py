@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,22 +282,47 @@ def test_jaccard_of_several_large_groups_of_a_family(spark):
     assert got == components(docs, 5, 80, 100)
 
 
-def test_one_deletions_find_what_exact_segments_find(spark, monkeypatch):
-    """With a dear cost for exact segments the allotment turns to one-deletion neighbourhoods; nothing is lost."""
-    docs = near_copies(7)
-    def dear(shape, costs, sets):
-        wide = {}
-        dropped = set()
-        for b in {x for x, _ in costs}:
-            m, h = shape.segments(b), shape.differ(b)
-            k = (h + 2) // 2
-            wide[b] = list(range(k))
-            dropped |= {(b, s) for s in range(m)}
-        return dropped, wide
-
-    monkeypatch.setattr(jaccard, "allot", dear)
-    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100).collect()}
-    assert got == components(docs, 3, 90, 100)
+@pytest.mark.parametrize(("words_", "num", "den", "every"), [(3, 90, 100, True), (5, 80, 100, True), (5, 80, 100, False)])
+def test_both_ways_find_every_link(spark, monkeypatch, words_, num, den, every):
+    """Open bands all by one-deletion neighbourhoods, or none."""
+    chosen = []
+
+    def all_or_none(shape, pairs, sets):
+        chosen.append(set(pairs) if every else set())
+        return chosen[-1]
+
+    monkeypatch.setattr(jaccard, "allot", all_or_none)
+    docs = crowded(7)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words_, num, den).collect()}
+    assert got == components(docs, words_, num, den) and chosen and (chosen[0] or not every)
+
+
+def crowded(seed):
+    """Documents around a few shared passages, with copies that drift apart."""
+    g = random.Random(seed)
+    word = lambda: f"w{g.randrange(4000)}"
+    passages, out = [[word() for _ in range(n)] for n in (20, 60, 60, 150)], []
+    for _ in range(220):
+        p = g.choice(passages)
+        ws = [word() for _ in range(int(len(p) * g.choice((0.05, 0.1, 0.25, 0.5))))] + p
+        for _ in range(g.choice((0, 0, 1, 3, 8))):
+            ws[g.randrange(len(ws))] = word()
+        out.append(" ".join(ws))
+    return list(enumerate(out))
+
+
+def test_neighbourhoods_are_chosen_where_pairs_cost_more():
+    shape = jaccard.Shape(90, 100)
+    band = shape.band(400)
+    sets = {band: (100, 40_000)}
+    assert jaccard.allot(shape, {band: 50_000.0}, sets) == {band} and jaccard.allot(shape, {band: 1_000.0}, sets) == set()
+
+
+def test_shared_runs_are_found_over_batches():
+    rows_ = sorted([(1, 5), (2, 5), (2, 5), (2, 6), (3, 1), (4, 1), (4, 2), (4, 3), (5, 9), (5, 9)])
+    for size in (1, 2, 3, 10):
+        parts = [pa.RecordBatch.from_pylist([{"sig": a, "key": b} for a, b in rows_[i : i + size]]) for i in range(0, len(rows_), size)]
+        assert [tuple(r.values()) for b in jaccard._shared(parts) for r in b.to_pylist()] == [(2, 5), (2, 6), (4, 1), (4, 2), (4, 3)]
 
 
 def test_jaccard_of_odd_tables(odd, none, again):
