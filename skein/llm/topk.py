@@ -1,37 +1,34 @@
 """Exact top-k by inner product, without random access.
 
-A block of candidates keeps one sorted list a dimension.  A query reads each list from
-the end its own sign favours, all lists to the same depth.  What it has not read of a
-candidate is bounded by the last value read on one side and the list's other end on
-the other: this gives each candidate a lower and an upper score.  Reading stops for a
-query when no candidate outside its best k has an upper score that reaches the k-th
-lower score; what is left then is resolved to exact scores.
-
-With lists read in lockstep the bounds of all candidates and queries are two matrix
-products: an unread component is replaced by the depth's value for the upper score,
-by the list's end for the lower one.
-
-Queries and candidates meet in blocks, a query block with a candidate block in a task;
-each cell gives k rows a query, and the best k of them are the result.
+A block of candidates keeps one sorted list a dimension.  A query reads each list in
+chunks from the end its own sign favours, always the chunk that takes most off the bounds
+for what it costs, and adds what it reads to the candidates' partial sums.  What it has not read
+of a candidate is at most the next value of that list and at least its last one: an upper and
+a lower score.  Reading stops when all but a few candidates have upper scores below the
+k-th lower score, or below the k-th score that earlier blocks of the task gave; those few
+are resolved.  Where bounds never part the lists are read to their ends, and the partial sums are the scores.
+
+Rows are read where they lie, a batch of them a block; queries are sent to them in chunks
+of bounded size, a pass over the rows each.  A task keeps k rows a query, and the best k of
+all are the result.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component
-take no part, nor do rows without an id; of rows that repeat an id the smallest vector
-counts; vectors of different lengths are never compared; ties go to the smaller id; an
-empty table gives no rows.
+take no part, nor do rows without an id; rows that repeat an id are queries and candidates
+of their own, none of itself; vectors of different lengths are never compared; ties go to
+the smaller id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, one_thread
 
-#: Rows of a block; shares of a list that are read before bounds are compared.
-CANDIDATES, QUERIES, DEPTHS = 8192, 1024, (1 / 16, 1 / 4, 5 / 8)
-HITS = "query_id long, vec_id long, score long"
+#: Bytes of query vectors of a pass; shares of a list at which chunks end; chunks between two tests of the bounds.
+QUERY_BYTES, CHUNKS, PATIENCE = 32 << 20, (1 / 64, 1 / 8, 1.0), 8
+HITS = "q long, query_id long, c long, vec_id long, score long"
 
 
 def quantized(embedding: Column, scale: int = 256) -> Column:
@@ -55,57 +52,103 @@ def _exact_kind(x: np.ndarray, q: np.ndarray) -> type:
     raise ValueError("a score may not fit 64 bits")
 
 
-def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query row, ids, scores) of the k best candidates of each query of a block."""
-    kind = _exact_kind(x, q)
-    lists = np.sort(x, axis=0)
-    n, (up, down) = len(x), (np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind))
-    low_end, high_end = lists[0], lists[-1]
-    left = {j: None for j in range(len(q))}
-    for share in DEPTHS:
-        depth = int(n * share)
-        if not left or depth < 1:
-            continue
-        rows = np.fromiter(left, int)
-        top, bottom = lists[n - depth], lists[depth - 1]
-        seen_top, seen_bottom = x >= top, x <= bottom
-        upper = np.where(seen_top, x, top).astype(kind) @ up[rows].T + np.where(seen_bottom, x, bottom).astype(kind) @ down[rows].T
-        lower = np.where(seen_top, x, low_end).astype(kind) @ up[rows].T + np.where(seen_bottom, x, high_end).astype(kind) @ down[rows].T
-        for c, j in enumerate(rows):
-            lows = lower[:, c]
-            others = ids != own[j]
-            lows = lows[others]
-            if len(lows) <= k:
-                left[j] = np.flatnonzero(others)
-                continue
-            least = np.partition(lows, len(lows) - k)[len(lows) - k]
-            left[j] = np.flatnonzero(others & (upper[:, c] >= least))
-        # outsiders can't qualify any more: what is left is resolved
-        out = [j for j in rows if len(left[j]) <= max(4 * k, n // 64)]
-        for j in out:
-            yield from _resolve(j, left.pop(j), x, ids, q[j], kind, k)
-    for j, rest in left.items():
-        yield from _resolve(j, np.flatnonzero(ids != own[j]) if rest is None else rest, x, ids, q[j], kind, k)
-
-
-def _resolve(j, rest, x, ids, q, kind, k):
-    score = (x[rest].astype(kind) @ q.astype(kind)).astype(np.int64)
-    best = np.lexsort((ids[rest], -score))[:k]
-    if len(best):
-        yield j, ids[rest][best], score[best]
-
-
-def _cell(k: int):
-    def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+class Lists:
+    """Sorted lists of a block of candidates, a list a dimension."""
+
+    def __init__(self, x: np.ndarray, kind: type) -> None:
+        self.x, self.n = x, len(x)
+        self.columns = np.ascontiguousarray(x.T).astype(kind)
+        self.order = np.argsort(self.columns, axis=1, kind="stable")
+        self.values = np.take_along_axis(self.columns, self.order, 1)
+        self.ends = sorted({max(1, int(self.n * c)) for c in CHUNKS})
+
+
+def nra(lists: Lists, q: np.ndarray, k: int, floor: float | None = None, own: int | None = None) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Rows of a block that may be among the k best of a query, their scores, the entries read, and whether reading stopped early.
+
+    ``floor``: a score that k rows of other blocks reach; ``own``: the row that is the query itself.
+    """
+    n, kind = lists.n, lists.columns.dtype.type
+    q = q.astype(kind)
+    # positive components read their list from its top, negative ones from its bottom
+    at = lambda d, i: q[d] * lists.values[d, n - 1 - i if q[d] >= 0 else i]
+    best, worst = (np.array([at(d, i) for d in range(len(q))], kind) for i in (0, n - 1))
+    sums, upper, lower = np.zeros(n, kind), np.full(n, best.sum(), kind), np.full(n, worst.sum(), kind)
+    live = [d for d in range(len(q)) if q[d]]
+    depth, step, bound, read = dict.fromkeys(live, 0), dict.fromkeys(live, 0), dict(zip(live, best[live], strict=True)), 0
+
+    def gain(d):
+        end = lists.ends[step[d]]
+        after = at(d, end) if end < n else worst[d]
+        return float(bound[d] - after) / (end - depth[d]), d
+
+    ahead = {d: gain(d) for d in live}
+    rest = np.flatnonzero(np.arange(n) != own) if own is not None else np.arange(n)
+    tested = 0
+    while ahead:
+        d = max(ahead, key=ahead.get)
+        start, end = depth[d], lists.ends[step[d]]
+        places = lists.order[d][::-1] if q[d] >= 0 else lists.order[d]
+        seen, unseen = places[start:end], places[end:]
+        sums[seen] += q[d] * lists.columns[d, seen]
+        upper[seen] -= bound[d]
+        lower[seen] -= worst[d]
+        read += end - start
+        if end < n:
+            after = at(d, end)
+            upper[unseen] += after - bound[d]
+            bound[d], depth[d], step[d] = after, end, step[d] + 1
+            ahead[d] = gain(d)
+        else:
+            del ahead[d]
+        tested += 1
+        if tested % PATIENCE == 0 or not ahead:
+            lows = (sums + lower)[rest]
+            least = np.partition(lows, len(lows) - k)[len(lows) - k] if len(lows) > k else None
+            least = floor if least is None else least if floor is None else max(least, floor)
+            if least is not None:
+                rest = rest[(sums + upper)[rest] >= least]
+            if ahead and (len(rest) <= 4 * k or not len(rest)):
+                return rest, (lists.columns[:, rest].T @ q).astype(np.int64), read, True
+    return rest, sums[rest].astype(np.int64), read, False
+
+
+def _exact(a: int, b: int, size: int) -> type:
+    """A number type in which every bound and score of components up to a and b is exact."""
+    most = 2 * max(1, a) * max(1, b) * size
+    if most < 2**53:
+        return np.float64
+    if most < 2**63:
+        return np.int64
+    raise ValueError("a score may not fit 64 bits")
+
+
+def _search(asked, k: int):
+    """The k best of a task's rows for each query of a chunk: ``asked`` has its places, ids and vectors by length."""
+
+    def run(batches):
+        import pyarrow as pa
+
         one_thread()
-        if asked.empty or rows.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x, q = np.stack(rows["v"].to_numpy()), np.stack(asked["v"].to_numpy())
-        own = asked["id"].to_numpy()
-        found = list(nra(x, rows["id"].to_numpy(), q, own, k))
-        if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return pd.DataFrame({"query_id": np.concatenate([np.full(len(i), own[j]) for j, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([s for *_, s in found])})
+        found = {size: [[] for _ in ids] for size, (_, ids, _) in asked.value.items()}
+        for b in batches:
+            lengths = np.diff(b.column("v").offsets.to_numpy()) if b.num_rows else np.zeros(0, int)
+            for size in set(lengths.tolist()) & set(asked.value):
+                part = b.filter(pa.array(lengths == size))
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                place, ids = part.column("place").to_numpy(), part.column("id").to_numpy()
+                places, _, vectors = asked.value[size]
+                lists = Lists(x, _exact(int(np.abs(x).max()), int(np.abs(vectors).max(initial=0)), size))
+                mine = {p: i for i, p in enumerate(place.tolist())}
+                for j, kept in enumerate(found[size]):
+                    floor = kept[-1][0] if len(kept) == k else None
+                    rows, scores, *_ = nra(lists, vectors[j], k, floor, mine.get(int(places[j])))
+                    best = np.lexsort((place[rows], ids[rows], -scores))[:k]
+                    new = [*kept, *((int(scores[i]), int(ids[rows[i]]), int(place[rows[i]])) for i in best)]
+                    kept[:] = sorted(new, key=lambda r: (-r[0], r[1], r[2]))[:k]
+        out = [(int(asked.value[size][0][j]), int(asked.value[size][1][j]), c, i, s) for size, every in found.items() for j, kept in enumerate(every) for s, i, c in kept]
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q", "query_id", "c", "vec_id", "score"])
 
     return run
 
@@ -115,26 +158,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
 
     ``vectors`` has vec_id and embedding.
     """
+    spark = vectors.sparkSession
     v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("id"), quantized(F.col("embedding"), scale).alias("v"), is_query.alias("asks"))
-    v = durable(v.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")).withColumn("size", F.size("v")), "topk-vectors")
-    n, m = v.count(), v.where("asks").count()
-    nc, nq = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    block = lambda seed, count: F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = v.where("asks").select("id", "v", "size", block(1, nq).alias("qb"), each(nc).alias("cb"))
-    rows = v.select("id", "v", "size", block(2, nc).alias("cb"), each(nq).alias("qb"))
-    cells = asked.groupBy("qb", "cb", "size").cogroup(rows.groupBy("qb", "cb", "size")).applyInPandas(_cell(k), HITS)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a place tells rows that repeat an id apart; it is stored, so every pass sees the same
+    v = durable(v.withColumn("place", F.monotonically_increasing_id()), "topk-vectors")
+    queries = v.where("asks").select("place", "id", "v")
+    sized = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("size")).first()
+    chunks = max(1, -(-sized["n"] * 8 * (sized["size"] or 1) // QUERY_BYTES))
+    hits = None
+    for i in range(chunks):
+        # a chunk is of QUERY_BYTES or so, whatever the number of queries
+        got = queries.where(F.pmod(F.xxhash64("place"), F.lit(chunks)) == i).toPandas()
+        asked = {int(size): (g["place"].to_numpy(), g["id"].to_numpy(), np.stack(g["v"].to_numpy())) for size, g in got.groupby(got["v"].map(len))}
+        sent = spark.sparkContext.broadcast(asked)
+        found = v.select("place", "id", "v").mapInArrow(_search(sent, k), HITS)
+        found = durable(found, "topk-hits") if chunks > 1 else found
+        hits = found if hits is None else hits.unionByName(found)
+    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id", "c")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id AS id, min([floor(256 * x::DOUBLE)::BIGINT for x in embedding]) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS place, vec_id AS id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-             AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 GROUP BY vec_id),
-p AS (SELECT q.id AS query_id, c.id AS vec_id, list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)])::BIGINT AS score
-      FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.id % 50 = 0)
+             AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.place AS q, q.id AS query_id, c.id AS vec_id, list_sum([z[1] * z[2] for z in list_zip(q.v, c.v)])::BIGINT AS score, c.place AS c
+      FROM v q JOIN v c ON q.place <> c.place AND len(q.v) = len(c.v) WHERE q.id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
+  SELECT query_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c))::INTEGER AS rank, vec_id, score FROM p)
 WHERE rank <= 5
 """

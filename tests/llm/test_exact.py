@@ -144,7 +144,7 @@ def test_suffix_order_is_sorted_with_its_prefixes():
 def test_top_k_matches_brute_force(spark):
     g = np.random.default_rng(1)
     v = g.normal(size=(300, 8)).round(1)
-    data = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(400, None), (500, [1.0, None]), (600, [float("nan")] * 8), (700, [1.0, 2.0]), (None, [1.0] * 8), (50, [float(x) for x in v[50]])]
+    data = [(i, [float(x) for x in v[i]]) for i in range(300)] + [(400, None), (500, [1.0, None]), (600, [float("nan")] * 8), (700, [1.0, 2.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"id": F.lit(0), "v": F.lit("x"), "score": F.lit(None).cast("int")})
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     q = np.floor(256 * v).astype(int)
@@ -156,9 +156,43 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, k=2).collect())
+    one = 256 * 256
+    assert got == sorted([(50, 1, 1, 3 * one), (50, 2, 1, 3 * one), (50, 1, 1, 6 * one), (50, 2, 1, 6 * one)])
+
+
 def test_scores_beyond_doubles_are_exact():
     x = np.array([[2**29, 1], [2**29, 0]], np.int64)
-    assert [s.tolist() for *_, s in topk.nra(x, np.array([1, 2]), x[:1], np.array([9]), 2)] == [[2**58 + 1, 2**58]]
+    rows_, scores, *_ = topk.nra(topk.Lists(x, topk._exact(2**29, 2**29, 2)), x[0], 2)
+    assert dict(zip(rows_.tolist(), scores.tolist(), strict=True)) == {0: 2**58 + 1, 1: 2**58}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounds_never_lose_a_row(seed):
+    g = np.random.default_rng(seed)
+    x = (g.normal(size=(400, 7)) * g.choice([1, 10, 100], 7)).astype(np.int64)
+    lists = topk.Lists(x, np.float64)
+    for j in range(20):
+        q, own = x[j] if j % 2 else -x[j], j if j % 3 else None
+        score = x @ q
+        others = [i for i in range(len(x)) if i != own]
+        best = sorted(others, key=lambda i: -score[i])[:5]
+        rows_, scores, read, _ = topk.nra(lists, q, 5, None, own)
+        assert set(score[rows_]) >= {score[i] for i in best} and (score[rows_] == scores).all() and own not in rows_ and read <= x.size
+
+
+def test_separable_sets_stop_early():
+    """Most queries of a set with a few long directions stop, and read a part of the lists."""
+    g = np.random.default_rng(3)
+    x = np.zeros((4000, 16), np.int64)
+    x[np.arange(4000), g.integers(0, 16, 4000)] = g.integers(1, 100_000, 4000)
+    x += g.integers(0, 3, x.shape)
+    lists = topk.Lists(x, np.float64)
+    got = [topk.nra(lists, x[j], 5, None, j) for j in range(0, 4000, 100)]
+    stopped, entries = np.mean([s for *_, s in got]), np.mean([r for *_, r, _ in got]) / x.size
+    assert stopped > 0.9 and entries < 0.5, (stopped, entries)
 
 
 # packing
