@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.causal import Past, sliced
 from skein.operators.components import connected_components
 from skein.operators.graph import chain_edges, edges, neighbours
 from skein.plans.config import ENTITY_COLUMN, CandidateConfig
@@ -25,6 +28,23 @@ def causal_links(tx: DataFrame, config: CandidateConfig | None = None) -> DataFr
     return g.select("anchor_transaction_id", "prior_transaction_id", F.array_join(named, "|").alias("link_entity_types"), F.size(named).cast("long").alias("n_link_entity_types"), seconds.alias("delta_seconds"), (-seconds + 0.0).alias("age_seconds"), *cols)
 
 
+def link_counts(tx: DataFrame, config: CandidateConfig | None = None) -> DataFrame:
+    """``tx`` with n_links, n_links_multi and links_{type}: the earlier transactions that each is linked with.
+
+    No pair is made: rows that share a set of entities are counted by one window a set,
+    and pairs that share several are counted once by inclusion and exclusion.
+    """
+    config = config or CandidateConfig()
+    sets = [c for k in range(1, len(config.connectivity) + 1) for c in combinations(config.connectivity, k)]
+    out = sliced(tx, config.window_seconds, "__slice", "__halo")
+    out = out.withColumns({"__" + "_".join(c): F.coalesce(Past(list(c), config.window_seconds, "__slice").count(), F.lit(0)) for c in sets}).where("NOT __halo")
+    n = {k: [F.col("__" + "_".join(c)) for c in sets if len(c) == k] for k in range(1, len(config.connectivity) + 1)}
+    add = lambda sign: sum((sign(k) * x for k, cols in n.items() for x in cols), F.lit(0)).cast("long")
+    # of a pair that shares j types, the sets of k among them are C(j, k)
+    out = out.withColumns({"n_links": add(lambda k: (-1) ** (k + 1)), "n_links_multi": add(lambda k: (k - 1) * (-1) ** k), **{f"links_{t}": F.col(f"__{t}").cast("long") for t in config.connectivity}})
+    return out.drop("__slice", "__halo", *["__" + "_".join(c) for c in sets])
+
+
 def explode_links(links: DataFrame, config: CandidateConfig | None = None) -> DataFrame:
     """One row a link and entity type."""
     types = (config or CandidateConfig()).connectivity
@@ -49,17 +69,16 @@ def components(tx: DataFrame, config: CandidateConfig | None = None) -> DataFram
 def assignments(comp: DataFrame, config: CandidateConfig | None = None) -> DataFrame:
     """transaction_id, ts_us, ok, candidate_id, candidate_size, is_isolated.
 
-    Candidates are numbered by their first transaction: counts by day of it are summed,
-    then numbered within the day.
+    Candidates are numbered by their first transaction: counts by a million positions are
+    summed, then numbered within those.
     """
     config = config or CandidateConfig()
     roots = comp.groupBy("root").agg(F.count(F.lit(1)).alias("candidate_size"))
-    day = F.shiftright("root", 48)
-    roots = roots.withColumn("d", day)
-    days = roots.groupBy("d").count()
+    roots = roots.withColumn("d", F.shiftright("root", 20))
+    spans = roots.groupBy("d").count()
     before = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("d", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
-    roots = roots.withColumn("i", F.row_number().over(Window.partitionBy("d").orderBy("root"))).join(days, "d")
+    spans = spans.select("d", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy()).alias("n"))
+    roots = roots.withColumn("i", F.row_number().over(Window.partitionBy("d").orderBy("root"))).join(spans, "d")
     width = F.greatest(F.lit(6), F.length(F.col("n").cast("string")))
     number = (F.col("i") + F.col("before")).cast("string")
     named = F.concat(F.lit(config.prefix + "-"), F.when(F.length(number) < width, F.expr("lpad(CAST(i + before AS STRING), greatest(6, length(CAST(n AS STRING))), '0')")).otherwise(number))
@@ -68,20 +87,21 @@ def assignments(comp: DataFrame, config: CandidateConfig | None = None) -> DataF
     return out if config.keep_singletons else out.where("candidate_size > 1")
 
 
-def candidate_frame(tx: DataFrame, assigned: DataFrame, links: DataFrame) -> DataFrame:
-    """One row a candidate: size, span, links by type, distinct and listed entities."""
-    t = assigned.select("transaction_id", "candidate_id", "candidate_size").join(tx, "transaction_id")
+def candidate_frame(tx: DataFrame, assigned: DataFrame, config: CandidateConfig | None = None, list_ids: bool = False) -> DataFrame:
+    """One row a candidate: size, span, links by type, distinct entities.
+
+    ``list_ids`` adds all ids of bins and transactions, each as one string: for small
+    candidates at the edge; at scale the members are the rows of ``assigned``.
+    """
+    t = assigned.select("transaction_id", "candidate_id", "candidate_size").join(link_counts(tx, config), "transaction_id")
     ids = lambda c: F.array_join(F.sort_array(F.collect_set(c)), "|")
     base = t.groupBy("candidate_id").agg(
         F.count(F.lit(1)).alias("size"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"),
         *[F.count_distinct(ENTITY_COLUMN[e]).alias(f"distinct_{e}s") for e in ("card", "device", "ip", "merchant", "bin")],
-        ids("bin").alias("bin_ids_context"), ids("transaction_id").alias("transaction_ids"),
+        F.sum("n_links").alias("link_edge_count"), F.sum("n_links_multi").alias("links_multi_entity"), *[F.sum(f"links_{e}").alias(f"links_{e}") for e in ("card", "device", "ip")],
+        *([ids("bin").alias("bin_ids_context"), ids("transaction_id").alias("transaction_ids")] if list_ids else []),
     )
-    own = assigned.select(F.col("transaction_id").alias("anchor_transaction_id"), "candidate_id")
-    one = lambda t: F.count_if(F.col(f"shares_{t}"))
-    l = links.join(own, "anchor_transaction_id").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("link_edge_count"), F.count_if(F.col("n_link_entity_types") > 1).alias("links_multi_entity"), *[one(t).alias(f"links_{t}") for t in ("card", "device", "ip")])  # noqa: E741
-    out = base.join(l, "candidate_id", "left").na.fill(0, ["link_edge_count", "links_multi_entity", "links_card", "links_device", "links_ip"])
-    return out.withColumn("time_span_seconds", (F.col("last_ts_us") - F.col("first_ts_us")) / F.lit(1_000_000.0)).withColumn("is_isolated", F.col("size") == 1)
+    return base.withColumn("time_span_seconds", (F.col("last_ts_us") - F.col("first_ts_us")) / F.lit(1_000_000.0)).withColumn("is_isolated", F.col("size") == 1)
 
 
 def overlap(tx: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -1,8 +1,15 @@
 """Strictly causal windows: what a transaction may know of its entity's past.
 
 Order is (timestamp, transaction_id).  A window of W seconds before a row holds the rows
-of its entity that come earlier in that order and whose time is at least t - W.  Time
-and rank within a time are one whole number, so a native range frame says exactly that.
+of its entity that come earlier in that order and whose time is at least t - W.  Range
+frames over the time give what is strictly earlier; rows of the same time are added by
+their place in the order, so any number of rows may share a timestamp.
+
+Distinct values and entropies come from a sweep: each row enters the window at its own
+place and leaves it when it expires, and running sums of what that changes replace
+gathering the values of each frame.
+
+An entity's time line is cut into slices (``sliced``): no entity's history is one task's.
 """
 
 from __future__ import annotations
@@ -12,10 +19,10 @@ from pyspark.sql import functions as F
 
 from skein.plans.config import ENTITY_COLUMN
 
-#: More than the rows that share one timestamp.
-TIES = 2048
-#: Rows of one entity from which its time line is cut into slices.
-HOT_ROWS = 2_000_000
+#: More than the rows of any table: (time, position) as one decimal number.
+POSITIONS = 10**15
+#: Slices are so many windows long; one window of each is repeated in the next.
+SLICE = 8
 
 
 def micros(df: DataFrame, column: str = "timestamp") -> Column:
@@ -26,11 +33,22 @@ def micros(df: DataFrame, column: str = "timestamp") -> Column:
 
 
 def ordered(tx: DataFrame) -> DataFrame:
-    """``tx`` with ts_us and ok, the position in causal order as a number; no global sort."""
-    tx = tx.withColumn("ts_us", micros(tx))
-    tie = F.row_number().over(Window.partitionBy("ts_us").orderBy("transaction_id")) - 1
-    safe = F.when(tie < TIES, tie).otherwise(F.raise_error(F.lit("more rows share one timestamp than the causal key allows")).cast("int"))
-    return tx.withColumn("ok", F.col("ts_us") * (2 * TIES) + safe)
+    """``tx`` with ts_us and ok, the position in causal order from 0.
+
+    Rows are counted by minute, minutes are summed, and rows are numbered within a minute,
+    so no task sorts the whole table.  Rows without a time come first.
+    """
+    t = tx.withColumn("ts_us", micros(tx)).withColumn("__minute", F.coalesce(F.floor(F.col("ts_us") / F.lit(60_000_000)), F.lit(-(2**62))))
+    # a row a minute: as many as the time has, however many rows there are
+    earlier = Window.orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = t.groupBy("__minute").count().select(F.col("__minute").alias("__m"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__minute").orderBy("ts_us", "transaction_id")) - 1
+    return t.withColumn("__in", within).join(minutes, F.col("__minute") == F.col("__m")).select(*tx.columns, "ts_us", (F.col("__in") + F.col("__before")).cast("long").alias("ok"))
+
+
+def causal_order(tx: DataFrame) -> DataFrame:
+    """transaction_id and its dense position from 0."""
+    return tx.select("transaction_id", F.col("ok").alias("position"))
 
 
 def channels(tx: DataFrame, low_value: float = 5.0) -> DataFrame:
@@ -49,71 +67,105 @@ def gate(value: Column, support: Column, least: int) -> Column:
 
 
 class Past:
-    """Aggregates over the window of ``seconds`` before a row, by entity; None: all its past."""
+    """Aggregates over the window of ``seconds`` before a row, by entity (or columns); None: all its past.
 
-    def __init__(self, entity: str, seconds: int | None, *by: str) -> None:
-        self.key = F.col(ENTITY_COLUMN.get(entity, entity))
-        low = Window.unboundedPreceding if seconds is None else -(seconds * 1_000_000 * 2 * TIES + TIES - 1)
-        self.spec = Window.partitionBy(self.key, *by).orderBy("ok").rangeBetween(low, -1)
+    Rows without the entity know nothing: null.
+    """
 
-    def _known(self, c: Column) -> Column:
-        return F.when(self.key.isNotNull(), c)
+    def __init__(self, entity: str | list[str], seconds: int | None, *by: str) -> None:
+        keys = [ENTITY_COLUMN.get(e, e) for e in ([entity] if isinstance(entity, str) else entity)]
+        self.known = F.lit(True)
+        for k in keys:
+            self.known = self.known & F.col(k).isNotNull()
+        # rows without the entity are dealt over many partitions
+        part = [*keys, *by, F.when(~self.known, F.pmod(F.col("ok"), F.lit(4096)))]
+        low = Window.unboundedPreceding if seconds is None else -seconds * 1_000_000
+        self.earlier = Window.partitionBy(*part).orderBy("ts_us").rangeBetween(low, -1)
+        self.ties = Window.partitionBy(*part, "ts_us").orderBy("ok").rowsBetween(Window.unboundedPreceding, -1)
+        self.names, self.by, self.seconds = keys, by, seconds
+
+    def _both(self, c: Column) -> Column:
+        return F.coalesce(c.over(self.earlier), F.lit(0)) + F.coalesce(c.over(self.ties), F.lit(0))
 
     def count(self) -> Column:
-        return self._known(F.count(F.lit(1)).over(self.spec))
+        return F.when(self.known, self._both(F.count(F.lit(1))))
 
     def sum(self, x: str) -> Column:
-        return self._known(F.coalesce(F.sum(x).over(self.spec), F.lit(0.0)))
+        return F.when(self.known, self._both(F.sum(x)).cast("double"))
 
     def mean(self, x: str) -> Column:
-        return self._known(F.avg(x).over(self.spec))
+        n = self._both(F.count(x))
+        return F.when(self.known & (n > 0), self._both(F.sum(x)) / n)
 
     def std(self, x: str) -> Column:
-        return self._known(F.stddev_samp(x).over(self.spec))
+        """Sample deviation: both parts' squares, and that of the distance of their means."""
+        n1, n2 = F.count(x).over(self.earlier), F.count(x).over(self.ties)
+        n = n1 + n2
+        apart = F.coalesce(F.avg(x).over(self.earlier) - F.avg(x).over(self.ties), F.lit(0.0))
+        squares = F.coalesce(F.var_pop(x).over(self.earlier) * n1, F.lit(0.0)) + F.coalesce(F.var_pop(x).over(self.ties) * n2, F.lit(0.0)) + apart * apart * n1 * n2 / F.nullif(n, F.lit(0))
+        return F.when(self.known & (n > 1), F.sqrt(squares / (n - 1)))
 
     def median(self, x: str) -> Column:
-        return self._known(F.percentile(F.col(x), F.lit(0.5)).over(self.spec))
-
-    def nunique(self, x: str) -> Column:
-        return self._known(F.size(F.collect_set(x).over(self.spec)).cast("long"))
-
-    def entropy(self, x: str, least: int = 2) -> Column:
-        """Normalised entropy of the values: 0 to 1, null for fewer than ``least`` distinct ones."""
-        seen = F.collect_list(x).over(self.spec)
-        kinds = F.array_distinct(seen)
-        n, k = F.size(seen).cast("double"), F.size(kinds)
-        part = lambda acc, v: acc + F.size(F.filter(seen, lambda y: y == v)) * F.log(F.size(F.filter(seen, lambda y: y == v)).cast("double"))
-        h = (F.log(n) - F.aggregate(kinds, F.lit(0.0), part) / n) / F.log(k.cast("double"))
-        return self._known(F.when(k >= max(2, least), F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
+        """Over (time, position) as one decimal number, whose range frame is exact among equal times too."""
+        keys = ", ".join(f"`{c}`" for c in (*self.names, *self.by))
+        gone = " OR ".join(f"`{c}` IS NULL" for c in self.names)
+        low = "UNBOUNDED" if self.seconds is None else f"CAST('{self.seconds * 1_000_000 * POSITIONS + POSITIONS - 1}' AS DECIMAL(38, 0))"
+        at = f"CAST(ts_us AS DECIMAL(22, 0)) * CAST('{POSITIONS}' AS DECIMAL(16, 0)) + ok"
+        over = f"(PARTITION BY {keys}, CASE WHEN {gone} THEN pmod(ok, 4096) END ORDER BY CAST({at} AS DECIMAL(38, 0)) RANGE BETWEEN {low} PRECEDING AND CAST('1' AS DECIMAL(38, 0)) PRECEDING)"
+        return F.when(self.known, F.expr(f"percentile(`{x}`, 0.5D) OVER {over}"))
 
 
-def sliced(tx: DataFrame, seconds: int) -> DataFrame:
-    """Rows by slice of their time line, each also in the slice after its own as ``halo``.
+def sliced(tx: DataFrame, seconds: int, column: str = "slice", halo: str = "halo") -> DataFrame:
+    """Rows by slice of their time line; those of its last ``seconds`` also in the next slice, as halo.
 
     With windows of at most ``seconds`` partitioned by (entity, slice) the rows that
     aren't halo see all of their past, and no entity's history is one task's.
     """
-    width = seconds * 1_000_000
+    width = SLICE * seconds * 1_000_000
     own = F.floor(F.col("ts_us") / F.lit(width)).cast("long")
-    both = F.explode(F.array(F.struct(own.alias("slice"), F.lit(False).alias("halo")), F.struct((own + 1).alias("slice"), F.lit(True).alias("halo"))))
-    return tx.withColumn("__s", both).select(*tx.columns, "__s.slice", "__s.halo")
+    late = F.col("ts_us") - own * F.lit(width) >= F.lit(width - seconds * 1_000_000)
+    places = F.array_compact(F.array(F.struct(own.alias("s"), F.lit(False).alias("h")), F.when(late, F.struct((own + 1).alias("s"), F.lit(True).alias("h")))))
+    return tx.withColumn("__s", F.explode(places)).select(*tx.columns, F.col("__s.s").alias(column), F.col("__s.h").alias(halo))
 
 
-def hottest(tx: DataFrame, entity: str) -> int:
-    """Rows of the entity that has most."""
-    return tx.groupBy(ENTITY_COLUMN.get(entity, entity)).count().agg(F.max("count")).first()[0] or 0
-
-
-def causal_order(tx: DataFrame) -> DataFrame:
-    """transaction_id and its dense position from 0.
+def variety(tx: DataFrame, entity: str, x: str, windows: tuple[int, ...], least: int = 2) -> DataFrame:
+    """(ok, distinct_{w}, entropy_{w}) of the values of ``x`` in each window before a row; null without the entity.
 
-    Rows are counted by day, days are summed, and rows are numbered within a day, so no
-    task sorts the whole table.
+    Entropy is normalised, 0 to 1, and null for fewer than ``least`` distinct values.  Null
+    values don't count.  In each slice a row is an event, and so is its leaving each window;
+    the first running sums count a value's rows, the second add what each event changes.
     """
-    day = F.floor(F.col("ts_us") / F.lit(86_400_000_000))
-    t = tx.withColumn("__day", day)
-    days = t.groupBy("__day").count()
-    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(F.col("__day").alias("__d"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__day").orderBy("ok")) - 1
-    return t.withColumn("__in", within).join(days, F.col("__day") == F.col("__d")).select("transaction_id", (F.col("__in") + F.col("__before")).cast("long").alias("position"))
+    key, value = ENTITY_COLUMN.get(entity, entity), ENTITY_COLUMN.get(x, x)
+    rows = tx.select("ok", "ts_us", F.col(key).alias("e"), F.col(value).alias("x")).where("e IS NOT NULL")
+    rows = sliced(rows, max(windows), "s", "halo")
+    leaves = F.explode(F.array(*[F.struct(F.lit(i).alias("leaves"), (F.col("ts_us") + F.lit(w * 1_000_000)).alias("t")) for i, w in enumerate(windows)]))
+    gone = rows.where("x IS NOT NULL").select("ok", "e", "x", "s", "halo", leaves.alias("l")).select("ok", "e", "x", "s", "halo", "l.leaves", "l.t")
+    events = rows.select("ok", "e", "x", "s", "halo", F.lit(-1).alias("leaves"), F.col("ts_us").alias("t")).unionByName(gone)
+    steps = {f"d{i}": F.when(F.col("x").isNull(), 0).when(F.col("leaves") == -1, 1).when(F.col("leaves") == i, -1).otherwise(0) for i in range(len(windows))}
+    events = events.withColumns(steps).withColumn("kind", (F.col("leaves") >= 0).cast("int"))
+    order = ("t", "kind", "ok")
+    own = Window.partitionBy("e", "s", "x").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumns({f"k{i}": F.coalesce(F.sum(f"d{i}").over(own), F.lit(0)) for i in range(len(windows))})
+    g = lambda k: F.when(k > 0, k * F.log(k.cast("double"))).otherwise(0.0)
+    changes = {}
+    for i in range(len(windows)):
+        k, d = F.col(f"k{i}"), F.col(f"d{i}")
+        changes |= {f"u{i}": (k + d > 0).cast("int") - (k > 0).cast("int"), f"g{i}": F.when(d != 0, g(k + d) - g(k)).otherwise(0.0)}
+    whole = Window.partitionBy("e", "s").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {f"{c}_{i}": F.coalesce(F.sum(f"{c}{i}").over(whole), F.lit(0)) for c in "dug" for i in range(len(windows))}
+    done = events.withColumns(changes).withColumns(sums).where("leaves = -1 AND NOT halo")
+    out = []
+    for i, w in enumerate(windows):
+        n, u, h = F.col(f"d_{i}").cast("double"), F.col(f"u_{i}"), F.col(f"g_{i}")
+        flat = (F.log(n) - h / n) / F.log(u.cast("double"))
+        out += [u.cast("long").alias(f"distinct_{w}"), F.when(u >= max(2, least), F.least(F.lit(1.0), F.greatest(F.lit(0.0), flat))).alias(f"entropy_{w}")]
+    return done.select("ok", *out)
+
+
+def lifetime(tx: DataFrame, entity: str, seconds: int = 86_400) -> DataFrame:
+    """(ok, n): all rows of the entity before a row; whole slices are summed, rows are numbered within one."""
+    rows = tx.select("ok", "ts_us", F.col(ENTITY_COLUMN.get(entity, entity)).alias("e")).where("e IS NOT NULL").withColumn("s", F.floor(F.col("ts_us") / F.lit(seconds * 1_000_000)))
+    earlier = Window.partitionBy("e").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("e", "s").count().select("e", "s", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("e", "s").orderBy("ok")) - 1
+    return rows.withColumn("i", within).join(base, ["e", "s"]).select("ok", (F.col("i") + F.col("base")).cast("long").alias("n"))

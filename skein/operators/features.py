@@ -8,11 +8,50 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators.causal import Past, channels, gate, ordered, safe_div
+from skein.operators.causal import Past, channels, gate, lifetime, ordered, safe_div, sliced, variety
 from skein.operators.related import related_counts
 from skein.plans.config import ENTITY_COLUMN, GROUND_TRUTH, GROUPS, FeatureConfig
 
 
+class Known:
+    """What is known of each entity's past, as columns that are asked for by name and computed once."""
+
+    def __init__(self, config: FeatureConfig) -> None:
+        self.config = config
+        self.windows: dict[str, Callable[[str], Column]] = {}
+        self.entity: dict[str, str] = {}
+        self.kinds: set[tuple[str, str]] = set()
+        self.lives: set[str] = set()
+        self.related: set[tuple[str, int]] = set()
+
+    def _ask(self, name: str, entity: str, make: Callable[[str], Column]) -> Column:
+        self.windows[name], self.entity[name] = make, entity
+        return F.col(name)
+
+    def n(self, e: str, w: int) -> Column:
+        return self._ask(f"__n_{e}_{w}", e, lambda s: Past(e, w, s).count())
+
+    def of(self, kind: str, e: str, w: int, x: str = "amount") -> Column:
+        """``kind``: sum, mean, std or median of a numeric column."""
+        return self._ask(f"__{kind}_{x}_{e}_{w}", e, lambda s: getattr(Past(e, w, s), kind)(x))
+
+    def distinct(self, e: str, x: str, w: int) -> Column:
+        self.kinds.add((e, x))
+        return F.col(f"__distinct_{e}_{x}_{w}")
+
+    def entropy(self, e: str, x: str, w: int) -> Column:
+        self.kinds.add((e, x))
+        return F.col(f"__entropy_{e}_{x}_{w}")
+
+    def life(self, e: str) -> Column:
+        self.lives.add(e)
+        return F.col(f"__life_{e}")
+
+    def others(self, e: str, w: int) -> Column:
+        self.related.add((e, w))
+        return F.col(f"__related_{e}_{w}")
+
+
 @dataclass(frozen=True)
 class Feature:
     """One column: how it is computed and what it means."""
@@ -21,75 +60,70 @@ class Feature:
     group: str
     entity: str
     window: int | None
-    value: Callable[[], Column] | None
+    value: Callable[[Known], Column]
     low: float | None
     high: float | None
     purpose: str
 
 
 def _amounts(c: FeatureConfig, e: str, w: int) -> Iterator[Feature]:
-    p, x = (lambda: Past(e, w)), (lambda: F.col("amount"))
-    mean, std, n = (lambda: p().mean("amount")), (lambda: p().std("amount")), (lambda: p().count())
+    x = F.col
     f = lambda part, v, lo, why: Feature(f"amt_{e}_{part}_{w}s", "amount", e, w, v, lo, None, why)
-    yield f("mean", mean, None, "mean amount before")
-    yield f("median", lambda: p().median("amount"), None, "median amount before")
-    yield f("std", lambda: gate(std(), n(), c.min_history), 0.0, "spread of amounts before")
-    yield f("dev", lambda: F.when(x().isNotNull(), x() - mean()), None, "distance from the mean before")
-    yield f("z", lambda: gate(safe_div(x() - mean(), std(), c.eps), n(), c.min_history), None, "distance in deviations")
-    yield f("cv", lambda: gate(safe_div(std(), mean(), c.eps), n(), c.min_history), None, "relative spread before")
+    yield f("mean", lambda k: k.of("mean", e, w), None, "mean amount before")
+    yield f("median", lambda k: k.of("median", e, w), None, "median amount before")
+    yield f("std", lambda k: gate(k.of("std", e, w), k.n(e, w), c.min_history), 0.0, "spread of amounts before")
+    yield f("dev", lambda k: F.when(x("amount").isNotNull(), x("amount") - k.of("mean", e, w)), None, "distance from the mean before")
+    yield f("z", lambda k: gate(safe_div(x("amount") - k.of("mean", e, w), k.of("std", e, w), c.eps), k.n(e, w), c.min_history), None, "distance in deviations")
+    yield f("cv", lambda k: gate(safe_div(k.of("std", e, w), k.of("mean", e, w), c.eps), k.n(e, w), c.min_history), None, "relative spread before")
 
 
 def _amount(c: FeatureConfig) -> Iterator[Feature]:
     for w in c.of("amount"):
         for e in ("card", "device"):
             yield from _amounts(c, e, w)
-        yield Feature(f"amt_card_low_value_ratio_{w}s", "amount", "card", w, lambda w=w: gate(Past("card", w).mean("low_value"), Past("card", w).count(), c.min_history), 0.0, 1.0, "share of small amounts before")
+        yield Feature(f"amt_card_low_value_ratio_{w}s", "amount", "card", w, lambda k, w=w: gate(k.of("mean", "card", w, "low_value"), k.n("card", w), c.min_history), 0.0, 1.0, "share of small amounts before")
 
 
 def _bin(c: FeatureConfig) -> Iterator[Feature]:
-    kinds = (("bin_distinct_cards", "bin", "card_fingerprint", "cards"), ("bin_distinct_merchants", "bin", "merchant_id", "merchants"), ("dev_distinct_bins", "device", "bin", "bins"), ("ip_distinct_bins", "ip", "bin", "bins"))
+    kinds = (("bin_distinct_cards", "bin", "card", "cards"), ("bin_distinct_merchants", "bin", "merchant", "merchants"), ("dev_distinct_bins", "device", "bin", "bins"), ("ip_distinct_bins", "ip", "bin", "bins"))
     for w in c.of("bin"):
-        yield Feature(f"bin_txn_count_{w}s", "bin", "bin", w, lambda w=w: Past("bin", w).count(), 0, None, "rows of the bin before")
+        yield Feature(f"bin_txn_count_{w}s", "bin", "bin", w, lambda k, w=w: k.n("bin", w), 0, None, "rows of the bin before")
         for name, e, x, what in kinds:
-            yield Feature(f"{name}_{w}s", "bin", e, w, lambda e=e, x=x, w=w: Past(e, w).nunique(x), 0, None, f"{what} of the {e} before")
+            yield Feature(f"{name}_{w}s", "bin", e, w, lambda k, e=e, x=x, w=w: k.distinct(e, x, w), 0, None, f"{what} of the {e} before")
 
 
 def _decline(c: FeatureConfig) -> Iterator[Feature]:
-    rate = lambda p: gate(safe_div(p.sum("declined"), p.count().cast("double"), c.eps), p.count(), c.min_history)
     for w in c.of("decline"):
         for e in ("card", "device", "ip", "merchant"):
-            yield Feature(f"dec_{e}_rate_{w}s", "decline", e, w, lambda e=e, w=w: rate(Past(e, w)), 0.0, 1.0, "share of declines before")
+            yield Feature(f"dec_{e}_rate_{w}s", "decline", e, w, lambda k, e=e, w=w: gate(safe_div(k.of("sum", e, w, "declined"), k.n(e, w).cast("double"), c.eps), k.n(e, w), c.min_history), 0.0, 1.0, "share of declines before")
 
 
 def _device(c: FeatureConfig) -> Iterator[Feature]:
-    yield Feature("dev_reuse_prior_total", "device", "device", None, lambda: Past("device", None).count(), 0, None, "all rows of the device before")
+    yield Feature("dev_reuse_prior_total", "device", "device", None, lambda k: k.life("device"), 0, None, "all rows of the device before")
     for w in c.of("device"):
-        yield Feature(f"dev_distinct_cards_{w}s", "device", "device", w, lambda w=w: Past("device", w).nunique("card_fingerprint"), 0, None, "cards of the device before")
+        yield Feature(f"dev_distinct_cards_{w}s", "device", "device", w, lambda k, w=w: k.distinct("device", "card", w), 0, None, "cards of the device before")
 
 
 def _merchant(c: FeatureConfig) -> Iterator[Feature]:
-    spread = lambda p: gate(p.nunique("merchant_id") / F.nullif(p.count(), F.lit(0)), p.count(), c.min_prior_for_ratio)
     for w in c.of("merchant"):
-        yield Feature(f"mer_txn_count_{w}s", "merchant", "merchant", w, lambda w=w: Past("merchant", w).count(), 0, None, "rows of the merchant before")
+        yield Feature(f"mer_txn_count_{w}s", "merchant", "merchant", w, lambda k, w=w: k.n("merchant", w), 0, None, "rows of the merchant before")
         for e in ("card", "device", "ip"):
-            p = lambda e=e, w=w: Past(e, w)
-            yield Feature(f"{e}_distinct_merchants_{w}s", "merchant", e, w, lambda p=p: p().nunique("merchant_id"), 0, None, "merchants of the entity before")
-            yield Feature(f"{e}_merchant_spread_{w}s", "merchant", e, w, lambda p=p: spread(p()), 0.0, 1.0, "merchants by row before")
-            yield Feature(f"{e}_merchant_entropy_{w}s", "merchant", e, w, lambda p=p: p().entropy("merchant_id", c.min_distinct_for_entropy), 0.0, 1.0, "evenness over merchants before")
+            yield Feature(f"{e}_distinct_merchants_{w}s", "merchant", e, w, lambda k, e=e, w=w: k.distinct(e, "merchant", w), 0, None, "merchants of the entity before")
+            yield Feature(f"{e}_merchant_spread_{w}s", "merchant", e, w, lambda k, e=e, w=w: gate(k.distinct(e, "merchant", w) / F.nullif(k.n(e, w), F.lit(0)), k.n(e, w), c.min_prior_for_ratio), 0.0, 1.0, "merchants by row before")
+            yield Feature(f"{e}_merchant_entropy_{w}s", "merchant", e, w, lambda k, e=e, w=w: k.entropy(e, "merchant", w), 0.0, 1.0, "evenness over merchants before")
         for e in ("device", "ip"):
-            yield Feature(f"merchant_related_{e}s_{w}s", "merchant", "merchant", w, None, 0, None, "entities of this merchant that also use others")
+            yield Feature(f"merchant_related_{e}s_{w}s", "merchant", "merchant", w, lambda k, e=e, w=w: k.others(e, w), 0, None, "entities of this merchant that also use others")
 
 
 def _velocity(c: FeatureConfig) -> Iterator[Feature]:
     w = c.of("velocity")
+    narrow, wide = w[0], w[-1]
     for e in ("card", "device", "ip"):
         for x in w:
-            yield Feature(f"vel_{e}_count_{x}s", "velocity", e, x, lambda e=e, x=x: Past(e, x).count(), 0, None, "rows of the entity before")
+            yield Feature(f"vel_{e}_count_{x}s", "velocity", e, x, lambda k, e=e, x=x: k.n(e, x), 0, None, "rows of the entity before")
             if c.emit_rate_per_min:
-                yield Feature(f"vel_{e}_rate_per_min_{x}s", "velocity", e, x, lambda e=e, x=x: Past(e, x).count() * 60.0 / x, 0.0, None, "rows a minute before")
-        narrow, wide = w[0], w[-1]
-        burst = lambda e=e: safe_div(Past(e, narrow).count().cast("double"), Past(e, wide).count() * float(narrow) / float(wide), c.eps)
-        yield Feature(f"vel_{e}_burst_density_{narrow}s_{wide}s", "velocity", e, wide, burst, 0.0, None, "late rows against an even pace")
+                yield Feature(f"vel_{e}_rate_per_min_{x}s", "velocity", e, x, lambda k, e=e, x=x: k.n(e, x) * 60.0 / x, 0.0, None, "rows a minute before")
+        yield Feature(f"vel_{e}_burst_density_{narrow}s_{wide}s", "velocity", e, wide, lambda k, e=e: safe_div(k.n(e, narrow).cast("double"), k.n(e, wide) * float(narrow) / float(wide), c.eps), 0.0, None, "late rows against an even pace")
 
 
 _BUILD = dict(zip(GROUPS, (_amount, _bin, _decline, _device, _merchant, _velocity), strict=True))
@@ -104,30 +138,29 @@ def declared(config: FeatureConfig, groups: tuple[str, ...] = GROUPS) -> list[Fe
     return out
 
 
-def feature_table(tx: DataFrame, config: FeatureConfig, groups: tuple[str, ...] = GROUPS, related: bool = True) -> DataFrame:
+def feature_table(tx: DataFrame, config: FeatureConfig, groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """transaction_id and every feature of ``groups``; ground truth columns are never read.
 
-    Each column is added to the plan by its entity's window, so Spark sorts once an
-    entity.  ``related`` features join, see ``related``.
+    Windows are partitioned by (entity, slice of time).  Sweeps, lifetimes and related
+    entities are computed on the few columns they need and joined by position.
     """
     base = channels(ordered(tx.drop(*GROUND_TRUTH)), config.low_value_amount)
-    feats = declared(config, groups)
-    plain = [f for f in feats if f.value is not None]
-    out = base
-    for entity in ("card", "device", "ip", "bin", "merchant"):
-        own = {f.name: f.value() for f in plain if f.entity == entity}
+    feats, known = declared(config, groups), Known(config)
+    values = {f.name: f.value(known) for f in feats}
+    every = sorted({w for g in groups for w in config.of(g)})
+    out = base.select("ok", "transaction_id", "ts_us", *ENTITY_COLUMN.values(), "amount", "declined", "low_value")
+    for entity in ENTITY_COLUMN:
+        own = {name: make("__slice") for name, make in known.windows.items() if known.entity[name] == entity}
         if own:
-            out = out.withColumns(own)
-    out = out.select("transaction_id", "ok", *[f.name for f in plain])
-    names = [f.name for f in feats]
-    if related and any(f.value is None for f in feats):
-        for f in feats:
-            if f.value is None:
-                actor = f.name.split("_")[2][:-1]
-                out = out.join(related_counts(base, ENTITY_COLUMN[actor], f.window, config.related_entity_min_merchants).withColumnRenamed("related", f.name), "transaction_id", "left")
-    else:
-        names = [f.name for f in plain]
-    return out.select("transaction_id", *names)
+            cut = sliced(out, every[-1], "__slice", "__halo")
+            out = cut.withColumns(own).where("NOT __halo").drop("__slice", "__halo")
+    joined = lambda t, names: t.select(F.col("ok").alias("__ok"), *[F.col(a).alias(b) for a, b in names.items()])
+    parts = [joined(variety(base, e, x, tuple(every), config.min_distinct_for_entropy), {f"{m}_{w}": f"__{m}_{e}_{x}_{w}" for m in ("distinct", "entropy") for w in every}) for e, x in sorted(known.kinds)]
+    parts += [joined(lifetime(base, e), {"n": f"__life_{e}"}) for e in sorted(known.lives)]
+    parts += [joined(related_counts(base, ENTITY_COLUMN[e], w, config.related_entity_min_merchants), {"related": f"__related_{e}_{w}"}) for e, w in sorted(known.related)]
+    for p in parts:
+        out = out.join(p, out["ok"] == p["__ok"], "left").drop("__ok")
+    return out.select("transaction_id", *[v.alias(n) for n, v in values.items()])
 
 
 def dictionary(spark: SparkSession, config: FeatureConfig) -> DataFrame:

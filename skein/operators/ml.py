@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.evaluation import average_precision, confusion, rank_auc
+from skein.operators.order import running
 
 
 def hourly_profile(tx: DataFrame) -> DataFrame:
@@ -56,11 +57,17 @@ def predict(model: PipelineModel, plan, df: DataFrame) -> DataFrame:
 
 
 def score_block(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: ROC area, average precision, Brier score, confusion, and recall in the top 1 and 5 percent."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = F.row_number().over(Window.orderBy(F.col("score").desc(), "transaction_id"))
-    top = df.withColumns({"n": n, "r": r}).agg(*[(F.count_if((F.col("r") <= F.ceil(F.col("n") * p)) & (F.col("label") == 1)) / F.nullif(F.count_if(F.col("label") == 1), F.lit(0))).alias(f"recall_top_{int(p * 100)}") for p in (0.01, 0.05)], F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
-    return rank_auc(df, "score").select("auc", "n_pos", "n_neg").crossJoin(average_precision(df).select("average_precision")).crossJoin(confusion(df, threshold)).crossJoin(top)
+    """One row: ROC area, average precision, Brier score, confusion, and recall in the top 1 and 5 percent.
+
+    Rows that share the score at the edge of the top count in part, as many as still fit.
+    """
+    t = running(df.withColumn("__down", -F.col("score")), "__down", {"n": F.count(F.lit(1)), "p": F.count_if(F.col("label") == 1)})
+    every = t.agg(F.sum("n").alias("__n"), F.sum("p").alias("__p"))
+    t = t.crossJoin(F.broadcast(every))
+    fits = lambda share: F.least(F.col("n"), F.greatest(F.lit(0), F.ceil(F.col("__n") * share) - F.col("n_before")))
+    top = t.agg(*[(F.sum(F.col("p") * fits(s) / F.col("n")) / F.nullif(F.max("__p"), F.lit(0))).alias(f"recall_top_{int(s * 100)}") for s in (0.01, 0.05)])
+    brier = df.agg(F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
+    return rank_auc(df, "score").select("auc", "n_pos", "n_neg").crossJoin(average_precision(df).select("average_precision")).crossJoin(confusion(df, threshold)).crossJoin(top).crossJoin(brier)
 
 
 def ablation(train_df: DataFrame, test_df: DataFrame, groups: dict[str, list[str]]) -> list[dict]:

@@ -17,7 +17,7 @@ def probe_buckets(ts: Column, seconds: int) -> Column:
 
 
 def related_counts(rows: DataFrame, actor: str, seconds: int, least: int = 2) -> DataFrame:
-    """(transaction_id, related): actors with an earlier row at the row's merchant within ``seconds`` that have ``least``
+    """(transaction_id, ok, related): actors with an earlier row at the row's merchant within ``seconds`` that have ``least``
     distinct merchants in that same time.  0 without any; null without a merchant.
 
     Both steps are equi-joins on (key, time bucket) with a range condition: a hot
@@ -25,10 +25,10 @@ def related_counts(rows: DataFrame, actor: str, seconds: int, least: int = 2) ->
     """
     us = seconds * 1_000_000
     past = rows.select(F.col("merchant_id").alias("m"), F.col(actor).alias("a"), F.col("ts_us").alias("pts"), F.col("ok").alias("pok")).where("m IS NOT NULL AND a IS NOT NULL").withColumn("b", time_bucket(F.col("pts"), seconds))
-    now = rows.select("transaction_id", F.col("merchant_id").alias("m"), "ts_us", "ok").where("m IS NOT NULL").withColumn("b", F.explode(probe_buckets(F.col("ts_us"), seconds)))
+    now = rows.select(F.col("merchant_id").alias("m"), "ts_us", "ok").where("m IS NOT NULL").withColumn("b", F.explode(probe_buckets(F.col("ts_us"), seconds)))
     near = (F.col("pok") < F.col("ok")) & (F.col("pts") >= F.col("ts_us") - us)
-    met = now.join(past, ["m", "b"]).where(near).select("transaction_id", "ts_us", "ok", "a").distinct()
+    met = now.join(past, ["m", "b"]).where(near).select("ts_us", "ok", "a").distinct()
     met = met.withColumn("b", F.explode(probe_buckets(F.col("ts_us"), seconds)))
-    wide = met.join(past.withColumnRenamed("m", "other"), ["a", "b"]).where(near).groupBy("transaction_id", "a").agg(F.count_distinct("other").alias("n")).where(F.col("n") >= least)
-    counts = wide.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("related"))
-    return rows.select("transaction_id", "merchant_id").join(counts, "transaction_id", "left").select("transaction_id", F.when(F.col("merchant_id").isNotNull(), F.coalesce("related", F.lit(0))).cast("long").alias("related"))
+    wide = met.join(past.withColumnRenamed("m", "other"), ["a", "b"]).where(near).groupBy("ok", "a").agg(F.count_distinct("other").alias("n")).where(F.col("n") >= least)
+    counts = wide.groupBy("ok").agg(F.count(F.lit(1)).alias("related"))
+    return rows.select("transaction_id", "ok", "merchant_id").join(counts, "ok", "left").select("transaction_id", "ok", F.when(F.col("merchant_id").isNotNull(), F.coalesce("related", F.lit(0))).cast("long").alias("related"))

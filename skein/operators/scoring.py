@@ -8,40 +8,55 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.graph import edges
-from skein.plans.config import RiskThresholds
+from skein.operators.candidates import link_counts
+from skein.operators.order import quantiles, ranks, running
+from skein.plans.config import CandidateConfig, RiskThresholds
+from skein.plans.durable import durable
 
-#: Scored features, the sign in which each grows suspicion.
+#: The scored features, the sign in which each grows suspicion, and which of two that correlate stays (the earlier).
 SIGNS = {
-    "distinct_merchants": 1.0,
-    "distinct_cards": 1.0,
     "burst_rate_per_minute": 1.0,
-    "max_transactions_per_shared_device": 1.0,
-    "max_transactions_per_shared_ip": 1.0,
+    "link_density": 1.0,
     "max_transactions_per_shared_card": 1.0,
+    "multi_entity_link_fraction": 1.0,
+    "distinct_merchants_per_transaction": 1.0,
+    "distinct_bins_per_transaction": 1.0,
     "max_identical_amount_share": 1.0,
 }
+PRECEDENCE = (
+    "multi_entity_link_fraction",
+    "link_density",
+    "burst_rate_per_minute",
+    "max_transactions_per_shared_card",
+    "distinct_merchants_per_transaction",
+    "max_identical_amount_share",
+    "distinct_bins_per_transaction",
+)
 ACTIONS = {"LOW": "flag", "MEDIUM": "review", "HIGH": "block"}
+FORBIDDEN = {"label", "campaign_id", "_source_type", "is_attack_containing", "campaign_transactions", "dominant_campaign_id", "purity_class", "label1_transactions"}
 SPAN_FLOOR, WINSOR, CORRELATION_CAP, MIN_SIZE = 1.0, (0.01, 0.99), 0.70, 2
 
 
-def scoring_features(tx: DataFrame, assigned: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
-    """One row a candidate of ``min_size`` or more: the features that are scored, size, first and last time."""
+def scoring_features(tx: DataFrame, assigned: DataFrame, min_size: int = MIN_SIZE, config: CandidateConfig | None = None) -> DataFrame:
+    """One row a candidate of ``min_size`` or more: the features that are scored, size, first and last time.
+
+    Raw sizes and counts are no features: they grow with the candidate, not with suspicion.
+    """
     own = assigned.where(F.col("candidate_size") >= min_size).select("transaction_id", "candidate_id")
-    t = tx.join(own, "transaction_id")
-    base = t.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("merchant_id").alias("distinct_merchants"), F.count_distinct("card_fingerprint").alias("distinct_cards"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"))
-    shared = edges(tx, ("card", "device", "ip")).join(own, "transaction_id").groupBy("candidate_id", "entity_type", "entity_id").count()
-    most = lambda x: F.coalesce(F.max(F.when((F.col("entity_type") == x) & (F.col("count") > 1), F.col("count"))), F.lit(0)).alias(f"max_transactions_per_shared_{x}")
-    shared = shared.groupBy("candidate_id").agg(*map(most, ("card", "device", "ip")))
-    same = t.groupBy("candidate_id", F.bround("amount", 2).alias("a")).count().groupBy("candidate_id").agg(F.max("count").alias("__most"))
+    t = link_counts(tx, config).join(own, "transaction_id")
+    base = t.groupBy("candidate_id").agg(
+        F.count(F.lit(1)).alias("size"), F.count_distinct("merchant_id").alias("__m"), F.count_distinct("bin").alias("__b"), F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us"),
+        F.sum("n_links").alias("__links"), F.sum("n_links_multi").alias("__multi"),
+    )
+    most = lambda x, name: t.groupBy("candidate_id", x.alias("x")).count().groupBy("candidate_id").agg(F.max("count").alias(name))
+    out = base.join(most(F.col("card_fingerprint"), "max_transactions_per_shared_card"), "candidate_id").join(most(F.bround("amount", 2), "__same"), "candidate_id")
+    n = F.col("size").cast("double")
     span = (F.col("last_ts_us") - F.col("first_ts_us")) / F.lit(1_000_000.0)
-    out = base.join(shared, "candidate_id").join(same, "candidate_id")
-    return out.withColumn("burst_rate_per_minute", (F.col("size") - 1) * 60.0 / F.greatest(span, F.lit(SPAN_FLOOR))).withColumn("max_identical_amount_share", F.col("__most") / F.col("size")).drop("__most")
-
-
-def average_rank(x: Column, by: tuple[Column, ...] = ()) -> Column:
-    """Rank from 1 with the mean for ties."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2.0
+    return out.select(
+        "candidate_id", "size", "first_ts_us", "last_ts_us", ((n - 1) * 60.0 / F.greatest(span, F.lit(SPAN_FLOOR))).alias("burst_rate_per_minute"), (F.col("__links") / (n * (n - 1) / 2.0)).alias("link_density"),
+        "max_transactions_per_shared_card", F.when(F.col("__links") > 0, F.col("__multi") / F.col("__links")).otherwise(0.0).alias("multi_entity_link_fraction"),
+        (F.col("__m") / n).alias("distinct_merchants_per_transaction"), (F.col("__b") / n).alias("distinct_bins_per_transaction"), (F.col("__same") / n).alias("max_identical_amount_share"),
+    )
 
 
 def stacked(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
@@ -50,23 +65,34 @@ def stacked(df: DataFrame, names: list[str], *keep: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, names: list[str], key: str = "candidate_id") -> DataFrame:
-    """(a, b, rho) of all pairs of columns."""
-    ranked = stacked(df, names, key).withColumn("r", average_rank(F.col("value"), (F.col("name"),)))
-    wide = ranked.groupBy(key).pivot("name", names).agg(F.first("r"))
+    """(a, b, rho) of all pairs of columns; null for a constant one."""
+    long = stacked(df, names, key)
+    place = ranks(long, "value", ("name",)).select(F.col("name").alias("__name"), F.col("value").alias("__value"), "rank")
+    ranked = long.join(place, (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")))
+    wide = ranked.groupBy(key).pivot("name", names).agg(F.first("rank"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    one = wide.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    one = wide.agg(*[(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
 def prune_correlated(matrix: dict[tuple[str, str], float | None], order: list[str], cap: float = CORRELATION_CAP) -> list[str]:
-    """Features in their precedence, each only if it correlates over ``cap`` with none that is kept."""
+    """Features in their precedence, each only if it correlates over ``cap`` (at four places) with none that is kept."""
     kept: list[str] = []
     for x in order:
-        if all(abs(matrix.get((x, k), matrix.get((k, x))) or 0.0) <= cap for k in kept):
+        if all(abs(round(matrix.get((x, k), matrix.get((k, x))) or 0.0, 4)) <= cap for k in kept):
             kept.append(x)
     return kept
 
 
+def scored_features(population: DataFrame, signs: dict[str, float] | None = None, cap: float = CORRELATION_CAP) -> dict[str, float]:
+    """The signs of the features that stay when correlated ones are pruned over an unlabelled population."""
+    signs = dict(signs or SIGNS)
+    matrix = {(r["a"], r["b"]): r["rho"] for r in spearman(population, list(signs)).collect()}  # a row a pair of features
+    order = sorted(signs, key=lambda x: PRECEDENCE.index(x) if x in PRECEDENCE else len(PRECEDENCE))
+    kept = prune_correlated(matrix, order, cap)
+    return {x: w for x, w in signs.items() if x in kept}
+
+
 @dataclass(frozen=True)
 class ScorerReference:
     """What scoring needs of the population it was fitted on: by feature the winsor bounds and the distinct clipped values
@@ -90,20 +116,24 @@ class ScorerReference:
 
 
 def fit(population: DataFrame, signs: dict[str, float] | None = None, weights: dict[str, float] | None = None) -> tuple[ScorerReference, DataFrame]:
-    """The reference and its table (name, value, below, upto): how many of the clipped population lie below and at most at a value.
+    """The reference and its table (name, value, n): how many of the clipped population have each value.
 
-    The table has a row for each distinct value, summed by Spark; nothing is gathered.
+    Without ``signs`` the features are all scored ones, pruned over the population.  The
+    table has a row for each distinct value, summed by Spark; nothing is gathered.
     """
-    signs = dict(signs or SIGNS)
-    if {"label", "campaign_id", "_source_type"} & set(population.columns):
+    if FORBIDDEN & set(population.columns):
         raise ValueError("a scorer may not be fitted on ground truth")
+    signs = dict(signs) if signs else scored_features(population)
     names = list(signs)
-    row = population.agg(F.count(F.lit(1)).alias("n"), *[F.percentile(F.col(x).cast("double"), F.array(*map(F.lit, WINSOR))).alias(x) for x in names]).first()
-    bounds = {x: tuple(row[x]) for x in names} if row["n"] else {x: (0.0, 0.0) for x in names}
-    ref = ScorerReference(signs, dict(weights or {x: 1.0 for x in names}), bounds, row["n"])
-    counts = stacked(clipped(population, ref), names).groupBy("name", "value").count()
-    upto = F.sum("count").over(Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return ref, counts.select("name", "value", (upto - F.col("count")).alias("below"), upto.alias("upto"))
+    weights = {x: float((weights or {}).get(x, 1.0)) for x in names}
+    if sum(weights.values()) <= 0:
+        raise ValueError("weights must sum to more than 0")
+    n = population.count()
+    got = quantiles(ranks(stacked(population, names), "value", ("name",)), "value", WINSOR, ("name",)).collect()  # two rows a feature
+    at = {(r["name"], r["share"]): r["value"] for r in got}
+    bounds = {x: tuple(at.get((x, s), 0.0) for s in WINSOR) for x in names}
+    ref = ScorerReference(signs, weights, bounds, n)
+    return ref, stacked(clipped(population, ref), names).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def clipped(df: DataFrame, ref: ScorerReference) -> DataFrame:
@@ -113,19 +143,16 @@ def clipped(df: DataFrame, ref: ScorerReference) -> DataFrame:
 def transform(candidates: DataFrame, ref: ScorerReference, table: DataFrame) -> DataFrame:
     """candidate_id, score and a contribution for each feature.
 
-    A value's percentile is (below + upto) / 2n among the reference.  Values that the
-    reference lacks get both counts from the next smaller value it has: candidates and
-    reference are merged by one window instead of a range join.
+    A value's percentile is (below + upto) / 2n among the reference, for values that it
+    lacks too: those join its table with a count of 0, and running sums give what lies below.
     """
     names, total = list(ref.signs), sum(ref.weights.values()) or 1.0
-    c = stacked(clipped(candidates, ref), names, "candidate_id").withColumn("ref", F.lit(False)).withColumns({"below": F.lit(None).cast("long"), "upto": F.lit(None).cast("long")})
-    r = table.withColumns({"candidate_id": F.lit(None).cast("string"), "ref": F.lit(True)})
-    order = Window.partitionBy("name").orderBy("value", F.col("ref").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = c.unionByName(r).withColumn("near", F.last(F.when(F.col("ref"), F.struct("value", "below", "upto")), ignorenulls=True).over(order)).where(~F.col("ref"))
-    same = F.col("near.value") == F.col("value")
-    p = F.coalesce(F.when(same, (F.col("near.below") + F.col("near.upto")) / 2.0).otherwise(F.col("near.upto") * 1.0), F.lit(0.0)) / float(max(1, ref.n))
+    c = stacked(clipped(candidates, ref), names, "candidate_id")
+    known = table.select("name", "value", "n").unionByName(c.select("name", "value", F.lit(0).cast("long").alias("n")))
+    below = running(known, "value", {"n": F.sum("n")}, ("name",)).select(F.col("name").alias("__name"), F.col("value").alias("__value"), ((2 * F.col("n_before") + F.col("n")) / (2.0 * max(1, ref.n))).alias("p"))
     sign, weight = (F.create_map(*[x for k in names for x in (F.lit(k), F.lit(d[k]))]) for d in (ref.signs, {k: w / total for k, w in ref.weights.items()}))
-    both = both.withColumn("contribution", F.when(sign[F.col("name")] < 0, 1.0 - p).otherwise(p) * weight[F.col("name")])
+    both = c.join(below, (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value")))
+    both = both.withColumn("contribution", F.when(sign[F.col("name")] < 0, 1.0 - F.col("p")).otherwise(F.col("p")) * weight[F.col("name")])
     wide = both.groupBy("candidate_id").pivot("name", names).agg(F.first("contribution"))
     score = sum((F.col(x) for x in names[1:]), F.col(names[0]))
     return wide.select("candidate_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"), *[F.col(x).alias(f"contrib_{x}") for x in names])
@@ -159,13 +186,31 @@ def explained(scored: DataFrame, ref: ScorerReference) -> DataFrame:
     return long.select("candidate_id", "feature", p.alias("suspicion_percentile")).withColumn("strength", F.when(F.col("suspicion_percentile") >= 0.9, "strong").when(F.col("suspicion_percentile") < 0.6, "ordinary").otherwise("elevated"))
 
 
-def detect(tx: DataFrame, assigned: DataFrame, ref: ScorerReference, table: DataFrame, thresholds: RiskThresholds | None = None) -> DataFrame:
-    """Scored campaigns: candidate_id, size, score, tier, action, transaction_ids and their rank by (score, id)."""
-    feats = scoring_features(tx, assigned)
-    s = transform(feats, ref, table)
-    members = assigned.groupBy("candidate_id").agg(F.array_join(F.sort_array(F.collect_list("transaction_id")), "|").alias("transaction_ids"), F.count(F.lit(1)).alias("size"))
+def detect(tx: DataFrame, assigned: DataFrame, ref: ScorerReference, table: DataFrame, thresholds: RiskThresholds | None = None, feats: DataFrame | None = None) -> DataFrame:
+    """Scored campaigns: candidate_id, size, score, tier, action and rank, from 1, by (score down, id).
+
+    Their transactions are :func:`campaign_members`, a row each: a campaign has no bound.
+    An empty table has no campaigns.
+    """
+    feats = durable(scoring_features(tx, assigned), "scoring-features") if feats is None else feats
+    s = durable(transform(feats, ref, table), "scored").withColumn("__down", -F.round("score", 12))
+    place = running(s, "__down", {"n": F.count(F.lit(1))}).select(F.col("__down").alias("__d"), "n_before")
+    within = Window.partitionBy("__down").orderBy("candidate_id")
+    s = s.withColumn("__in", F.row_number().over(within)).join(place, F.col("__down") == F.col("__d"))
     level = tier(F.round("score", 12), thresholds)
-    return s.select("candidate_id", "score", level.alias("tier")).withColumn("action", action(F.col("tier"))).join(members, "candidate_id")
+    return s.select("candidate_id", "score", (F.col("n_before") + F.col("__in")).cast("long").alias("rank"), level.alias("tier")).withColumn("action", action(F.col("tier"))).join(feats.select("candidate_id", "size"), "candidate_id")
+
+
+def campaign_members(assigned: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """(candidate_id, rank, transaction_id) of detected campaigns."""
+    return assigned.select("candidate_id", "transaction_id").join(campaigns.select("candidate_id", "rank"), "candidate_id").select("candidate_id", "rank", "transaction_id")
+
+
+def detection_summary(assigned: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """One row, also over empty tables: status, n_transactions, n_candidates, n_scored and campaigns by tier."""
+    a = assigned.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_transactions"), F.count(F.lit(1)).alias("n_candidates"))
+    c = campaigns.agg(F.count(F.lit(1)).alias("n_scored"), *[F.count_if(F.col("tier") == t).alias(f"n_{t.lower()}_risk") for t in ("HIGH", "MEDIUM", "LOW")])
+    return a.crossJoin(c).select(F.lit("ok").alias("status"), "*")
 
 
 def explain_campaigns(scored: DataFrame, ref: ScorerReference, thresholds: RiskThresholds | None = None, k: int = 3) -> DataFrame:

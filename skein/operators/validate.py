@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.plans.config import GROUND_TRUTH
@@ -26,17 +26,36 @@ def blanks(tx: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_blank")) for c in IDS])).alias("x")).select("x.*")
 
 
-def row_problems(raw: DataFrame) -> DataFrame:
-    """transaction_id and the first problem of each row, or null: what an online request is checked for."""
-    if set(raw.columns) & set(GROUND_TRUTH):
+FIELDS = (*IDS, "amount", "timestamp", "auth_outcome")
+
+
+def problem(columns: list[str]) -> Column:
+    """The first problem of a row, or null, as a column: what an online request is checked for.
+
+    Ground truth and columns that a transaction has not are errors of the request as a whole.
+    """
+    if set(columns) & set(GROUND_TRUTH):
         raise ValueError("ground truth may not be sent for scoring")
+    if set(columns) - set(FIELDS) or set(FIELDS) - set(columns):
+        raise ValueError(f"unknown columns {sorted(set(columns) - set(FIELDS))}, missing columns {sorted(set(FIELDS) - set(columns))}")
     amount = F.col("amount").cast("string").try_cast("double")
-    problem = F.lit(None).cast("string")
-    tests = [(F.col(c).isNull() | (F.trim(c) == ""), f"blank {c}") for c in IDS]
+    found = F.lit(None).cast("string")
+    tests = [(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), f"blank {c}") for c in IDS]
     tests += [(amount.isNull() | F.isnan(amount) | (F.abs(amount) == float("inf")) | (amount <= 0), "amount must be finite and positive"), (F.col("timestamp").isNull(), "no timestamp"), (~F.coalesce(F.lower(F.trim("auth_outcome")).isin("approved", "declined"), F.lit(False)), "unknown outcome")]
     for bad, said in reversed(tests):
-        problem = F.when(bad, said).otherwise(problem)
-    return raw.select("transaction_id", problem.alias("problem"))
+        found = F.when(bad, said).otherwise(found)
+    return found
+
+
+def row_problems(raw: DataFrame) -> DataFrame:
+    """transaction_id and the first problem of each row, or null."""
+    return raw.select("transaction_id", problem(raw.columns).alias("problem"))
+
+
+def coerced(raw: DataFrame) -> DataFrame:
+    """Ids as text without blanks around them; a bin that came as a number is its digits."""
+    digits = F.regexp_replace(F.trim(F.col("bin").cast("string")), r"\.0+$", "")
+    return raw.withColumns({c: F.trim(F.col(c).cast("string")) for c in IDS if c != "bin"} | {"bin": digits})
 
 
 def labels_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -46,8 +65,9 @@ def labels_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(n, hash): whatever the order of rows."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("hash"))
+    """(n, hash, total): whatever the order of rows; rows that repeat count as often as they do."""
+    h = F.xxhash64(*sorted(df.columns))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("hash"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("total"))
 
 
 def graph_checks(tx: DataFrame, links: DataFrame) -> DataFrame:

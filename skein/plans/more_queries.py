@@ -11,7 +11,7 @@ from skein.operators import scoring as sco
 from skein.plans import oracle as q
 from skein.plans.config import ENTITY_COLUMN, FIXTURE
 from skein.plans.durable import durable
-from skein.plans.queries import _assigned, _scored, r6, register, rounded, tx
+from skein.plans.queries import _EVERY, _assigned, _scored, r6, register, rounded, tx
 from skein.sources import replay, transactions
 from skein.streaming import online
 
@@ -39,7 +39,7 @@ _KINDS = "((lc > 0)::BIGINT + (ld > 0)::BIGINT + (li > 0)::BIGINT)"
 def _multi_frame(spark, sf):
     t, a = _assigned(spark, sf)
     a = a.where("candidate_size > 1")
-    return t, a, cand.candidate_frame(t, a, cand.causal_links(t))
+    return t, a, cand.candidate_frame(t, a)
 
 
 @register(q.assigned(f"""SELECT candidate_id, {r6('e / (size * (size - 1) / 2.0::DOUBLE)')} AS link_density, {r6('e::DOUBLE / size')} AS links_per_transaction, {r6('mu::DOUBLE / e')} AS multi_entity_link_fraction, {r6('lc::DOUBLE / e')} AS card_link_share,
@@ -110,12 +110,6 @@ def ground_truth_norm(spark, sf):
     return evaluation.truth(tx(spark, sf))
 
 
-@register(q.query("SELECT 0::BIGINT AS only_assigned, 0::BIGINT AS only_truth, 0::BIGINT AS repeated_assigned, 0::BIGINT AS repeated_truth"))
-def align_audit(spark, sf):
-    t, a = _assigned(spark, sf)
-    return evaluation.align(a, evaluation.truth(t))
-
-
 @register(q.query("SELECT count(*) FILTER (label = 1 AND campaign_id = '') AS positive_without_campaign, count(*) FILTER (label = 0 AND campaign_id <> '') AS negative_with_campaign FROM o"))
 def label_consistency(spark, sf):
     t = evaluation.truth(tx(spark, sf))
@@ -162,9 +156,6 @@ def rank_auc(spark, sf):
     return rounded(evaluation.rank_auc(tx(spark, sf).withColumn("value", F.round("amount", 0))))
 
 
-_EVERY = [f.name for f in features.declared(FIXTURE)]
-
-
 @register()
 def univariate_audit(spark, sf):
     t = transactions.from_events(spark, sf)
@@ -177,12 +168,6 @@ def ks_stat(spark, sf):
     return rounded(evaluation.ks(tx(spark, sf).withColumnRenamed("amount", "value")))
 
 
-@register(q.query(f"SELECT bin, {r6('p')} AS p, {r6('least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING))')} AS q FROM (SELECT bin, p, row_number() OVER (ORDER BY p, bin) AS r, count(*) OVER () AS m FROM (SELECT bin, round(1.0::DOUBLE / (1 + abs(avg(amount) - 50)), 9) AS p FROM o GROUP BY 1))"))
-def bh_fdr(spark, sf):
-    p = tx(spark, sf).groupBy("bin").agg(F.round(1.0 / (1 + F.abs(F.avg("amount") - 50)), 9).alias("p"))
-    return rounded(evaluation.benjamini_hochberg(p))
-
-
 @register(q.query(f"SELECT merchant_id, count(*) AS n, sum(label)::BIGINT AS n_attack, {r6('avg(label)')} AS rate, {r6('avg(label) / (SELECT avg(label) FROM o)')} AS lift FROM o GROUP BY 1"))
 def attack_rate(spark, sf):
     return rounded(evaluation.rate_by(tx(spark, sf), "merchant_id"))
@@ -281,12 +266,6 @@ def truncate_tails(spark, sf):
     return perturb.truncate_tails(tx(spark, sf), 0.5).select("transaction_id")
 
 
-@register(q.query("SELECT count(*) FILTER (campaign_id = '' OR n < 2 OR r <= greatest(1, floor(n * 0.5))) AS n_kept, 0::BIGINT AS n_added, count(*) FILTER (NOT (campaign_id = '' OR n < 2 OR r <= greatest(1, floor(n * 0.5)))) AS n_removed, 0::BIGINT AS changed_amount FROM (SELECT *, count(*) OVER (PARTITION BY campaign_id) AS n, row_number() OVER (PARTITION BY campaign_id ORDER BY ok) AS r FROM o)"))
-def perturb_summary(spark, sf):
-    t = tx(spark, sf)
-    return perturb.summary(t, perturb.truncate_tails(t, 0.5), ("amount",))
-
-
 @register(q.query(f"SELECT campaign_id, count(*) AS n, round((max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE, 7) AS span_seconds, {r7('median(gap)')} AS median_gap FROM (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY campaign_id ORDER BY ts_us, transaction_id)) / 1000000.0::DOUBLE AS gap FROM o {_C}) GROUP BY 1"))
 def cadence_profile(spark, sf):
     return rounded(perturb.cadence_profile(tx(spark, sf)), 7)
@@ -297,7 +276,7 @@ def reuse_profile(spark, sf):
     return rounded(perturb.reuse_profile(tx(spark, sf)))
 
 
-@register(q.query("SELECT s AS share, (SELECT count(*) FROM o WHERE ts_us <= c) AS n, true AS nested FROM (SELECT unnest([0.25, 0.5, 0.75, 0.9]) AS s, unnest((SELECT [floor(quantile_cont(ts_us, 0.25)), floor(quantile_cont(ts_us, 0.5)), floor(quantile_cont(ts_us, 0.75)), floor(quantile_cont(ts_us, 0.9))] FROM o)) AS c)".replace("[0.25, 0.5, 0.75, 0.9]", "[0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE]")))
+@register(q.query("SELECT s AS share, (SELECT count(*) FROM o WHERE ts_us <= c) AS n, c >= coalesce(lag(c) OVER (ORDER BY s), c) AS nested FROM (SELECT unnest([0.25, 0.5, 0.75, 0.9]) AS s, unnest((SELECT [floor(quantile_cont(ts_us, 0.25)), floor(quantile_cont(ts_us, 0.5)), floor(quantile_cont(ts_us, 0.75)), floor(quantile_cont(ts_us, 0.9))] FROM o)) AS c)".replace("[0.25, 0.5, 0.75, 0.9]", "[0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE]")))
 def censor_nesting(spark, sf):
     t = tx(spark, sf)
     shares = (0.25, 0.5, 0.75, 0.9)
@@ -320,11 +299,6 @@ def perturbed_worlds(spark, sf):
 
 # checks
 
-@register(q.query("SELECT 0::BIGINT AS bad_amount, 0::BIGINT AS bad_timestamp, count(*) FILTER (amount IS NULL) AS no_amount FROM o"))
-def dq_parse(spark, sf):
-    return validate.parse_failures(tx(spark, sf))
-
-
 @register(q.query("SELECT count(*) FILTER (c > 1) AS n_repeated, count(*) AS n_ids FROM (SELECT transaction_id, count(*) AS c FROM o GROUP BY 1)"))
 def dq_unique(spark, sf):
     return validate.repeated_ids(tx(spark, sf))
@@ -340,24 +314,6 @@ def validate_transactions(spark, sf):
     return validate.row_problems(transactions.production(tx(spark, sf)))
 
 
-@register(q.query("SELECT count(*) FILTER (NOT keep) AS n_removed, 0::BIGINT AS n_added, 0::BIGINT AS n_relabelled, 0::BIGINT AS n_added_positive FROM (SELECT campaign_id = '' OR n < 2 OR r <= greatest(1, floor(n * 0.5)) AS keep FROM (SELECT *, count(*) OVER (PARTITION BY campaign_id) AS n, row_number() OVER (PARTITION BY campaign_id ORDER BY ok) AS r FROM o))"))
-def labels_preserved(spark, sf):
-    t = tx(spark, sf)
-    return validate.labels_preserved(t, perturb.truncate_tails(t, 0.5))
-
-
-@register(q.query("SELECT " + ", ".join(f"0::BIGINT AS {n}" for n in ("n_self", "n_future", "n_outside_window", "n_without_evidence", "n_unknown"))))
-def graph_checks(spark, sf):
-    t = tx(spark, sf)
-    return validate.graph_checks(t, cand.causal_links(t))
-
-
-@register(q.query("SELECT " + ", ".join(f"0::BIGINT AS {n}" for n in ("n_links_across", "n_assigned_twice", "n_wrong_size"))))
-def candidate_checks(spark, sf):
-    t, a = _assigned(spark, sf)
-    return validate.candidate_checks(a, cand.causal_links(t))
-
-
 @register()
 def frame_fingerprint(spark, sf):
     return validate.fingerprint(transactions.from_events(spark, sf))
@@ -365,7 +321,7 @@ def frame_fingerprint(spark, sf):
 
 # online surface
 
-@register(q.assigned("SELECT candidate_id, string_agg(transaction_id, '|' ORDER BY transaction_id) AS candidate_key FROM a WHERE candidate_size > 1 GROUP BY 1"))
+@register(q.assigned("SELECT candidate_id, md5(count(*)::VARCHAR || ':' || sum(('0x' || substr(md5(transaction_id), 1, 15))::BIGINT::HUGEINT)::VARCHAR || ':' || sum(('0x' || substr(md5(transaction_id), 16, 15))::BIGINT::HUGEINT)::VARCHAR) AS candidate_key FROM a WHERE candidate_size > 1 GROUP BY 1"))
 def candidate_key(spark, sf):
     return online.candidate_key(_assigned(spark, sf)[1])
 
@@ -415,12 +371,6 @@ def attach_groups(spark, sf):
     return evaluation.attach_groups(a, evaluation.truth(t))
 
 
-@register(q.query("SELECT 0::BIGINT AS n_missing, 0::BIGINT AS n_changed, 24::BIGINT AS n_added"))
-def rows_preserved(spark, sf):
-    t = tx(spark, sf)
-    return validate.rows_preserved(t, perturb.inject_bursts(t, 3, 8, 300, 9), ("ts_us", "card_fingerprint", "amount", "label"))
-
-
 @register()
 def explain_campaign(spark, sf):
     _, _, f, ref, table = _scored(spark, sf)

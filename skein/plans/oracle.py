@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from skein.operators.causal import TIES
-from skein.operators.scoring import SIGNS
 from skein.plans.config import ENTITY_COLUMN
 
-STEP = 2 * TIES
+#: More than twice the rows of one time in the fixture tables; the SQL's window key is time and place in it.
+TIES, STEP = 2048, 4096
+#: The scored features by the definitions of the detector's scorer, in the order in which the earlier of two that correlate stays.
+FEATURES = {
+    "multi_entity_link_fraction": "coalesce(any_value(mu)::DOUBLE / nullif(any_value(e), 0), 0.0)",
+    "link_density": "coalesce(any_value(e), 0)::DOUBLE / (count(*) * (count(*) - 1) / 2.0::DOUBLE)",
+    "burst_rate_per_minute": "(count(*) - 1) * 60.0::DOUBLE / greatest((max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE, 1.0::DOUBLE)",
+    "max_transactions_per_shared_card": "any_value(same_card)",
+    "distinct_merchants_per_transaction": "count(DISTINCT merchant_id)::DOUBLE / count(*)",
+    "max_identical_amount_share": "any_value(most)::DOUBLE / count(*)",
+    "distinct_bins_per_transaction": "count(DISTINCT bin)::DOUBLE / count(*)",
+}
 
 
 def reach(seconds: int) -> int:
@@ -19,7 +28,7 @@ tx AS (SELECT lpad(event_id::VARCHAR, 12, '0') AS transaction_id, ts AS "timesta
    'I' || ((user_id // 3) * 10 + k // 10)::VARCHAR AS ip_signature, CASE WHEN event_type = 'error' THEN 'declined' ELSE 'approved' END AS auth_outcome,
    CASE WHEN event_id % 16 = 0 THEN 1 ELSE 0 END AS label, CASE WHEN event_id % 16 = 0 THEN 'CMP-' || lpad((user_id % 45)::VARCHAR, 3, '0') ELSE '' END AS campaign_id
    FROM (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events)),
-o AS (SELECT *, ts_us * {STEP} + row_number() OVER (PARTITION BY ts_us ORDER BY transaction_id) - 1 AS ok,
+o AS (SELECT *, row_number() OVER (ORDER BY ts_us, transaction_id) - 1 AS ok, ts_us * {STEP} + row_number() OVER (PARTITION BY ts_us ORDER BY transaction_id) - 1 AS wk,
    CASE WHEN auth_outcome = 'declined' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS declined, (amount < 5.0)::INTEGER::DOUBLE AS low_value
    FROM (SELECT *, epoch_us("timestamp") AS ts_us FROM tx))"""
 EDGES = f"""
@@ -38,8 +47,9 @@ a AS (SELECT o.transaction_id, o.ts_us, o.ok, nm.candidate_id, nm.candidate_size
 t AS (SELECT o.*, a.candidate_id, a.candidate_size FROM o JOIN a USING (transaction_id))"""
 PAIRS = """
 nb AS (SELECT x.transaction_id, y.transaction_id AS neighbour_id, x.entity_type, x.entity_id, y.ts_us - x.ts_us AS delta_us
-   FROM ed x JOIN ed y ON x.entity_type = y.entity_type AND x.entity_id = y.entity_id AND y.ok < x.ok AND y.ts_us >= x.ts_us - 3600000000
-   WHERE x.entity_type IN ('card', 'device', 'ip'))"""
+   FROM (SELECT *, unnest([ts_us // 3600000000 - 1, ts_us // 3600000000]) AS hour FROM ed WHERE entity_type IN ('card', 'device', 'ip')) x
+   JOIN (SELECT *, ts_us // 3600000000 AS hour FROM ed WHERE entity_type IN ('card', 'device', 'ip')) y
+   ON x.entity_type = y.entity_type AND x.entity_id = y.entity_id AND x.hour = y.hour AND y.ok < x.ok AND y.ts_us >= x.ts_us - 3600000000)"""
 LINKS = """
 lk AS (SELECT transaction_id AS anchor_transaction_id, neighbour_id AS prior_transaction_id, string_agg(entity_type, '|' ORDER BY entity_type) AS link_entity_types,
    count(*) AS n_link_entity_types, max(delta_us) / 1000000.0::DOUBLE AS delta_seconds, -(max(delta_us) / 1000000.0::DOUBLE) + 0.0 AS age_seconds,
@@ -50,22 +60,41 @@ FEATS = """
 sh AS (SELECT candidate_id, entity_type, entity_id, count(*) AS c FROM ed JOIN a USING (transaction_id) WHERE candidate_size > 1 AND entity_type IN ('card', 'device', 'ip') GROUP BY 1, 2, 3),
 sm AS (SELECT candidate_id, max(c) AS most FROM (SELECT candidate_id, round(amount, 2) AS x, count(*) AS c FROM t WHERE candidate_size > 1 GROUP BY 1, 2) GROUP BY 1),
 sx AS (SELECT candidate_id, coalesce(max(c) FILTER (entity_type = 'card' AND c > 1), 0) AS max_transactions_per_shared_card, coalesce(max(c) FILTER (entity_type = 'device' AND c > 1), 0) AS max_transactions_per_shared_device,
-   coalesce(max(c) FILTER (entity_type = 'ip' AND c > 1), 0) AS max_transactions_per_shared_ip FROM sh GROUP BY 1),
-f AS (SELECT candidate_id, count(*) AS size, count(DISTINCT merchant_id) AS distinct_merchants, count(DISTINCT card_fingerprint) AS distinct_cards, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us,
-   any_value(max_transactions_per_shared_card) AS max_transactions_per_shared_card, any_value(max_transactions_per_shared_device) AS max_transactions_per_shared_device, any_value(max_transactions_per_shared_ip) AS max_transactions_per_shared_ip,
-   (count(*) - 1) * 60.0::DOUBLE / greatest((max(ts_us) - min(ts_us)) / 1000000.0::DOUBLE, 1.0::DOUBLE) AS burst_rate_per_minute, any_value(most)::DOUBLE / count(*) AS max_identical_amount_share
-   FROM t JOIN sx USING (candidate_id) JOIN sm USING (candidate_id) GROUP BY candidate_id)"""
+   coalesce(max(c) FILTER (entity_type = 'ip' AND c > 1), 0) AS max_transactions_per_shared_ip, max(c) FILTER (entity_type = 'card') AS same_card FROM sh GROUP BY 1),
+le AS (SELECT candidate_id, count(*) AS e, count(*) FILTER (n_link_entity_types > 1) AS mu FROM lk JOIN a ON a.transaction_id = anchor_transaction_id GROUP BY 1),
+f AS (SELECT candidate_id, count(*) AS size, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us, """ + ", ".join(f"{x} AS {n}" for n, x in FEATURES.items()) + """
+   FROM t JOIN sx USING (candidate_id) JOIN sm USING (candidate_id) LEFT JOIN le USING (candidate_id) GROUP BY candidate_id)"""
+
+
+def _rank(x: str) -> str:
+    return f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE"
+
+
+def _kept() -> str:
+    """One row: whether each feature is scored, i.e. no kept one before it correlates over 0.70 (at four places) with it."""
+    names, steps = list(FEATURES), []
+    for i, n in enumerate(names):
+        clash = " OR ".join(f"(keep_{m} AND abs(coalesce(rho_{m}_{n}, 0)) > 0.70)" for m in names[:i]) or "false"
+        steps.append(f"kp{i} AS (SELECT *, NOT ({clash}) AS keep_{n} FROM {'rh' if i == 0 else f'kp{i - 1}'})")
+    rho = ", ".join(f"CASE WHEN isfinite(corr(r_{m}, r_{n})) THEN round(corr(r_{m}, r_{n}), 4) END AS rho_{m}_{n}" for i, n in enumerate(names) for m in names[:i])
+    return f"rk AS (SELECT {', '.join(f'{_rank(n)} AS r_{n}' for n in names)} FROM f),\nrh AS (SELECT {rho} FROM rk),\n" + ",\n".join(steps)
+
+
 SCORED = f"""
-fl AS ({' UNION ALL '.join(f"SELECT candidate_id, '{n}' AS name, {n}::DOUBLE AS value FROM f" for n in SIGNS)}),
+{_kept()},
+kn AS (SELECT unnest([{', '.join(f"'{n}'" for n in FEATURES)}]) AS name, unnest([{', '.join(f'keep_{n}' for n in FEATURES)}]) AS keep FROM kp{len(FEATURES) - 1}),
+fl AS (SELECT x.* FROM ({' UNION ALL '.join(f"SELECT candidate_id, '{n}' AS name, {n}::DOUBLE AS value FROM f" for n in FEATURES)}) x JOIN kn USING (name) WHERE keep),
 fb AS (SELECT name, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi, count(*) AS n FROM fl GROUP BY name),
 fc AS (SELECT candidate_id, name, least(hi, greatest(lo, value)) AS v, n FROM fl JOIN fb USING (name)),
 fp AS (SELECT candidate_id, name, ((rank() OVER (PARTITION BY name ORDER BY v) - 1) * 2 + count(*) OVER (PARTITION BY name, v)) / (2.0::DOUBLE * n) AS p FROM fc),
-sc AS (SELECT candidate_id, {', '.join(f"max(p) FILTER (name = '{n}') / {len(SIGNS)}.0::DOUBLE AS contrib_{n}" for n in SIGNS)} FROM fp GROUP BY candidate_id),
-ss AS (SELECT *, least(1.0, greatest(0.0, {' + '.join(f'contrib_{n}' for n in SIGNS)})) AS score FROM sc)"""
+sc AS (SELECT candidate_id, {', '.join(f"max(p) FILTER (name = '{n}') / (SELECT count(*) FROM kn WHERE keep) AS contrib_{n}" for n in FEATURES)} FROM fp GROUP BY candidate_id),
+ss AS (SELECT *, least(1.0, greatest(0.0, {' + '.join(f'coalesce(contrib_{n}, 0)' for n in FEATURES)})) AS score FROM sc)"""
 ALL = ",".join([TX, EDGES, CHAIN, COMP, ASSIGN])
 
 
 def query(select: str, *parts: str) -> str:
+    if FEATS in parts:  # what candidates' features are made of, if it isn't there yet
+        parts = tuple(p for x in parts for p in ((*[y for y in (PAIRS, LINKS) if y not in parts], x) if x is FEATS else (x,)))
     return "WITH RECURSIVE " + ",".join([TX, *parts]) + "\n" + select
 
 
@@ -75,7 +104,7 @@ def assigned(select: str, *parts: str) -> str:
 
 def window(entity: str, seconds: int | None) -> str:
     frame = "UNBOUNDED PRECEDING" if seconds is None else f"{reach(seconds)} PRECEDING"
-    return f"(PARTITION BY {ENTITY_COLUMN[entity]} ORDER BY ok RANGE BETWEEN {frame} AND 1 PRECEDING)"
+    return f"(PARTITION BY {ENTITY_COLUMN[entity]} ORDER BY wk RANGE BETWEEN {frame} AND 1 PRECEDING)"
 
 
 def known(entity: str, x: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators import candidates, causal, features, graph, related, scoring
 from skein.plans import oracle as q
 from skein.plans.config import ENTITIES, ENTITY_COLUMN, FIXTURE, FeatureConfig
+from skein.plans.durable import durable
 from skein.sources import transactions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,11 +94,21 @@ _window("win_sum", lambda p: p.sum("amount"), r6("coalesce(sum(amount) OVER {w},
 _window("win_mean", lambda p: p.mean("amount"), r6("avg(amount) OVER {w}"))
 _window("win_std", lambda p: p.std("amount"), r6("stddev_samp(amount) OVER {w}"))
 _window("win_median", lambda p: p.median("amount"), r6("median(amount) OVER {w}"))
-_window("win_nunique", lambda p: p.nunique("merchant_id"), "count(DISTINCT merchant_id) OVER {w}")
-_window("win_entropy", lambda p: p.entropy("merchant_id"), r6(q.entropy("merchant_id", "{w}")))
 _window("win_lifetime_count", lambda p: p.count(), "count(*) OVER {w}", "device", None)
 
 
+def _variety(name: str, kind: str, sql: str) -> None:
+    @register(q.query(f"SELECT transaction_id, {sql.format(w=q.window('card', _DAY))} AS value FROM o"), name)
+    def run(spark, sf):
+        t = tx(spark, sf)
+        got = causal.variety(t, "card", "merchant", (_DAY,)).select("ok", F.col(f"{kind}_{_DAY}").alias("value"))
+        return rounded(t.select("ok", "transaction_id").join(got, "ok", "left").drop("ok"))
+
+
+_variety("win_nunique", "distinct", "count(DISTINCT merchant_id) OVER {w}")
+_variety("win_entropy", "entropy", r6(q.entropy("merchant_id", "{w}")))
+
+
 def _related_sql(actor: str, seconds: int) -> str:
     c, us = ENTITY_COLUMN[actor], seconds * 1_000_000
     return f"""(SELECT transaction_id, count(*) AS n FROM (
@@ -107,7 +118,7 @@ def _related_sql(actor: str, seconds: int) -> str:
 
 @register(q.query(f"SELECT o.transaction_id, coalesce(n, 0) AS related FROM o LEFT JOIN {_related_sql('device', _DAY)} USING (transaction_id)"))
 def related_entities(spark, sf):
-    return related.related_counts(tx(spark, sf), "device_fingerprint", _DAY)
+    return related.related_counts(tx(spark, sf), "device_fingerprint", _DAY).drop("ok")
 
 
 # feature groups
@@ -155,35 +166,46 @@ def _typed_sql(names: list[str]) -> str:
     return ", ".join(f"{_SQL[n]} AS {n}" if n in whole and "spread" not in n else f"{r6(_SQL[n])} AS {n}" for n in names)
 
 
+def _is_related(f: features.Feature) -> bool:
+    return f.name.startswith("merchant_related_")
+
+
+def _related_joins(names: list[str]) -> tuple[str, str]:
+    """Columns and joins of related features, which SQL computes as tables of their own."""
+    mine = [n for n in names if n.startswith("merchant_related_")]
+    parts = [n.removeprefix("merchant_related_").split("s_") for n in mine]
+    return "".join(f", coalesce(r{i}.n, 0) AS {n}" for i, n in enumerate(mine)), "".join(f" LEFT JOIN {_related_sql(e, int(w.rstrip('s')))} r{i} ON r{i}.transaction_id = o.transaction_id" for i, (e, w) in enumerate(parts))
+
+
+def _feature_query(names: list[str]) -> str:
+    more, joins = _related_joins(names)
+    return f"SELECT o.transaction_id, {_typed_sql([n for n in names if n in _SQL])}{more} FROM o{joins}"
+
+
 def _group(group: str) -> None:
-    names = [f.name for f in features.declared(FIXTURE, (group,)) if f.value is not None]
+    names = [f.name for f in features.declared(FIXTURE, (group,))]
 
-    @register(q.query(f"SELECT transaction_id, {_typed_sql(names)} FROM o"), f"feat_{group}")
+    @register(q.query(_feature_query(names)), f"feat_{group}")
     def run(spark, sf):
-        return rounded(features.feature_table(transactions.from_events(spark, sf), FIXTURE, (group,), related=False))
+        return rounded(features.feature_table(transactions.from_events(spark, sf), FIXTURE, (group,)))
 
 
 for _g in ("amount", "bin", "decline", "device", "merchant", "velocity"):
     _group(_g)
 
-_RELATED = FeatureConfig(windows=(3600, 21600))
+_EVERY = [f.name for f in features.declared(FIXTURE)]
+_RELATED = [f.name for f in features.declared(FIXTURE, ("merchant",)) if _is_related(f)]
 
 
-@register(q.query("SELECT o.transaction_id, " + ", ".join(f"coalesce(r{i}.n, 0) AS merchant_related_{a}s_{w}s" for i, (w, a) in enumerate((w, a) for w in (3600, 21600) for a in ("device", "ip"))) + " FROM o " + " ".join(f"LEFT JOIN {_related_sql(a, w)} r{i} USING (transaction_id)" for i, (w, a) in enumerate((w, a) for w in (3600, 21600) for a in ("device", "ip")))))
+@register(q.query(f"SELECT o.transaction_id{_related_joins(_RELATED)[0]} FROM o{_related_joins(_RELATED)[1]}"))
 def feat_related(spark, sf):
-    t = transactions.from_events(spark, sf)
-    names = [f.name for f in features.declared(_RELATED, ("merchant",)) if f.value is None]
-    return features.feature_table(t, _RELATED, ("merchant",)).select("transaction_id", *names)
+    return features.feature_table(transactions.from_events(spark, sf), FIXTURE, ("merchant",)).select("transaction_id", *_RELATED)
 
 
-@register(q.query(f"SELECT transaction_id, {_typed_sql([f.name for f in features.declared(FIXTURE) if f.value is not None])} FROM o"))
+@register(q.query(_feature_query(_EVERY)))
 def feature_table(spark, sf):
-    return rounded(features.feature_table(transactions.from_events(spark, sf), FIXTURE, related=False))
-
-
-@register()
-def feature_table_complete(spark, sf):
-    return features.feature_table(transactions.from_events(spark, sf), _RELATED)
+    """All 156 columns."""
+    return rounded(features.feature_table(transactions.from_events(spark, sf), FIXTURE))
 
 
 @register()
@@ -191,20 +213,18 @@ def feature_dictionary(spark, sf):
     return features.dictionary(spark, FIXTURE)
 
 
-_STAT = [f.name for f in features.declared(FIXTURE, ("velocity", "decline")) if f.value is not None]
+_STATS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, (count(*) - count({n}))::BIGINT AS n_null, {r6(f'min({n})::DOUBLE')} AS min, {r6(f'max({n})::DOUBLE')} AS max FROM ft" for n in _EVERY)
 
 
-@register(q.query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, (count(*) - count({n}))::BIGINT AS n_null, {r6(f'min({n})::DOUBLE')} AS min, {r6(f'max({n})::DOUBLE')} AS max FROM ft" for n in _STAT), f"\nft AS (SELECT transaction_id, {_typed_sql(_STAT)} FROM o)"))
+@register(q.query(_STATS, f"\nft AS MATERIALIZED ({_feature_query(_EVERY)})"))
 def feature_dictionary_stats(spark, sf):
-    return rounded(features.observed(features.feature_table(transactions.from_events(spark, sf), FIXTURE, ("velocity", "decline"))))
+    return rounded(features.observed(features.feature_table(transactions.from_events(spark, sf), FIXTURE)))
 
 
-@register()
-def feature_dictionary_stats_complete(spark, sf):
-    return rounded(features.observed(features.feature_table(transactions.from_events(spark, sf), FIXTURE)))
+_RANGED = [f for f in features.declared(FIXTURE) if f.low is not None or f.high is not None]
 
 
-@register()
+@register(q.query(" UNION ALL ".join(f"SELECT '{f.name}' AS name, count(*) FILTER ({' OR '.join([*([f'{f.name} < {f.low}'] if f.low is not None else []), *([f'{f.name} > {f.high}'] if f.high is not None else [])])}) AS n_bad FROM ft" for f in _RANGED), f"\nft AS MATERIALIZED ({_feature_query(_EVERY)})"))
 def dq_ranges(spark, sf):
     return features.out_of_range(features.feature_table(transactions.from_events(spark, sf), FIXTURE), FIXTURE)
 
@@ -314,7 +334,7 @@ _FRAME = f"""SELECT candidate_id, count(*) AS size, min(ts_us) AS first_ts_us, m
 @register(q.assigned(_FRAME, q.PAIRS, q.LINKS))
 def candidate_frame(spark, sf):
     t, a = _assigned(spark, sf)
-    return candidates.candidate_frame(t, a, candidates.causal_links(t))
+    return candidates.candidate_frame(t, a, list_ids=True)
 
 
 _OV = ", ".join(f"count(*) FILTER (entity_type = '{t}') AS n_shared_{t}s, coalesce(string_agg(entity_id, '|' ORDER BY entity_id) FILTER (entity_type = '{t}'), '') AS shared_{t}_ids, coalesce(max(c) FILTER (entity_type = '{t}'), 0) AS max_transactions_per_shared_{t}" for t in ("card", "device", "ip"))
@@ -333,21 +353,25 @@ def candidate_summary(spark, sf):
 # scoring
 
 _NUM = list(scoring.SIGNS)
-_FCOLS = ["distinct_merchants", "distinct_cards", "max_transactions_per_shared_card", "max_transactions_per_shared_device", "max_transactions_per_shared_ip"]
 
 
-@register(q.assigned(f"SELECT candidate_id, size, {', '.join(_FCOLS)}, first_ts_us, last_ts_us, {r6('burst_rate_per_minute')} AS burst_rate_per_minute, {r6('max_identical_amount_share')} AS max_identical_amount_share FROM f", q.FEATS))
+@register(q.assigned(f"SELECT candidate_id, size, first_ts_us, last_ts_us, {', '.join(f'{r6(n)} AS {n}' for n in q.FEATURES if n != 'max_transactions_per_shared_card')}, max_transactions_per_shared_card FROM f", q.FEATS))
 def scoring_features(spark, sf):
     return rounded(scoring.scoring_features(*_assigned(spark, sf)))
 
 
 def _scored(spark, sf):
     t, a = _assigned(spark, sf)
-    f = scoring.scoring_features(t, a)
+    f = durable(scoring.scoring_features(t, a), "scoring-features")
     ref, table = scoring.fit(f)
     return t, a, f, ref, table
 
 
+def _all_contributions(scored):
+    """Features that pruning left out have null contributions, so the columns are always the same."""
+    return scored.select("candidate_id", "score", *[F.col(f"contrib_{n}") if f"contrib_{n}" in scored.columns else F.lit(None).cast("double").alias(f"contrib_{n}") for n in _NUM])
+
+
 @register(q.assigned("SELECT name, lo, hi, n FROM fb", q.FEATS, q.SCORED))
 def scorer_fit(spark, sf):
     *_, ref, _table = _scored(spark, sf)
@@ -357,7 +381,7 @@ def scorer_fit(spark, sf):
 @register(q.assigned(f"SELECT candidate_id, {r6('score')} AS score, {', '.join(f'{r6(f"contrib_{n}")} AS contrib_{n}' for n in _NUM)} FROM ss", q.FEATS, q.SCORED))
 def scorer_transform(spark, sf):
     _, _, f, ref, table = _scored(spark, sf)
-    return rounded(scoring.transform(f, ref, table))
+    return rounded(_all_contributions(scoring.transform(f, ref, table)))
 
 
 _TIER = "CASE WHEN round(score, 12) >= 0.7 THEN 'HIGH' WHEN round(score, 12) >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -374,7 +398,7 @@ def risk_tiers(spark, sf):
 _LONGC = " UNION ALL ".join(f"SELECT candidate_id, '{n}' AS feature, contrib_{n} AS c FROM ss" for n in _NUM)
 
 
-@register(q.assigned(f"SELECT candidate_id, rank, feature, {r6('c')} AS contribution FROM (SELECT *, (row_number() OVER (PARTITION BY candidate_id ORDER BY round(c, 12) DESC, feature))::INTEGER AS rank FROM ({_LONGC})) WHERE rank <= 3", q.FEATS, q.SCORED))
+@register(q.assigned(f"SELECT candidate_id, rank, feature, {r6('c')} AS contribution FROM (SELECT *, (row_number() OVER (PARTITION BY candidate_id ORDER BY round(c, 12) DESC, feature))::INTEGER AS rank FROM ({_LONGC}) WHERE c IS NOT NULL) WHERE rank <= 3", q.FEATS, q.SCORED))
 def top_signals(spark, sf):
     _, _, f, ref, table = _scored(spark, sf)
     return rounded(scoring.top_signals(rounded(scoring.transform(f, ref, table), 12)))
@@ -388,19 +412,38 @@ def explain_signals(spark, sf):
     return rounded(x.withColumn("strength", F.when(p >= 0.9, "strong").when(p < 0.6, "ordinary").otherwise("elevated")))
 
 
-@register(q.assigned(f"SELECT candidate_id, {r6('score')} AS score, tier, {_ACTION} AS action, size, ids AS transaction_ids FROM (SELECT candidate_id, score, {_TIER} AS tier FROM ss) JOIN (SELECT candidate_id, count(*) AS size, string_agg(transaction_id, '|' ORDER BY transaction_id) AS ids FROM a GROUP BY 1) USING (candidate_id)", q.FEATS, q.SCORED))
+_DETECTED = f"de AS (SELECT candidate_id, score, tier, {_ACTION} AS action, size, row_number() OVER (ORDER BY round(score, 12) DESC, candidate_id) AS rank FROM (SELECT candidate_id, score, {_TIER} AS tier FROM ss) JOIN (SELECT candidate_id, count(*) AS size FROM a GROUP BY 1) USING (candidate_id))"
+
+
+@register(q.assigned(f"SELECT candidate_id, {r6('score')} AS score, tier, action, size, rank FROM de", q.FEATS, q.SCORED, _DETECTED))
 def detect_campaigns(spark, sf):
-    t, a, _, ref, table = _scored(spark, sf)
-    return rounded(scoring.detect(t, a, ref, table))
+    t, a, f, ref, table = _scored(spark, sf)
+    return rounded(scoring.detect(t, a, ref, table, feats=f))
 
 
-@register(q.assigned("SELECT a || ' ' || b AS pair, round(rho, 6) + 0.0::DOUBLE AS rho FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, corr(rx, ry) AS rho FROM (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0::DOUBLE AS ry FROM f)" for i, x in enumerate(_NUM[:4]) for y in _NUM[i:4]) + ")", q.FEATS))
-def spearman(spark, sf):
-    m = scoring.spearman(scoring.scoring_features(*_assigned(spark, sf)), _NUM[:4])
-    return rounded(m.select(F.concat_ws(" ", "a", "b").alias("pair"), "rho"))
+@register(q.assigned("SELECT candidate_id, rank, transaction_id FROM de JOIN a USING (candidate_id)", q.FEATS, q.SCORED, _DETECTED))
+def detected_members(spark, sf):
+    t, a, f, ref, table = _scored(spark, sf)
+    return scoring.campaign_members(a, scoring.detect(t, a, ref, table, feats=f))
 
 
-@register()
-def spearman_complete(spark, sf):
+@register(q.assigned("SELECT 'ok' AS status, (SELECT count(*) FROM o) AS n_transactions, (SELECT count(DISTINCT candidate_id) FROM a) AS n_candidates, count(*) AS n_scored, count(*) FILTER (tier = 'HIGH') AS n_high_risk, count(*) FILTER (tier = 'MEDIUM') AS n_medium_risk, count(*) FILTER (tier = 'LOW') AS n_low_risk FROM de", q.FEATS, q.SCORED, _DETECTED))
+def detection_summary(spark, sf):
+    t, a, f, ref, table = _scored(spark, sf)
+    return scoring.detection_summary(a, scoring.detect(t, a, ref, table, feats=f))
+
+
+_RHO = " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, corr(rx, ry) AS rho FROM (SELECT {q._rank(x)} AS rx, {q._rank(y)} AS ry FROM f)" for i, x in enumerate(_NUM) for y in _NUM[i:])
+
+
+@register(q.assigned(f"SELECT a || ' ' || b AS pair, CASE WHEN isfinite(rho) THEN round(rho, 6) + 0.0::DOUBLE END AS rho FROM ({_RHO})", q.FEATS))
+def spearman(spark, sf):
     m = scoring.spearman(scoring.scoring_features(*_assigned(spark, sf)), _NUM)
     return rounded(m.select(F.concat_ws(" ", "a", "b").alias("pair"), "rho"))
+
+
+@register(q.assigned("SELECT name FROM kn WHERE keep", q.FEATS, q.SCORED))
+def scored_features(spark, sf):
+    """The features that pruning keeps."""
+    kept = scoring.scored_features(scoring.scoring_features(*_assigned(spark, sf)))
+    return spark.createDataFrame([(n,) for n in kept], "name string")

@@ -53,8 +53,9 @@ def read_csv(spark: SparkSession, path: str, overrides: dict[str, str] | None =
     return typed(raw, overrides)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return typed(spark.read.option("multiLine", True).option("primitivesAsString", True).json(path))
+def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """One object a line, or, with ``multi_line``, a file that is one array."""
+    return typed(spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(path))
 
 
 def production(df: DataFrame) -> DataFrame:

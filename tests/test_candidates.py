@@ -76,7 +76,7 @@ def scored(spark):
     tx = micro(spark, [(g.randrange(90000), f"C{g.randrange(25)}", f"D{g.randrange(25)}", f"I{g.randrange(40)}", f"M{g.randrange(5)}") for _ in range(250)])
     a = candidates.assignments(candidates.components(tx))
     f = scoring.scoring_features(tx, a)
-    ref, table = scoring.fit(f)
+    ref, table = scoring.fit(f, {**scoring.scored_features(f), "distinct_merchants_per_transaction": 1.0})
     return tx, a, f.cache(), ref, table.cache()
 
 
@@ -95,10 +95,12 @@ def test_scores_are_mid_rank_percentiles(scored):
 
 def test_values_outside_the_reference_take_the_next_smaller(spark, scored):
     _, _, f, ref, table = scored
-    between = f.limit(1).withColumn("distinct_cards", F.lit(1.5))
-    got = scoring.transform(between, ref, table).first()["contrib_distinct_cards"] * len(ref.signs)
-    v = [min(ref.bounds["distinct_cards"][1], max(ref.bounds["distinct_cards"][0], float(r[0]))) for r in f.select("distinct_cards").collect()]
-    y = min(ref.bounds["distinct_cards"][1], max(ref.bounds["distinct_cards"][0], 1.5))
+    name = "distinct_merchants_per_transaction"
+    between = f.limit(1).withColumn(name, F.lit(0.77))
+    got = scoring.transform(between, ref, table).first()[f"contrib_{name}"] * len(ref.signs)
+    lo, hi = ref.bounds[name]
+    v = [min(hi, max(lo, float(r[0]))) for r in f.select(name).collect()]
+    y = min(hi, max(lo, 0.77))
     assert abs(got - (sum(z < y for z in v) + sum(z <= y for z in v)) / (2 * len(v))) < 1e-9
 
 
@@ -109,6 +111,38 @@ def test_reference_survives_json_and_refuses_truth(scored):
         scoring.fit(f.withColumn("label", F.lit(1)))
 
 
+def test_scored_features_by_their_definitions(spark, scored):
+    """Every scored feature of every candidate from its pairs, and the correlated ones left out."""
+    tx, a, f, _, _ = scored
+    t = {r["transaction_id"]: r for r in tx.collect()}
+    groups = {}
+    for r in a.where("candidate_size > 1").collect():
+        groups.setdefault(r["candidate_id"], []).append(t[r["transaction_id"]])
+    got = {r["candidate_id"]: r for r in f.collect()}
+    assert set(got) == set(groups)
+    for c, g in groups.items():
+        g.sort(key=lambda r: r["ok"])
+        pairs = [[x[e] == y[e] for e in ("card_fingerprint", "device_fingerprint", "ip_signature")] for i, x in enumerate(g) for y in g[:i] if x["ts_us"] - y["ts_us"] <= 3600_000_000]
+        linked = [sum(p) for p in pairs if any(p)]
+        n, r = len(g), got[c]
+        most = lambda k: max(sum(k(x) == k(y) for y in g) for x in g)
+        want = {
+            "link_density": len(linked) / (n * (n - 1) / 2), "multi_entity_link_fraction": sum(k > 1 for k in linked) / len(linked), "burst_rate_per_minute": (n - 1) * 60 / max(1, (g[-1]["ts_us"] - g[0]["ts_us"]) / 1e6),
+            "max_transactions_per_shared_card": most(lambda x: x["card_fingerprint"]), "distinct_merchants_per_transaction": len({x["merchant_id"] for x in g}) / n,
+            "distinct_bins_per_transaction": len({x["bin"] for x in g}) / n, "max_identical_amount_share": most(lambda x: round(x["amount"], 2)) / n,
+        }
+        assert set(want) == set(scoring.SIGNS) and all(abs(r[k] - v) < 1e-9 for k, v in want.items()), (c, want, r)
+
+
+def test_links_over_nothing_are_nothing(spark):
+    tx = micro(spark, [(0, "C1", "D1", "I1", "M")]).limit(0)
+    a = candidates.assignments(candidates.components(tx))
+    f = scoring.scoring_features(tx, a)
+    ref, table = scoring.fit(f, scoring.SIGNS)
+    d = scoring.detect(tx, a, ref, table)
+    assert d.count() == 0 and scoring.detection_summary(a, d).first().asDict() == {"status": "ok", "n_transactions": 0, "n_candidates": 0, "n_scored": 0, "n_high_risk": 0, "n_medium_risk": 0, "n_low_risk": 0}
+
+
 def test_tiers_have_inclusive_lower_edges(spark):
     d = spark.createDataFrame([(0.39999,), (0.4,), (0.69999,), (0.7,)], "score double")
     assert [r[0] for r in d.select(scoring.tier(F.col("score"))).collect()] == ["LOW", "MEDIUM", "MEDIUM", "HIGH"]
@@ -131,5 +165,28 @@ def test_micro_batches_give_what_one_batch_gives(spark, scored, tmp_path):
     store = online.Store(spark, str(tmp_path / "store"))
     online.run(stream, store, str(tmp_path / "checkpoint")).awaitTermination()
     assert store.read().count() == data.count() and [r["problem"] for r in store.rejected().collect()] == ["amount must be finite and positive"]
-    key = lambda df: {r["transaction_ids"]: round(r["score"], 9) for r in df.collect()}
+    key = lambda df: {r["candidate_id"]: (r["size"], r["rank"], round(r["score"], 9)) for r in df.collect()}
     assert key(online.rescore(store.read(), ref, table)) == key(online.rescore(data, ref, table))
+
+
+def test_store_keeps_the_valid_row_of_a_repeated_id(spark, tmp_path):
+    good = ("T1", datetime(2026, 1, 1), "M", "C", "400001", 5.0, "D", "I", "approved")
+    rows_ = [good, (*good[:5], -1.0, *good[6:]), (None, *good[1:]), (" ", *good[1:]), ("T2", *good[1:])]
+    store = online.Store(spark, str(tmp_path / "s"))
+    assert store.read().count() == 0 and store.health().first()["n_transactions"] == 0
+    store.append(spark.createDataFrame(rows_, online.SCHEMA), 0)
+    store.append(spark.createDataFrame([(*good[:5], 7.0, *good[6:])], online.SCHEMA), 1)
+    assert {(r["transaction_id"], r["amount"]) for r in store.read().collect()} == {("T1", 5.0), ("T2", 5.0)}
+    assert sorted(r["problem"] for r in store.rejected().collect()) == ["amount must be finite and positive", "blank transaction_id", "blank transaction_id"]
+    with pytest.raises(ValueError, match="unknown columns"):
+        store.append(spark.createDataFrame(rows_, online.SCHEMA).withColumn("more", F.lit(1)), 2)
+    with pytest.raises(ValueError, match="ground truth"):
+        store.append(spark.createDataFrame(rows_, online.SCHEMA).withColumn("label", F.lit(1)), 2)
+    store.reset()
+    assert store.read().count() == 0 and store.rejected().count() == 0
+
+
+def test_messages(spark):
+    said = ['{"type": "ping"}', "no json", '{"type": "dance"}', '{"type": "snapshot"}', '{"type": "transaction"}', '{"type": "transaction", "transaction": {"transaction_id": "T1", "timestamp": "2026-01-01T00:00:00Z", "amount": 1.5}}']
+    got = [(r["kind"], r["reply"]) for r in online.messages(spark.createDataFrame([(x,) for x in said], "value string")).collect()]
+    assert got == [("ping", "pong"), ("error", "error"), ("error", "error"), ("snapshot", "campaigns"), ("error", "error"), ("transaction", "campaigns")]

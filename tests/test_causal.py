@@ -39,13 +39,16 @@ def close(a, b):
 
 def test_windows_match_brute_force_with_ties(tx):
     p = causal.Past("card", W)
-    got = tx.select("transaction_id", p.count().alias("n"), p.sum("amount").alias("s"), p.mean("amount").alias("m"), p.std("amount").alias("sd"), p.median("amount").alias("md"), p.nunique("merchant_id").alias("k"), p.entropy("merchant_id").alias("h"), causal.Past("device", None).count().alias("life")).collect()
+    got = tx.select("transaction_id", p.count().alias("n"), p.sum("amount").alias("s"), p.mean("amount").alias("m"), p.std("amount").alias("sd"), p.median("amount").alias("md"), causal.Past("device", None).count().alias("life"), "ok")
+    kinds = causal.variety(tx, "card", "merchant", (W,)).select("ok", F.col(f"distinct_{W}").alias("k"), F.col(f"entropy_{W}").alias("h"))
+    lives = causal.lifetime(tx, "device", 30).select("ok", F.col("n").alias("life2"))
+    got = got.join(kinds, "ok", "left").join(lives, "ok", "left").collect()
     data = [r.asDict() for r in tx.collect()]
     at = {r["transaction_id"]: i for i, r in enumerate(data)}
     for g in got:
         i = at[g["transaction_id"]]
         seen = past(data, i, "card_fingerprint")
-        assert g["life"] == len(past(data, i, "device_fingerprint", None))
+        assert g["life"] == len(past(data, i, "device_fingerprint", None)) == g["life2"]
         if seen is None:
             assert all(g[c] is None for c in "nskmh") and g["sd"] is None and g["md"] is None
             continue
@@ -66,9 +69,40 @@ def test_slices_give_the_same_counts(tx):
     assert {r["transaction_id"]: r["n"] for r in parts} == whole
 
 
+def test_thousands_of_rows_of_one_second_and_times_after_2041(spark):
+    """One entity holds all rows, 5,000 of them in one second, far in the future."""
+    t0 = datetime(2055, 1, 1)
+    data = [(f"T{i:05d}", t0 if i < 5000 else t0 + timedelta(seconds=i - 4999), f"M{i % 3}", "C", "4", float(i % 7), "D", "I", "approved") for i in range(5010)]
+    tx = causal.channels(causal.ordered(spark.createDataFrame(data, SCHEMA)))
+    f = {r["transaction_id"]: r for r in features.feature_table(spark.createDataFrame(data, SCHEMA), FeatureConfig(windows=(5,)), ("velocity", "merchant", "amount", "device")).collect()}
+    assert len(f) == 5010 and tx.agg(F.max("ok")).first()[0] == 5009
+    for i in (0, 1, 2, 4999, 5000, 5004, 5009):
+        first = 0 if i < 5005 else i - 5
+        seen = [r for r in data[first if i < 5005 else 0 : i] if r[1] >= data[i][1] - timedelta(seconds=5)]
+        r = f[data[i][0]]
+        assert r["vel_card_count_5s"] == len(seen) and r["card_distinct_merchants_5s"] == len({x[2] for x in seen}) and r["dev_reuse_prior_total"] == i
+        assert close(r["amt_card_mean_5s"], sum(x[5] for x in seen) / len(seen) if seen else None)
+        xs = sorted(x[5] for x in seen)
+        assert close(r["amt_card_median_5s"], (xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2 if xs else None)
+
+
+def test_variety_over_slices_and_nulls(spark):
+    """Windows much shorter than the table, so that slices and halos matter."""
+    data = rows(200, 11)
+    tx = causal.ordered(spark.createDataFrame(data, SCHEMA)).cache()
+    got = {r["ok"]: r for r in causal.variety(tx, "ip", "merchant", (3, 9)).collect()}
+    all_rows = [r.asDict() for r in tx.collect()]
+    for i, r in enumerate(all_rows):
+        for w in (3, 9):
+            ms = [x["merchant_id"] for x in past(all_rows, i, "ip_signature", w) if x["merchant_id"] is not None]
+            counts = [ms.count(v) for v in set(ms)]
+            h = (math.log(len(ms)) - sum(c * math.log(c) for c in counts) / len(ms)) / math.log(len(counts)) if len(counts) > 1 else None
+            assert got[r["ok"]][f"distinct_{w}"] == len(counts) and close(got[r["ok"]][f"entropy_{w}"], h)
+
+
 def test_related_counts_match_brute_force(tx):
     data = [r.asDict() for r in tx.collect()]
-    got = {r[0]: r[1] for r in related.related_counts(tx, "device_fingerprint", W).collect()}
+    got = {r["transaction_id"]: r["related"] for r in related.related_counts(tx, "device_fingerprint", W).collect()}
     for i, r in enumerate(data):
         seen = past(data, i, "merchant_id")
         if seen is None:

@@ -9,7 +9,6 @@ import pytest
 
 import __spark_entry__ as entry
 from skein.operators import features
-from skein.operators.scoring import SIGNS
 from skein.plans.config import FIXTURE
 from tools.compare import normal
 
@@ -34,11 +33,9 @@ def test_audits_cover_every_declared_feature(spark):
     q = entry.queries()
     names = lambda n: sorted(r["name"] for r in q[n](spark, SF).select("name").collect())
     assert names("dq_ranges") == sorted(f.name for f in every if f.low is not None or f.high is not None)
-    assert names("feature_dictionary_stats_complete") == sorted(f.name for f in every)
+    assert names("feature_dictionary_stats") == sorted(f.name for f in every)
     assert names("univariate_audit") == sorted(f.name for f in every)
-    rho = {r["pair"]: r["rho"] for r in q["spearman_complete"](spark, SF).collect()}
-    assert set(rho) == {f"{a} {b}" for i, a in enumerate(SIGNS) for b in list(SIGNS)[i:]}
-    assert rho.items() >= {r["pair"]: r["rho"] for r in q["spearman"](spark, SF).collect()}.items()
+    assert len(q["feature_table"](spark, SF).columns) == 157
 
 
 def test_every_sql_has_a_query():
