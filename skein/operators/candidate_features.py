@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.numbers import bucket, over
 from skein.operators.graph import edges
 from skein.plans.config import ENTITY_COLUMN
 
@@ -13,10 +14,6 @@ def members(tx: DataFrame, assigned: DataFrame, least: int = 2) -> DataFrame:
     return tx.join(assigned.where(F.col("candidate_size") >= least).select("transaction_id", "candidate_id"), "transaction_id")
 
 
-def over(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
-
-
 def timing(m: DataFrame) -> DataFrame:
     """Gaps between neighbours in time, and transactions a minute (null at span 0)."""
     order = Window.partitionBy("candidate_id").orderBy("ok")
@@ -91,13 +88,6 @@ SIZE_BUCKETS = ((2, "2"), (3, "3"), (5, "4-5"), (10, "6-10"), (20, "11-20"), (50
 SPAN_BUCKETS = ((60, "<=1m"), (300, "1-5m"), (900, "5-15m"), (1800, "15-30m"), (3600, "30-60m"), (None, ">60m"))
 
 
-def bucket(x: Column, edges_: tuple) -> Column:
-    out = F.lit(edges_[-1][1])
-    for top, name in reversed(edges_[:-1]):
-        out = F.when(x <= top, name).otherwise(out)
-    return out
-
-
 def buckets(frame: DataFrame) -> DataFrame:
     return frame.select("candidate_id", bucket(F.col("size"), SIZE_BUCKETS).alias("size_bucket"), bucket(F.col("time_span_seconds"), SPAN_BUCKETS).alias("span_bucket"))
 

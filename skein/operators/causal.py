@@ -58,14 +58,6 @@ def channels(tx: DataFrame, low_value: float = 5.0) -> DataFrame:
     return tx.withColumn("declined", declined).withColumn("low_value", F.when(F.col("amount").isNotNull(), (F.col("amount") < low_value).cast("double")))
 
 
-def safe_div(a: Column, b: Column, eps: float = 1e-12) -> Column:
-    return F.when(F.abs(b) > eps, a / b)
-
-
-def gate(value: Column, support: Column, least: int) -> Column:
-    return F.when(support >= least, value)
-
-
 class Past:
     """Aggregates over the window of ``seconds`` before a row, by entity (or columns); None: all its past.
 

@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from skein.plans.durable import durable
 
 
+def _as_step(root: DataFrame) -> DataFrame:
+    return root.select(F.col("node").alias("root"), F.col("root").alias("next"))
+
+
+def _follow(root: DataFrame, by: DataFrame) -> DataFrame:
+    """Pointers ``root`` followed by those of ``by``."""
+    return root.join(_as_step(by), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; a component is named by its smallest node.
 
@@ -26,17 +35,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         both = half.unionByName(half.select(F.col("v").alias("u"), F.col("u").alias("v")))
         root = durable(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("root")), "cc-point")
         while True:
-            up = root.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = durable(root.join(up, "root", "left").select("node", "root", F.coalesce("next", "root").alias("next")), "cc-jump")
-            moving = jumped.where("next <> root").limit(1).count()
-            root = jumped.select("node", F.col("next").alias("root"))
-            if not moving:
+            # four steps up and a look at the fifth, in one plan
+            root = durable(_follow(_follow(root, root), _follow(root, root)), "cc-jump")
+            if not root.join(_as_step(root), "root").where("next <> root").limit(1).count():
                 break
         if labels is None:
             labels = root
         else:
-            step = root.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            labels = durable(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "cc-labels")
+            labels = durable(_follow(labels, root), "cc-labels")
         to = lambda a, b: root.select(F.col("node").alias(a), F.col("root").alias(b))
         half = half.join(to("u", "ru"), "u").join(to("v", "rv"), "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         half = durable(half, "cc-edges")

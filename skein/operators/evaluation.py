@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.numbers import cliffs_delta, effect, two_proportion_z, two_sided
 from skein.operators.order import BUCKETS, ranks, running
 from skein.operators.order import quantiles as quantiles_of
 from skein.operators.scoring import stacked
@@ -211,27 +211,6 @@ def rate_by(df: DataFrame, by: str, label: str = "label") -> DataFrame:
     return t.withColumn("rate", rate).withColumn("lift", rate / F.nullif(F.sum("n_attack").over(every) / F.sum("n").over(every), F.lit(0.0)))
 
 
-#: A published expansion of the complementary error function, of a relative error under 1.2e-7 everywhere.
-ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-
-
-def two_sided(z: Column) -> Column:
-    """Two-sided p of a normal deviate."""
-    x = F.abs(z) / F.lit(math.sqrt(2))
-    t = 1 / (1 + 0.5 * x)
-    poly = F.lit(ERFC[-1])
-    for c in reversed(ERFC[:-1]):
-        poly = F.lit(c) + t * poly
-    return F.least(F.lit(1.0), t * F.exp(-x * x + poly))
-
-
-def two_proportion_z(a: Column, n: Column, b: Column, m: Column) -> Column:
-    """Normal deviate of a of n against b of m, with a pooled deviation; 0 where that is 0."""
-    p = (a + b) / F.nullif(n + m, F.lit(0))
-    se = F.sqrt(p * (1 - p) * (1 / F.nullif(n, F.lit(0)) + 1 / F.nullif(m, F.lit(0))))
-    return F.coalesce((a / F.nullif(n, F.lit(0)) - b / F.nullif(m, F.lit(0))) / F.nullif(se, F.lit(0.0)), F.lit(0.0))
-
-
 def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
     """``df`` with q: the smallest false discovery rate at which a row is found; null p have none and count for none.
 
@@ -242,7 +221,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p") -> DataFrame:
     total = place.agg(F.sum("n").alias("__m"))
     raw = place.crossJoin(F.broadcast(total)).select(F.col(p).alias("__p"), (F.col(p) * F.col("__m") / (F.col("n_before") + F.col("n"))).alias("__raw"))
     # least of all larger p: whole buckets by a small table, the rest within
-    return df.join(_least_after(raw, "__p", "__raw"), F.col(p) == F.col("__p"), "left").withColumn("q", F.least(F.lit(1.0), F.col("__least"))).drop("__p", "__least")
+    return df.join(_least_after(raw, "__p", "__raw"), F.col(p) == F.col("__p"), "left").withColumn("q", F.when(F.col("__least").isNotNull(), F.least(F.lit(1.0), F.col("__least")))).drop("__p", "__least")
 
 
 def _least_after(df: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -257,15 +236,6 @@ def _least_after(df: DataFrame, key: str, value: str, buckets: int = BUCKETS) ->
     return t.select(key, F.least("__in", "__low").alias("__least"))
 
 
-def cliffs_delta(auc: Column) -> Column:
-    return 2 * auc - 1
-
-
-def effect(delta: Column) -> Column:
-    d = F.abs(delta)
-    return F.when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").otherwise("large")
-
-
 def bootstrap_ci(scores: np.ndarray, labels: np.ndarray, clusters: np.ndarray, stat: Callable, n: int = 500, seed: int = 7) -> tuple[float, float]:
     """Percentile interval of ``stat`` over resampled clusters; for scored candidates, of which there are thousands."""
     g, names = np.random.default_rng(seed), np.unique(clusters)

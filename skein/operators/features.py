@@ -8,9 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators.causal import Past, channels, gate, lifetime, ordered, safe_div, sliced, variety
+from skein.functions.numbers import gate, safe_div
+from skein.operators.causal import Past, channels, lifetime, ordered, sliced, variety
 from skein.operators.related import related_counts
 from skein.plans.config import ENTITY_COLUMN, GROUND_TRUTH, GROUPS, FeatureConfig
+from skein.plans.durable import durable
 
 
 class Known:
@@ -145,10 +147,12 @@ def feature_table(tx: DataFrame, config: FeatureConfig, groups: tuple[str, ...]
     entities are computed on the few columns they need and joined by position.
     """
     base = channels(ordered(tx.drop(*GROUND_TRUTH)), config.low_value_amount)
+    # every part below starts from these few columns, so they are written once
+    base = durable(base.select("ok", "transaction_id", "ts_us", *ENTITY_COLUMN.values(), "amount", "declined", "low_value"), "causal")
     feats, known = declared(config, groups), Known(config)
     values = {f.name: f.value(known) for f in feats}
     every = sorted({w for g in groups for w in config.of(g)})
-    out = base.select("ok", "transaction_id", "ts_us", *ENTITY_COLUMN.values(), "amount", "declined", "low_value")
+    out = base
     for entity in ENTITY_COLUMN:
         own = {name: make("__slice") for name, make in known.windows.items() if known.entity[name] == entity}
         if own:

@@ -7,15 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.numbers import uniform
 from skein.operators.order import running
 from skein.plans.config import ENTITY_COLUMN
 
 
-def uniform(seed: int, *ids: str) -> Column:
-    """A number from 0 up to 1 from a seed and ids."""
-    return F.pmod(F.xxhash64(F.lit(seed), *ids), F.lit(1 << 52)) / F.lit(float(1 << 52))
-
-
 def _shift(tx: DataFrame, ts_us: Column) -> DataFrame:
     return tx.withColumn("ts_us", ts_us).withColumn("timestamp", F.timestamp_micros("ts_us"))
 

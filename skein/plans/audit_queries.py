@@ -7,13 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skein.operators import audit, evaluation, features, ml, order, perturb, scoring, tuning, validate, worlds
-from skein.operators import candidate_features as cf
+from skein.functions import numbers
+from skein.operators import audit, evaluation, features, ml, perturb, scoring, tuning, validate, worlds
 from skein.operators import candidates as cand
 from skein.plans import oracle as q
-from skein.plans.config import ENTITY_COLUMN, FIXTURE
+from skein.plans.config import FIXTURE
 from skein.plans.durable import durable, shared_dir
-from skein.plans.more_queries import _GT, _M
+from skein.plans.more_queries import _GT
 from skein.plans.queries import _EVERY, _assigned, _feature_query, _scored, r6, register, rounded, tx
 from skein.sources import artifacts, transactions
 from skein.streaming import online
@@ -151,8 +151,8 @@ def dq_finite(spark, sf):
 
 def _erfc(z: str) -> str:
     """The published expansion over |z| / sqrt(2), as SQL over a column x and t."""
-    poly = f"{evaluation.ERFC[-1]}::DOUBLE"
-    for c in reversed(evaluation.ERFC[:-1]):
+    poly = f"{numbers.ERFC[-1]}::DOUBLE"
+    for c in reversed(numbers.ERFC[:-1]):
         poly = f"({c}::DOUBLE + t * {poly})"
     return f"least(1.0, t * exp(-x * x + {poly}))"
 
@@ -175,8 +175,8 @@ def bh_fdr(spark, sf):
     t = tx(spark, sf)
     per = t.groupBy("merchant_id").agg(F.sum("declined").alias("a"), F.count(F.lit(1)).alias("n"))
     every = t.agg(F.sum("declined").alias("sa"), F.count(F.lit(1)).alias("sn"))
-    z = evaluation.two_proportion_z(F.col("a"), F.col("n"), F.col("sa") - F.col("a"), F.col("sn") - F.col("n"))
-    p = per.crossJoin(F.broadcast(every)).select("merchant_id", z.alias("z")).withColumn("p", evaluation.two_sided(F.col("z")))
+    z = numbers.two_proportion_z(F.col("a"), F.col("n"), F.col("sa") - F.col("a"), F.col("sn") - F.col("n"))
+    p = per.crossJoin(F.broadcast(every)).select("merchant_id", z.alias("z")).withColumn("p", numbers.two_sided(F.col("z")))
     return rounded(evaluation.benjamini_hochberg(p))
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_KEPT: list[str] = []
+#: Tables by application, in the order in which they were written.
+_KEPT: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: the folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
@@ -32,20 +36,25 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _KEPT.append(path)
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables :func:`durable` has written in this session; returns how many."""
-    n = 0
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the tables :func:`durable` has written in this session after the first ``since`` (see :func:`mark`); returns how many."""
+    n, kept = 0, _KEPT.setdefault(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _KEPT:
-        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+    while len(kept) > since:
+        path = jvm.org.apache.hadoop.fs.Path(kept.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+def mark(spark: SparkSession) -> int:
+    """How many tables there are: a caller that releases since its mark leaves those of others alone."""
+    return len(_KEPT.get(spark.sparkContext.applicationId, ()))
+
+
 def settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that nothing refers to any more.
 

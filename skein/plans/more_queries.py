@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import candidate_features as cf
-from skein.operators import causal, evaluation, features, ml, perturb, validate
+from skein.operators import evaluation, features, ml, perturb, validate
 from skein.operators import candidates as cand
 from skein.operators import scoring as sco
 from skein.plans import oracle as q

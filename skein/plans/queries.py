@@ -290,8 +290,8 @@ def chain_edges(spark, sf):
 # candidates
 
 def _assigned(spark, sf):
-    t = tx(spark, sf)
-    return t, candidates.assignments(candidates.components(t))
+    t = durable(tx(spark, sf), "transactions")
+    return t, durable(candidates.assignments(candidates.components(t)), "assignments")
 
 
 @register(q.query("SELECT * FROM lk", q.EDGES, q.PAIRS, q.LINKS))
