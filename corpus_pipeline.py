@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next one's docs.  All but the last return the columns of documents.
+
+Defined results, stage by stage: a null or blank text has no language and goes first, and
+is kept by the near-duplicate and secret stages where it comes to them; a very long text is
+read whole by all; of rows that repeat id and text one stays after the near-duplicate stage,
+of equal texts the one of the smallest id, null last; ties in the mix go by id; an empty table stays
+empty; extra columns are kept by all but the last stage, and those whose names start with two underscores are an error.
 """
 
 from __future__ import annotations
