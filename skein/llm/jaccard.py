@@ -12,12 +12,13 @@ what a passage fills alone doesn't tie its documents.
 Equal sets are one class, known by a hash of the set.  Within the classes that share a
 signature not all pairs are made: the class that shares most (a copies' original, as a
 rule) is the pivot, all others are verified against it.  What is open then are signatures
-whose other classes are of several components.  By band the cheaper way is taken, by
-counts over all of them: either those of different components under a signature meet, or
-their sets are indexed again by half as many, longer segments with one-deletion neighbourhoods,
-budget 2 a segment, full segments against full ones and against deletions.  Both are exact.
-Sizes and parity sketches (two sets differ in at least as many tokens as bits) rule out
-most of these pairs before sets are read.
+whose other classes are of several components.  The cheapest way is taken, by
+counts over all of them: those of different components meet under each signature, or, where one
+pivot has many signatures with the same classes, once under the pivot; or all open sets of the
+band are indexed again by half as many, longer segments with one-deletion neighbourhoods,
+budget 2 a segment, full segments against full ones and against deletions.  All are exact.
+Sizes and parity sketches (two sets differ in at least as many tokens as bits) are part of
+these joins, so that what they rule out is never made.
 
 Tokens are 64-bit hashes of shingles.  Class hashes are checked by a second hash; on a
 collision the join starts again with another seed.
@@ -384,9 +385,9 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     links = _similar(docs, classes, sketches, pairs, seed, words, num, den)
     settle(docs.sparkSession)
     named = connected_components(links, "a", "b")
-    rest = _unlinked(stars, named, classes, docs, shape, words)
+    rest = _unlinked(stars, named, classes, sketches, docs, shape, words)
     if rest is not None:
-        more = _similar(docs, classes, sketches, rest, seed, words, num, den)
+        more = _exact(docs, classes, durable(rest, "jac-rest"), seed, words, num, den)
         settle(docs.sparkSession)
         if more.limit(1).count():
             named = connected_components(links.unionByName(more), "a", "b")
@@ -412,49 +413,72 @@ def _band(n, shape: Shape):
 
 
 def _similar(docs, classes, sketches, pairs, seed, words, num, den) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: by sizes and sketches, by wide sketches, then by their sets."""
+    """The pairs (a, b) of classes that are similar: by sizes and sketches, then as :func:`_exact` says."""
     pairs = durable(pairs, "jac-pairs")
-    keys = lambda p: p.select(F.col("a").alias("key")).union(p.select(F.col("b").alias("key"))).distinct()
-    known = durable(sketches.join(keys(pairs), "key", "left_semi").dropDuplicates(["key"]), "jac-sketches")
+    known = durable(sketches.join(_keys(pairs), "key", "left_semi").dropDuplicates(["key"]), "jac-sketches")
     of = lambda x: known.select(F.col("key").alias(x), *[F.col(c).alias(c + x) for c in known.columns if c != "key"])
     near = durable(pairs.join(of("a"), "a").join(of("b"), "b").where(_possible("a", "b", num, den)).select("a", "b"), "jac-near")
-    found = _verify(_read_sets(docs, classes, keys(near), seed, words), near, num, den)
+    return _exact(docs, classes, near, seed, words, num, den)
+
+
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+
+
+def _exact(docs, classes, pairs, seed, words, num, den) -> DataFrame:
+    """The pairs of a stored table that are similar, by wide sketches and then by their sets."""
+    found = _verify(_read_sets(docs, classes, _keys(pairs), seed, words), pairs, num, den)
     return found.where(F.col("inter") * den >= F.col("uni") * num).select("a", "b")
 
 
-def _unlinked(stars, named, classes, docs, shape, words) -> DataFrame | None:
-    """Pairs that may still link components: under an open signature, or, in the bands where that is cheaper, by neighbourhoods."""
+def _unlinked(stars, named, classes, sketches, docs, shape, words) -> DataFrame | None:
+    """Pairs that may still link components, by the cheapest of three ways; without those that sizes and sketches rule out."""
     num, den = shape.num, shape.den
     comp = named.select(F.col("node").alias("key"), "component")
-    inside = stars.select("sig", "key", "probes").join(comp, "key", "left").withColumn("comp", F.coalesce("component", "key")).select("sig", "key", "probes", "comp")
-    kinds = inside.groupBy("sig", "comp").count().groupBy("sig").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    band = F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
-    left = inside.join(kinds.select("sig", "size", F.col("top.count").alias("most"), F.col("top.comp").alias("big")), "sig").join(classes.select("key", "n"), "key").withColumn("band", band.cast("int"))
+    inside = stars.select("sig", "a", "key", "probes").join(comp, "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    open_ = _several(inside, "sig")
+    left = inside.join(open_, "sig").join(classes.select("key", "n"), "key").withColumn("band", F.col("sig").bitwiseAND((1 << BAND_BITS) - 1).cast("int"))
     left = durable(left, "jac-open")
-    costs = left.groupBy("band", "sig").agg(F.max((F.col("size") - F.col("most")) * F.col("size")).alias("pairs")).groupBy("band").agg(F.sum("pairs").cast("double").alias("pairs"))
+    of_pivot = _several(left.select("band", "a", "key", "comp").distinct(), "band", "a")
+    by_sig = left.select("band", "a", "sig", "cost").distinct().groupBy("band", "a").agg(F.sum("cost").alias("by_sig"))
+    ways = durable(of_pivot.withColumnsRenamed({"cost": "by_pivot", "big": "big_of_pivot"}).join(by_sig, ["band", "a"]), "jac-ways")
+    costs = ways.groupBy("band").agg(F.sum(F.least("by_pivot", "by_sig")).cast("double").alias("pairs"))
     open_sets = left.select("band", "key", "n").distinct().groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("tokens"))
     counted = costs.join(open_sets, "band").collect()  # a row a band
     if not counted:
         return None
     bands = allot(shape, {r["band"]: r["pairs"] for r in counted}, {r["band"]: (r["sets"], r["tokens"]) for r in counted})
-    side = lambda df, x: df.select("sig", *[F.col(k).alias(f"{k}{x}") for k in df.columns if k != "sig"])
+    known = sketches.join(left.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    known = durable(known.join(left.select("key", "comp").distinct(), "key"), "jac-sides")
+    side = lambda df, x: df.select(*[F.col(k).alias(f"{k}{x}") for k in df.columns])
+    apart = (F.col("compx") != F.col("compy")) & _possible("x", "y", num, den)
     ordered = (F.least("keyx", "keyy").alias("a"), F.greatest("keyx", "keyy").alias("b"))
-    exact = left.where(~F.col("band").isin(sorted(bands))) if bands else left
+    here = left.where(~F.col("band").isin(sorted(bands))) if bands else left
+    chosen = ways.select("band", "a", "big_of_pivot", (F.col("by_pivot") <= F.col("by_sig")).alias("at_pivot"))
+    here = here.join(chosen, ["band", "a"])
+    once = here.where("at_pivot").select(F.xxhash64("band", "a").alias("g"), "key", F.lit(True).alias("probes"), F.col("big_of_pivot").alias("big")).distinct()
+    each = here.where("NOT at_pivot").select(F.col("sig").alias("g"), "key", "probes", "big")
+    groups = once.unionByName(each).join(known, "key")
     near = _size_class(F.col("n"), num, den)
-    x = side(exact.where("comp <> big").select("sig", "key", "probes", "comp", F.explode(F.array(near - 1, near, near + 1)).alias("c")), "x")
-    y = side(exact.select("sig", "key", "probes", "comp", near.alias("c")), "y")
-    on = (x["sig"] == y["sig"]) & (x["cx"] == y["cy"]) & (x["compx"] != y["compy"]) & (x["probesx"] | y["probesy"])
-    pairs = x.join(y, on).select(*ordered)
+    x = side(groups.where("comp <> big").withColumn("c", F.explode(F.array(near - 1, near, near + 1))), "x")
+    y = side(groups.withColumn("c", near), "y")
+    pairs = x.join(y, (F.col("gx") == F.col("gy")) & (F.col("cx") == F.col("cy")) & (F.col("probesx") | F.col("probesy")) & apart).select(*ordered)
     if bands:
-        keys = left.where(F.col("band").isin(sorted(bands))).select("key", "comp").distinct()
-        sets = _read_sets(docs, classes, keys.select("key"), shape.seed, words).select("key", "tokens")
+        keys = left.where(F.col("band").isin(sorted(bands))).select("key").distinct()
+        sets = _read_sets(docs, classes, keys, shape.seed, words).select("key", "tokens")
         index = sets.mapInArrow(_wide(num, den, shape.seed, bands), "sig long, key long, part int")
         met = index.repartition("sig").sortWithinPartitions("sig", "key", "part").mapInArrow(_shared, index.schema)
-        met = durable(met.join(keys, "key"), "jac-wide")
+        met = durable(met, "jac-wide").join(known, "key")
         x, y = side(met.where("part = 0"), "x"), side(met, "y")
-        pairs = pairs.unionByName(x.join(y, (x["sig"] == y["sig"]) & (x["compx"] != y["compy"])).select(*ordered))
-    pairs = pairs.distinct()
-    return pairs
+        pairs = pairs.unionByName(x.join(y, (F.col("sigx") == F.col("sigy")) & apart).select(*ordered))
+    return pairs.distinct()
+
+
+def _several(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, big, cost): groups with classes (key) of several components (comp), the component of most, and the pairs that
+    the others make with all."""
+    kinds = rows.groupBy(*by, "comp").count().groupBy(*by).agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("kinds"))
+    return kinds.where("kinds > 1").select(*by, F.col("top.comp").alias("big"), ((F.col("size") - F.col("top.count")) * F.col("size")).alias("cost"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
