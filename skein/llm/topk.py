@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, one_thread
 
-#: Bytes of query vectors of a pass; shares of a list at which chunks end; chunks between two tests of the bounds.
-QUERY_BYTES, CHUNKS, PATIENCE = 32 << 20, (1 / 64, 1 / 8, 1.0), 8
+#: Bytes of query vectors of a pass; shares of a list at which chunks end; bounds are tested when as many chunks are read as PATIENCE of the lists.
+QUERY_BYTES, CHUNKS, PATIENCE = 32 << 20, (1 / 64, 1 / 8, 1.0), 1 / 4
 HITS = "q long, query_id long, c long, vec_id long, score long"
 
 
@@ -47,7 +47,7 @@ def _exact_kind(x: np.ndarray, q: np.ndarray) -> type:
         return np.float32
     if most < 2**53:
         return np.float64
-    if most < 2**63:
+    if most < 2**64:
         return np.int64
     raise ValueError("a score may not fit 64 bits")
 
@@ -71,51 +71,59 @@ def nra(lists: Lists, q: np.ndarray, k: int, floor: float | None = None, own: in
     n, kind = lists.n, lists.columns.dtype.type
     q = q.astype(kind)
     # positive components read their list from its top, negative ones from its bottom
-    at = lambda d, i: q[d] * lists.values[d, n - 1 - i if q[d] >= 0 else i]
-    best, worst = (np.array([at(d, i) for d in range(len(q))], kind) for i in (0, n - 1))
-    sums, upper, lower = np.zeros(n, kind), np.full(n, best.sum(), kind), np.full(n, worst.sum(), kind)
-    live = [d for d in range(len(q)) if q[d]]
-    depth, step, bound, read = dict.fromkeys(live, 0), dict.fromkeys(live, 0), dict(zip(live, best[live], strict=True)), 0
-
-    def gain(d):
-        end = lists.ends[step[d]]
-        after = at(d, end) if end < n else worst[d]
-        return float(bound[d] - after) / (end - depth[d]), d
-
-    ahead = {d: gain(d) for d in live}
+    heads = {c: (lists.values[:, n - 1 - c], lists.values[:, c]) for c in {0, n - 1, *(e for e in lists.ends if e < n)}}
+    at = {c: np.where(q >= 0, q * top, q * bottom) for c, (top, bottom) in heads.items()}
+    bound, worst = at[0].copy(), at[n - 1]
+    # what is not read of a row is over + upper[row] at most and under + lower[row] at least
+    sums, upper, lower, over, under = np.zeros(n, kind), np.zeros(n, kind), np.zeros(n, kind), bound.sum(), worst.sum()
+    live = np.flatnonzero(q)
+    step, read, tested = np.zeros(len(q), int), 0, 0
+    starts = [0, *lists.ends]
+    gains = np.stack([(at[s if s < n else n - 1] - (at[e] if e < n else worst)) / (e - s) for s, e in zip(starts[:-1], lists.ends, strict=True)])
+    ahead = np.full(len(q), -1.0)
+    ahead[live] = gains[0][live]
     rest = np.flatnonzero(np.arange(n) != own) if own is not None else np.arange(n)
-    tested = 0
-    while ahead:
-        d = max(ahead, key=ahead.get)
-        start, end = depth[d], lists.ends[step[d]]
+    patience, left = max(1, int(len(live) * PATIENCE)), len(live)
+    while left:
+        d = int(ahead.argmax())
+        start, end = starts[step[d]], lists.ends[step[d]]
         places = lists.order[d][::-1] if q[d] >= 0 else lists.order[d]
-        seen, unseen = places[start:end], places[end:]
-        sums[seen] += q[d] * lists.columns[d, seen]
-        upper[seen] -= bound[d]
-        lower[seen] -= worst[d]
-        read += end - start
+        seen = places[:start]
         if end < n:
-            after = at(d, end)
-            upper[unseen] += after - bound[d]
-            bound[d], depth[d], step[d] = after, end, step[d] + 1
-            ahead[d] = gain(d)
+            new, after = places[start:end], at[end][d]
+            sums[new] += q[d] * lists.columns[d, new]
+            lower[new] -= worst[d]
+            upper[new] -= after
+            upper[seen] += bound[d] - after
+            over += after - bound[d]
+            bound[d], step[d] = after, step[d] + 1
+            ahead[d] = gains[step[d], d]
         else:
-            del ahead[d]
-        tested += 1
-        if tested % PATIENCE == 0 or not ahead:
-            lows = (sums + lower)[rest]
+            # the list's rest is read: all rows of the block, without what was read before
+            part = q[d] * lists.columns[d]
+            part[seen] = 0
+            sums += part
+            upper[seen] += bound[d]
+            lower[seen] += worst[d]
+            over, under = over - bound[d], under - worst[d]
+            ahead[d], left = -1.0, left - 1
+        read, tested = read + end - start, tested + 1
+        if tested % patience == 0 or not left:
+            lows = (sums + lower)[rest] + under
             least = np.partition(lows, len(lows) - k)[len(lows) - k] if len(lows) > k else None
             least = floor if least is None else least if floor is None else max(least, floor)
             if least is not None:
-                rest = rest[(sums + upper)[rest] >= least]
-            if ahead and (len(rest) <= 4 * k or not len(rest)):
+                rest = rest[(sums + upper)[rest] + over >= least]
+            if left and len(rest) <= 4 * k:
                 return rest, (lists.columns[:, rest].T @ q).astype(np.int64), read, True
     return rest, sums[rest].astype(np.int64), read, False
 
 
 def _exact(a: int, b: int, size: int) -> type:
     """A number type in which every bound and score of components up to a and b is exact."""
-    most = 2 * max(1, a) * max(1, b) * size
+    most = 4 * max(1, a) * max(1, b) * size
+    if most < 2**24:
+        return np.float32
     if most < 2**53:
         return np.float64
     if most < 2**63:
