@@ -9,7 +9,9 @@ which one window is drawn.  The weights, a few thousand numbers, go with the tas
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows
 without a language are not learned from; if there is nothing to learn from, every text
-is ``und``; ties go to the first language in order; repeated rows each get a row.
+is ``und``; ties go to the first language in order; repeated rows each get a row; an empty
+table gives no rows; every byte of a text of any length is labelled; other columns are not read,
+and ``keep_known`` keeps them all (names that start with __ are an error there).
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_thread, split_batches, text_bytes
+from .common import one_thread, refuse, split_batches, text_bytes
 
 HIDDEN, WINDOW, PER_LANGUAGE, STEPS, BATCH, LANES = 8, 96, 1000, 500, 64, 4096
+#: Parts of a language in which its sample is drawn first; the most languages that are learned.
+SALTS, LANGUAGES = 64, 256
 SCORES = "doc_id long, lang_pred string, score double"
 
 
@@ -32,11 +36,16 @@ def held_out(doc_id: Column, of: int, rest: int) -> Column:
 def sample(docs: DataFrame, eligible: Column, per_language: int = PER_LANGUAGE, window: int = WINDOW) -> tuple[list[str], list[bytes]]:
     """Languages and windows of the training sample: at most ``per_language`` rows a language, by a hash of the id."""
     rows = docs.where(eligible & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    # the limit applies before the shuffle, so a common language sends no more rows than a rare one
+    draw = (F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SALTS))
     start = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
     cut = rows.select("lang", "doc_id", F.substring(F.col("text"), start, F.lit(window)).alias("part"))
-    picked = cut.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).orderBy("lang", "n").collect()
+    # each salt of a language keeps its first rows, then they meet: no task has more than SALTS * per_language rows of one
+    some = cut.withColumn("n", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*draw))).where(F.col("n") <= per_language)
+    picked = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*draw))).where(F.col("n") <= per_language)
+    # of very many values of lang those of most documents are learned: LANGUAGES at the most, so what comes to the driver is bounded
+    common = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang")
+    picked = picked.join(F.broadcast(common), "lang", "left_semi").orderBy("lang", "n").collect()
     return [r["lang"] for r in picked], [r["part"].encode()[:window] for r in picked]
 
 
@@ -232,5 +241,6 @@ def keep_known(docs: DataFrame, net: Net | None, least: float = 0.3) -> DataFram
 
     ``least`` is little over what a text of no language in particular gets, so only such texts go.
     """
+    refuse(docs, "__")
     rows = docs.withColumns({"__text": F.col("text").cast("string"), "__letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
     return rows.mapInArrow(_known(net, least, docs.columns), docs.schema)

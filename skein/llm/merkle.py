@@ -9,11 +9,15 @@ phrase borders depend on nearby content alone: an edit changes only the branches
 touches.
 
 A fingerprint is text: root, then sections (16 hex digits each), then phrases (8 each).
-Likeness is 1 for equal roots, else the Dice coefficient of the distinct phrase digests.
+Likeness is 1 for equal roots, else the Dice coefficient of the distinct leaves, the phrase
+digests; ``differing_branches`` names the sections of one tree that the other lacks, with
+their leaves that it lacks, which is where an edit is.
 
 Defined results: a null text is empty; an empty text has one empty paragraph; repeated
 rows are one another's neighbours in the order of text; a table of one row is its own
-next document; an empty table gives no rows; null ids come last.
+next document; an empty table gives no rows; null ids come last; a text of any length is
+fingerprinted whole; other columns are not read; two trees without a leaf are of likeness 0
+unless their roots are equal.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from .common import durable, partitions
 
 #: White space after these ends a phrase; a phrase of more characters than that is cut.
 PHRASE_END, PHRASE = r"(?<=[aeiouyAEIOUY0-9\p{P}\p{S}])\x20+", 64
-#: Cells of the id range, counted once; buckets of about equal row counts are runs of cells.
-CELLS = 65_536
+#: Quantiles of the ids, and even slices between two of them: cells, counted once; buckets of about equal row counts are runs of cells.
+QUANTILES, SLICES = 128, 512
 
 
 def tree(text: Column) -> Column:
@@ -36,7 +40,7 @@ def tree(text: Column) -> Column:
     closing = lambda h, p: F.when((F.length(p) == 0) | h.rlike("^[01]"), F.concat(h, F.lit(";"))).otherwise(h)
     chain = F.array_join(F.transform(paragraphs, lambda p: closing(F.sha2(p, 256), p)), ",")
     sections = F.transform(F.split(chain, ";,?", -1), lambda s: F.sha2(s, 256))
-    short = lambda x: F.when(F.length(x) > PHRASE, F.regexp_extract_all(x, F.lit(f".{{1,{PHRASE}}}"), F.lit(0))).otherwise(F.array(x))
+    short = lambda x: F.when(F.length(x) > PHRASE, F.regexp_extract_all(x, F.lit(f"(?s).{{1,{PHRASE}}}"), F.lit(0))).otherwise(F.array(x))
     cut = lambda p: F.flatten(F.transform(F.split(p, PHRASE_END, -1), short))
     phrases = F.array_distinct(F.flatten(F.transform(paragraphs, lambda p: F.transform(cut(p), lambda x: F.hash(x)))))
     # the number of paragraphs is part of the root, as an empty last section leaves no other trace
@@ -51,17 +55,44 @@ def fingerprint(t: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a["phrases"], b["phrases"]))
-    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(2.0 * both / (F.size(a["phrases"]) + F.size(b["phrases"])))
+    leaves = F.size(a["phrases"]) + F.size(b["phrases"])
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(F.coalesce(2.0 * both / F.nullif(leaves, F.lit(0)), F.lit(0.0)))
+
+
+def differing_branches(a: Column, b: Column) -> Column:
+    """Where tree ``a`` differs from tree ``b``: places (from 0) of its sections that ``b`` has not, in order; none for equal roots."""
+    numbered = F.transform(a["sections"], lambda s, i: F.struct(s.alias("node"), i.alias("place")))
+    apart = F.filter(numbered, lambda s: ~F.array_contains(b["sections"], s["node"]))
+    return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(F.transform(apart, lambda s: s["place"]))
+
+
+def section_texts(text: Column) -> Column:
+    """The text of each section of :func:`tree`, in its order, so that a place names a passage."""
+    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    closes = lambda p: (F.length(p) == 0) | F.sha2(p, 256).rlike("^[01]")
+
+    def step(acc, p):
+        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat(F.element_at(acc["out"], -1), F.array(p))))
+        opened = F.concat(grown, F.array(F.array().cast("array<string>")))
+        return F.struct(F.when(closes(p), opened).otherwise(grown).alias("out"))
+
+    start = F.struct(F.array(F.array().cast("array<string>")).alias("out"))
+    return F.transform(F.aggregate(paragraphs, start, step, lambda acc: acc["out"]), lambda s: F.array_join(s, "\n"))
 
 
 def _cells(docs: DataFrame) -> tuple[DataFrame, Column, int]:
     """A map from cells of the id range to buckets of about equal row counts, the cell of a row, and the number of buckets."""
     spark = docs.sparkSession
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = float(low or 0), float(high or 0)
+    shares = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    cuts, n = docs.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, F.lit(20 * QUANTILES)), F.count(F.lit(1))).first()
+    cuts = sorted(cuts or [0.0] * (QUANTILES + 1))
     buckets = max(1, min(4 * partitions(spark), -(-n // 32)))
-    width = (high - low + 1) / CELLS
-    cell = F.coalesce(F.least(F.lit(CELLS - 1), F.floor((F.col("doc_id").cast("double") - low) / width)), F.lit(-1)).cast("int")
+    # one outlying id stretches its own quantile alone; the bounds of the first and last are open
+    x, edges = F.col("doc_id").cast("double"), F.array(*map(F.lit, cuts))
+    part = F.greatest(F.lit(0), F.least(F.lit(QUANTILES - 1), F.size(F.filter(F.array(*map(F.lit, cuts[1:-1])), lambda c: c < x))))
+    low, high = F.element_at(edges, part + 1), F.element_at(edges, part + 2)
+    slice_ = F.floor((x - low) / (high - low + 1) * SLICES)
+    cell = F.when(x.isNotNull(), part * SLICES + F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), slice_))).otherwise(-1).cast("int")
     counts = docs.groupBy(cell.alias("__cell")).count()
     upto = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
     bucket = F.floor((F.sum("count").over(upto) - 1) * buckets / max(n, 1)).cast("int")
@@ -77,7 +108,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cells, cell, _ = _cells(docs.select("doc_id"))
-    # at most CELLS + 1 rows, whatever the input
+    # at most QUANTILES * SLICES + 1 rows, whatever the input
     placed = docs.withColumn("__c", cell).join(F.broadcast(cells), F.col("__c") == cells["__cell"]).drop("__c", "__cell")
     narrow = docs.select("doc_id").withColumn("__c", cell).join(F.broadcast(cells), F.col("__c") == cells["__cell"])
     heads = narrow.groupBy("__bucket").agg(F.max("doc_id").alias("__head"))

@@ -13,7 +13,8 @@ source.
 
 Defined results: null or empty texts have size 0 and take 0 words; a null source is a
 source of its own, last in order; rows that repeat the same id and text have one key
-and are taken or left together; an empty table gives no rows.
+and are taken or left together; an empty table gives no rows; words are counted over texts of any
+length; ``apply_mix`` keeps all columns (names that start with __ are an error there).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_enough
+from .common import durable, refuse, small_enough
 
 #: A word: a run of bytes other than space and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,6 +139,9 @@ def mix_to_weights(docs: DataFrame, labels: DataFrame | None = None, cycle: tupl
 
 def apply_mix(docs: DataFrame, labels: DataFrame | None = None, cycle: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: str = "mix-1") -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, all columns kept; texts aren't shuffled."""
+    refuse(docs, "__")
+    if "copies" in docs.columns:  # a name of the mix's own, given back at the end
+        return apply_mix(docs.withColumnRenamed("copies", "own_copies_of_docs"), labels, cycle, cap, seed).withColumnRenamed("own_copies_of_docs", "copies")
     sampled = keyed(docs, labels, seed).withColumns({"__id": F.col("doc_id"), "__source": F.col("source")})
     narrow = durable(sampled.select("__id", "__source", "__size", "__key", "__bucket"), "mix-keys")
     out = decide(sampled, plan(narrow, cycle, cap)).where("copies > 0")

@@ -8,7 +8,8 @@ fit together) and goes on with the small ones, of which each group leaves one at
 so the rounds end, and no task has more than a group's bins.
 
 Defined results: a null text is empty and has the end token alone; repeated rows are
-packed each; ties in length go by doc_id and piece; an empty table gives no rows.
+packed each; ties in length go by doc_id and piece; an empty table gives no rows; a text of
+any length is tokenized whole; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

@@ -1,16 +1,19 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are what words look like rather than what they say: case, last character, length,
-whether the word repeats the one before; and pairs of neighbours.  Term weights are
-log counts by inverse document frequency, the latter counted over all documents.  A
-bounded sample of labelled documents gives the latent space, by a singular value
+Terms are lower-cased words, hashed; what words look like: case, last character, length,
+whether the word repeats the one before; and pairs of neighbouring looks.  Term weights are
+log counts by inverse document frequency, the latter counted over all documents; words
+weigh ``WORD_WEIGHT`` of it, as there are so many of them.  A
+bounded sample of labelled documents gives the latent space, by a randomised singular value
 decomposition, and the labelled vectors, which are broadcast (``LABELLED`` x ``RANK``
 numbers at most).  Every document's exact cosines with all of them come from blocked
 matrix products; its nearest ``NEIGHBOURS`` vote, weighted by similarity.
 
 Defined results: null and empty texts have no terms and score the share of good labels;
 a document labelled twice counts as good if one label says so; without labels every score is
-that of no opinion, 0.5; repeated rows each get a row; of equally near neighbours any may vote.
+that of no opinion, 0.5; repeated rows each get a row; of equally near neighbours (at five
+places) those of smaller ids vote; a text of any length is scored whole; an empty table gives
+no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import one_thread, split_batches, text_bytes
-from .words import SPACE, hashes, spans
+from .words import LOWER, SPACE, hashes, spans
 
 PAIRS = 2048
 SHAPES = 4 * 8 * 4 * 2
-TERMS, RANK, LABELLED, NEIGHBOURS = SHAPES + PAIRS, 48, 4000, 15
+WORD_BITS, WORD_WEIGHT = 11, 0.5
+TERMS, RANK, LABELLED, NEIGHBOURS = SHAPES + PAIRS + (1 << WORD_BITS), 64, 4000, 15
 SCORES = "doc_id long, score double"
 
 _LAST = np.full(256, 6, np.uint8)
@@ -53,15 +57,16 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pair = doc[1:] == doc[:-1]
     coarse = (case * 8 + _LAST[raw[end - 1]]) * 2 + again
     second = (coarse[:-1] * 64 + coarse[1:])[pair].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(53)
-    key = np.concatenate([doc * TERMS + shape, doc[1:][pair] * TERMS + SHAPES + second.astype(np.int64)])
+    word = (hashes(LOWER[raw], start, end) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    key = np.concatenate([doc * TERMS + shape, doc[1:][pair] * TERMS + SHAPES + second.astype(np.int64), doc * TERMS + SHAPES + PAIRS + word])
     return np.bincount(key, minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
 
 
 def _blocks(batch):
     """Term counts of a slice, in blocks of few enough texts for dense rows."""
     for part in split_batches(batch, 4 << 20):
-        for a in range(0, part.num_rows, 1024):
-            one = part.slice(a, 1024)
+        for a in range(0, part.num_rows, 512):
+            one = part.slice(a, 512)
             yield one, counts(*text_bytes(one.column("text")))
 
 
@@ -87,6 +92,7 @@ def idf(docs: DataFrame) -> np.ndarray:
 
 def _weighted(c: np.ndarray, by: np.ndarray) -> np.ndarray:
     x = np.log1p(c) * by
+    x[:, SHAPES + PAIRS :] *= WORD_WEIGHT
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
     return x
 
@@ -101,7 +107,7 @@ def _sampled(batches):
     one_thread()
     for whole in batches:
         for one, c in _blocks(whole):
-            yield pa.RecordBatch.from_arrays([one.column("quality"), pa.array([r.astype("<f4").tobytes() for r in c], pa.binary())], names=["quality", "c"])
+            yield pa.RecordBatch.from_arrays([one.column("doc_id"), one.column("quality"), pa.array([np.minimum(r, 65_535).astype("<u2").tobytes() for r in c], pa.binary())], names=["doc_id", "quality", "c"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, eligible: Column, most: int = LABELLED):
@@ -111,27 +117,38 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, most: int = LABELL
     if share is None:
         return None
     picked = marks.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("quality").cast("int").alias("quality"), F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.mapInArrow(_sampled, "quality int, c binary").toArrow()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.coalesce("text", F.lit("")).alias("text"))
+    # at most ``most`` ids are picked; the order of rows decides ties
+    got = rows.mapInArrow(_sampled, "doc_id long, quality int, c binary").orderBy("doc_id", "c").toArrow()
     if not got.num_rows:
         return None
     y = got.column("quality").to_numpy().astype(np.float32)
     by = idf(docs)
-    x = _weighted(np.stack([np.frombuffer(b, "<f4") for b in got.column("c").to_pylist()]), by)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    top = vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
+    x = _weighted(np.stack([np.frombuffer(b, "<u2") for b in got.column("c").to_pylist()]).astype(np.float32), by)
+    top = latent(x)
     return by, top, _unit(x @ top), y, float(share)
 
 
+def latent(x: np.ndarray, rank: int = RANK, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of ``x`` (terms, rank), by subspace iteration from fixed random vectors."""
+    q = np.random.default_rng(5).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ turn.T)[:, :rank], np.float32)
+
+
 def vote(model, c: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
+    """Shares of good among each text's nearest labelled ones, by similarity; of equally near ones the first in order vote."""
     by, top, known, y, prior = model
-    z = _unit(_weighted(c, by) @ top)
-    cos = z @ known.T
+    cos = np.round(_unit(_weighted(c, by) @ top) @ known.T, 5)
     k = min(neighbours, len(y))
-    near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-    w = np.clip(np.take_along_axis(cos, near, axis=1), 0, None) ** 4
+    edge = np.partition(cos, len(y) - k, axis=1)[:, len(y) - k, None]
+    near, tied = cos > edge, cos == edge
+    near |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - near.sum(axis=1, keepdims=True))
+    w = np.where(near, np.clip(cos, 0, None) ** 4, 0)
     total = w.sum(axis=1)
-    return np.where(total > 1e-6, (w * y[near]).sum(axis=1) / np.maximum(total, 1e-6), prior)
+    return np.where(total > 1e-6, w @ y / np.maximum(total, 1e-6), prior)
 
 
 def _score(model):

@@ -10,8 +10,10 @@ text between matches, so the running length of both lists gives each span in cod
 
 Defined results: a null text is the empty blob and has no findings; repeated rows each
 get the findings of their blob; ties in the order of spans go by rule; an empty table
-gives no rows.  The fold over a text's matches copies its list, so time grows with the
-square of the matches within one text, not with the corpus.
+gives no rows; columns other than doc_id and text are not read, and ``drop_leaking``
+keeps them all (names that start with __ are an error there).  A text of any length is
+scanned whole; its n matches are folded in blocks of sqrt(n), so a log file of many
+thousand matches copies n * sqrt(n) spans at the most.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, refuse
 
 _LETTERS = lambda word: "".join(f"[{c.upper()}{c}]" for c in word)
 _NAMES = "|".join([*map(_LETTERS, ("password", "passwd", "secret", "token")), _LETTERS("api") + "_?" + _LETTERS("key")])
@@ -41,11 +43,15 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Spans (code points, end exclusive) of leftmost non-overlapping matches whose ``group`` has ``least`` characters."""
+def parts(text: Column, pattern: str, group: int = 0) -> Column:
+    """What lies between leftmost non-overlapping matches, each match and its ``group``, in turn; null without a match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), kept.alias("value"))
+    return F.when(text.rlike(pattern), F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), kept.alias("value")))
+
+
+def spans(parts: Column, least: int = 0) -> Column:
+    """Spans (code points, end exclusive) of the matches in a column of :func:`parts` whose group has ``least`` characters."""
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
@@ -56,7 +62,16 @@ def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
 
     none = F.array().cast(SPAN)
     zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(none)
+    width = F.ceil(F.sqrt(F.size(parts))).cast("int")
+    block = lambda i: F.aggregate(F.slice(parts, i * width + 1, width), zero, step)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / width).cast("int")), block)
+
+    def join(acc: Column, one: Column) -> Column:
+        moved = F.transform(one["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + one["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.when(F.size(parts) > 0, F.flatten(F.aggregate(blocks, start, join, lambda acc: acc["out"]))).otherwise(none)
 
 
 def versions(docs: DataFrame) -> DataFrame:
@@ -81,11 +96,13 @@ def scan_unseen(docs: DataFrame, history: DataFrame, ledger: DataFrame | None =
     todo = todo.select(F.col("blob").alias("__blob"), "__first", "__rules").hint("shuffle_hash")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), address(F.col("text")).alias("blob"))
     texts = texts.join(todo, (texts["blob"] == todo["__blob"]) & texts["doc_id"].eqNullSafe(todo["__first"]))
+    # parts are columns of their own, so a pattern is matched once a text
+    found = texts.select("blob", "__rules", *[F.when(F.array_contains("__rules", name), parts(F.col("text"), pattern, group)).alias(f"__parts_{i}") for i, (name, _, pattern, group, _) in enumerate(rules)])
     rows = [
-        F.struct(F.lit(name).alias("rule"), F.lit(version).alias("rule_version"), F.when(F.array_contains("__rules", name), spans(F.col("text"), pattern, group, least)).alias("spans"))
-        for name, version, pattern, group, least in rules
+        F.struct(F.lit(name).alias("rule"), F.lit(version).alias("rule_version"), F.when(F.array_contains("__rules", name), spans(F.col(f"__parts_{i}"), least)).alias("spans"))
+        for i, (name, version, _, _, least) in enumerate(rules)
     ]
-    found = texts.select("blob", F.explode(F.array(*rows)).alias("row")).select("blob", "row.*").where("spans IS NOT NULL")
+    found = found.select("blob", F.explode(F.array(*rows)).alias("row")).select("blob", "row.*").where("spans IS NOT NULL")
     return found.dropDuplicates(["blob", "rule", "rule_version"])
 
 
@@ -122,6 +139,7 @@ def drop_leaking(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES)
 
     Leaking blobs are joined as a narrow table by hash, so texts move once and unsorted.
     """
+    refuse(docs, "__")
     found, _ = scan(docs, ledger, rules)
     bad = found.where(F.size("found") > 0).select(F.col("blob").alias("__bad")).distinct().hint("shuffle_hash")
     return docs.join(bad, address(F.col("text")) == bad["__bad"], "left_anti")

@@ -15,7 +15,9 @@ a hash of the id.  The prior is the toxic share of all labelled rows of the trai
 
 Defined results: null and empty texts have no features and score as the bias says; a
 document labelled twice is toxic if one label says so; without toxic examples every score is
-0; repeated rows each get a row; rows without an id are scored but not learned from.
+0; repeated rows each get a row; rows without an id are scored but not learned from; a text of
+any length is scored whole; equal texts score the same, and ties in the draw of the sample go by
+id; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

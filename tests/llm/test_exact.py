@@ -455,3 +455,66 @@ def test_edits_touch_their_own_branches(spark):
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(other))], "doc_id long, text string")
     a, b = (r["t"] for r in df.select(merkle.tree(F.col("text")).alias("t")).collect())
     assert a["root"] != b["root"] and len(set(a["sections"]) ^ set(b["sections"])) <= 4 and len(a["sections"]) > 1
+
+
+def leaves(text):
+    """The tree by definition: root, section nodes, phrase texts."""
+    import regex
+
+    paragraphs, sections, run = (text or "").split("\n"), [], []
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    chain = []
+    for p in paragraphs:
+        run.append(sha(p))
+        if not p or run[-1][0] in "01":
+            chain.append(run)
+            run = []
+    chain.append(run)
+    # a closed section's node is of its paragraph nodes joined by commas
+    sections = [sha(",".join(r)) for r in chain]
+    phrases = set()
+    for p in paragraphs:
+        for x in regex.split(r"(?<=[aeiouyAEIOUY0-9\p{P}\p{S}])\x20+", p):
+            phrases |= set(regex.findall(r"(?s).{1,64}", x)) if len(x) > 64 else {x}
+    return sha("|".join([",".join(sections), str(len(paragraphs))])), sections, phrases
+
+
+def test_fingerprints_match_the_definition(spark, odd):
+    """Root, sections and both likenesses, from plain Python."""
+    got = {r["doc_id"]: r for r in merkle.fingerprints(odd).collect()}
+    text = {i: t or "" for i, t, *_ in rows()}
+    order = sorted(text, reverse=True)
+    dice = lambda a, b: 1.0 if a[0] == b[0] else 2 * len(a[2] & b[2]) / (len(a[2]) + len(b[2]))
+    for k, i in enumerate(order):
+        after = text[order[(k + 1) % len(order)]]
+        cut = len(text[i]) // 3
+        edited = text[i][: len(text[i]) - cut] + after[:cut]
+        a, b, c = leaves(text[i]), leaves(edited), leaves(after)
+        root, sections, phrases = got[i]["fingerprint"].split(":")
+        assert root == a[0] and sections == "".join(s[:16] for s in a[1]) and len(phrases) == 8 * len(a[2])
+        assert got[i]["edited_fingerprint"].split(":")[0] == b[0]
+        assert abs(got[i]["near_edited"] - dice(a, b)) < 1e-6 and abs(got[i]["near_next"] - dice(a, c)) < 1e-6
+
+
+def test_differing_branches_hold_the_edit(spark):
+    g = random.Random(5)
+    lines = [" ".join(g.choice("lorem ipsum dolor sit amet".split()) + str(g.randrange(99)) for _ in range(8)) for _ in range(60)]
+    other = [*lines]
+    other[33] = "this line is new"
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string").select("a", "b", merkle.tree(F.col("a")).alias("ta"), merkle.tree(F.col("b")).alias("tb"))
+    r = df.select(merkle.differing_branches(F.col("tb"), F.col("ta")).alias("at"), merkle.section_texts(F.col("b")).alias("s"), F.size("tb.sections").alias("n"), merkle.differing_branches(F.col("ta"), F.col("ta")).alias("none")).first()
+    assert r["none"] == [] and len(r["s"]) == r["n"] and 1 <= len(r["at"]) <= 3 and any("this line is new" in r["s"][i] for i in r["at"])
+    assert "\n".join(r["s"]).rstrip("\n") == "\n".join(other)
+
+
+def test_one_outlying_id_leaves_buckets_even(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(3000)] + [(10**15, "y")], "doc_id long, text string")
+    cells, cell, buckets = merkle._cells(docs.select("doc_id"))
+    sizes = [r["count"] for r in docs.withColumn("c", cell).join(cells, F.col("c") == F.col("__cell")).groupBy("__bucket").count().collect()]
+    assert buckets > 8 and max(sizes) < 3000 / 8
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"{i:024x}" for i in range(3000))
+    r = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first()
+    assert [(s["start"], s["end"]) for s in r["found"]] == [(25 * i, 25 * i + 24) for i in range(3000)]
