@@ -28,10 +28,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", frozen: tuple[str, ...] = ()) -> str:
-    """Writes a table as ``parquet``, ``csv`` (with a header; times with microseconds and zone Z) or ``json``."""
+    """Writes a table as ``parquet``, ``csv`` (with a header) or ``json``, both with times to the microsecond."""
     if any(path.rstrip("/") == f.rstrip("/") or path.startswith(f.rstrip("/") + "/") for f in frozen):
         raise ArtifactError(f"{path} is frozen")
-    w = (rendered(df) if kind == "csv" else df).write.mode("overwrite")
+    w = (df if kind == "parquet" else rendered(df)).write.mode("overwrite")
     if kind not in ("parquet", "csv", "json"):
         raise ArtifactError(f"no such format: {kind}")
     (w.option("header", True).csv if kind == "csv" else getattr(w, kind))(path)
