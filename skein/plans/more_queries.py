@@ -311,7 +311,8 @@ def dq_blank(spark, sf):
 
 @register(q.query("SELECT transaction_id, CASE WHEN amount <= 0 THEN 'amount must be finite and positive' END AS problem FROM o"))
 def validate_transactions(spark, sf):
-    return validate.row_problems(transactions.production(tx(spark, sf)))
+    """Over the rows as they come: the strict check has no place for columns of the engine's own."""
+    return validate.row_problems(transactions.production(transactions.from_events(spark, sf)))
 
 
 @register()
