@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.operators.validate import row_problems
+from skein.operators.validate import FIELDS, problem
 from skein.sources.transactions import production
 
 #: Rows that a replay has at most.
@@ -13,8 +13,12 @@ CAP = 500
 
 
 def replay(tx: DataFrame, cap: int = CAP) -> DataFrame:
-    """transaction_id, ts_us and cursor of the first ``cap`` valid rows; ground truth is dropped, a repeated id counts once."""
-    t = production(tx).dropDuplicates(["transaction_id"])
-    good = row_problems(t).where("problem IS NULL").select("transaction_id")
-    first = t.join(good, "transaction_id", "left_semi").orderBy("ts_us", "transaction_id").limit(cap)
+    """transaction_id, ts_us and cursor of the first ``cap`` valid rows; ground truth and columns beside a transaction's are dropped.
+
+    Of valid rows that repeat an id the first by (time, content) counts, whatever invalid rows share the id.
+    """
+    t = production(tx).select(*FIELDS, "ts_us")
+    once = Window.partitionBy("transaction_id").orderBy("ts_us", F.xxhash64(*FIELDS))
+    good = t.where(problem(list(FIELDS)).isNull()).withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    first = good.orderBy("ts_us", "transaction_id").limit(cap)
     return first.select("transaction_id", "ts_us", F.row_number().over(Window.orderBy("ts_us", "transaction_id")).cast("long").alias("cursor"))
