@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, passes
-from .common import durable, one_thread, settle, text_bytes
+from .common import durable, one_thread, partitions, settle, text_bytes
 from .words import mix
 
 SPAN, GRAM = 100, 64
 WINDOW = SPAN - GRAM + 1
-#: Bytes worked on at once, which a core's cache should hold; pieces of a collection; classes of an anchor from which it is dealt over collections.
-BLOCK, COLLECTION, CROWD = 1 << 16, 2048, 4096
+#: Bytes worked on at once, which a core's cache should hold; pieces of a collection; collections of a task, one after the other, where
+#: there is work for all; classes of an anchor from which it is dealt over collections.
+BLOCK, COLLECTION, TASK, CROWD = 1 << 16, 2048, 8, 4096
 HALF = 32
 #: More than the bytes of any text.
 PLACES = 10**11
@@ -346,6 +347,15 @@ def _collections(batches):
         a = b
 
 
+def _dealt(total: int, least: int) -> int:
+    """Partitions for ``total`` pieces: ``least`` at least, unless that leaves them under a collection each.
+
+    A partition is a task and a file; on a local store each file also costs several processes that set its permissions.
+    """
+    ceil = lambda n: max(1, -(-total // n))
+    return min(ceil(COLLECTION), max(least, ceil(TASK * COLLECTION)))
+
+
 def _strings(batches):
     """The strings that crowded classes own, by 128-bit hash."""
     import pyarrow as pa
@@ -433,7 +443,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     chosen = spark.sparkContext.broadcast(bloom(wanted, F.col("h1")))
     content = texts.mapInArrow(_contents(chosen), "h1 long, h2 long, doc long, start long, content binary")
     content = content.join(compared.hint("shuffle_hash"), ["h1", "h2", "doc", "start"])
-    own = durable(content.repartition(max(1, -(-total // COLLECTION)), "h1", "salt").mapInArrow(_collections, OWNED), "suffix-owned")
+    own = durable(content.repartition(_dealt(total, partitions(spark)), "h1", "salt").mapInArrow(_collections, OWNED), "suffix-owned")
     settle(spark)
     bits = own.select("h1", "h2", "lo", "hi")
     if own.where("crowded").limit(1).count():
