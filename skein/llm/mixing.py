@@ -34,7 +34,9 @@ BROADCAST_SOURCES, BROADCAST_LABELS, SALTS = 100_000, 1_000_000, 64
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Each word becomes one X, so the X are its number; a count by matches would hold every word of a text as an object."""
+    marks = F.regexp_replace(text, F.lit(WORD), F.lit("X"))
+    return F.coalesce(F.length(marks) - F.length(F.replace(marks, F.lit("X"))), F.lit(0)).cast("long")
 
 
 def _uniform(doc_id: Column, text: Column, seed: str) -> Column:
@@ -143,7 +145,8 @@ def apply_mix(docs: DataFrame, labels: DataFrame | None = None, cycle: tuple[int
     if "copies" in docs.columns:  # a name of the mix's own, given back at the end
         return apply_mix(docs.withColumnRenamed("copies", "own_copies_of_docs"), labels, cycle, cap, seed).withColumnRenamed("own_copies_of_docs", "copies")
     sampled = keyed(docs, labels, seed).withColumns({"__id": F.col("doc_id"), "__source": F.col("source")})
-    narrow = durable(sampled.select("__id", "__source", "__size", "__key", "__bucket"), "mix-keys")
+    # a row a document, of a few bytes: rebalanced into files of the advised size instead of one a task
+    narrow = durable(sampled.select("__id", "__source", "__size", "__key", "__bucket").hint("rebalance"), "mix-keys")
     out = decide(sampled, plan(narrow, cycle, cap)).where("copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 

@@ -1,6 +1,33 @@
 """How much operators write at once: files and tasks follow the rows, not the input's partitions."""
 
-from skein.llm import suffix_dedup
+from pyspark.sql import functions as F
+
+from skein.llm import mixing, suffix_dedup
+from skein.plans import durable
+
+
+def written(spark, kind, before):
+    """Files of the tables of one kind that were written since ``before``."""
+    tables = [p for p in durable._KEPT.get(spark.sparkContext.applicationId, ())[before:] if f"/{kind}-" in p]
+    assert tables
+    return sum(len(spark.read.parquet(p).inputFiles()) for p in tables)
+
+
+def test_words_are_counted_as_matches(spark):
+    odd = [None, "", " ", "X", "XX X\tX", " a b \x0b\x0cc\r\nd ", "　", "\x00 \x1c \x85", "é" * 3 + " 漢字 😀", "\n\n", "a" * 70000 + " b"]
+    t = spark.createDataFrame([(x,) for x in odd], "text string")
+    want = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
+    assert t.where(mixing.word_count(F.col("text")) != want).count() == 0
+    assert [r[0] for r in t.select(mixing.word_count(F.col("text"))).collect()] == [0, 0, 0, 1, 3, 3, 1, 3, 3, 0, 2]
+
+
+def test_keys_of_the_mix_are_few_files(spark):
+    docs = spark.range(400).repartition(40).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.col("id")).alias("text"), (F.col("id") % 3).cast("string").alias("source"))
+    before = durable.mark(spark)
+    got = mixing.apply_mix(docs).groupBy("doc_id").count()
+    assert written(spark, "mix-keys", before) <= 4
+    want = mixing.mix_to_weights(docs).where("copies > 0").select("doc_id", "copies")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_a_task_takes_several_collections():
