@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -158,3 +159,31 @@ def test_settings_check_themselves():
         RiskThresholds(0.8, 0.7)
     assert FeatureConfig.from_mapping({"windows": [30, 60]}).of("amount") == (30, 60)
     assert set(ENTITY_COLUMN) == {"card", "device", "ip", "bin", "merchant"} and F is not None
+
+
+def test_related_counts_over_slices_and_least(spark):
+    """Windows much shorter than the table, several at once, and more merchants than two."""
+    data = rows(160, 5)
+    tx = causal.ordered(spark.createDataFrame(data, SCHEMA)).cache()
+    every = [r.asDict() for r in tx.orderBy("ok").collect()]
+    for least in (1, 2, 3):
+        got = {r["ok"]: r for r in related.related(tx, "ip_signature", (3, 9, 30), least).collect()}
+        for i, r in enumerate(every):
+            for w in (3, 9, 30):
+                seen = past(every, i, "merchant_id", w)
+                own = lambda a: {x["merchant_id"] for x in every[:i] if x["ip_signature"] == a and x["merchant_id"] and x["timestamp"] >= r["timestamp"] - timedelta(seconds=w)}  # noqa: B023, E731
+                want = None if seen is None else sum(len(own(a)) >= least for a in {x["ip_signature"] for x in seen})
+                assert got[r["ok"]][f"related_{w}"] == want
+
+
+def test_work_grows_with_rows_not_with_pairs(spark):
+    """Thousands of rows of a merchant in one window, each of another actor: neither joins nor frames may meet them in pairs."""
+    n = 24_000
+    tx = spark.range(n).selectExpr("lpad(string(id), 9, '0') AS transaction_id", "timestamp_micros(id * 1000) AS timestamp", "id * 1000 AS ts_us", "id AS ok", "concat('M', id % 2) AS merchant_id", "concat('D', id div 4) AS device_fingerprint", "1.0D AS declined")
+    began = time.time()
+    r = {x["ok"]: x["related"] for x in related.related_counts(tx, "device_fingerprint", 1000).where(f"ok >= {n - 4}").collect()}
+    # a device has four rows in turn at both merchants, and counts at a merchant from its second row on
+    assert r == {n - 4: n // 4 - 1, n - 3: n // 4 - 1, n - 2: n // 4, n - 1: n // 4}
+    h = causal.history(tx, "merchant", (1000,), ("declined",)).where(f"ok = {n - 1}").first()
+    assert h["n_1000"] == h["sum_declined_1000"] == n // 2 - 1
+    assert time.time() - began < 60
