@@ -38,6 +38,13 @@ def test_audits_cover_every_declared_feature(spark):
     assert len(q["feature_table"](spark, SF).columns) == 157
 
 
+def test_observed_counts_distinct_values(spark):
+    df = spark.createDataFrame([("a", 1.0, 3, None), ("b", 1.0, 4, None), ("c", -0.0, 5, None), ("d", 0.0, None, None)], "transaction_id string, x double, y long, z double")
+    got = {r["name"]: r for r in features.observed(df).collect()}
+    assert {n: (r["n"], r["n_null"], r["min"], r["max"], r["n_unique"]) for n, r in got.items()} == {"x": (4, 0, 0.0, 1.0, 2), "y": (4, 1, 3.0, 5.0, 3), "z": (4, 4, None, None, 0)}
+    assert {(r["name"], r["n"], r["n_unique"]) for r in features.observed(df.limit(0)).collect()} == {(n, 0, 0) for n in "xyz"}
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
