@@ -6,10 +6,12 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skein.operators import features
 from skein.plans.config import FIXTURE
+from skein.plans.durable import durable
 from tools.compare import normal
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +47,13 @@ def test_observed_counts_distinct_values(spark):
     assert {(r["name"], r["n"], r["n_unique"]) for r in features.observed(df.limit(0)).collect()} == {(n, 0, 0) for n in "xyz"}
 
 
+def test_packed_tables_are_not_broadcast(spark):
+    """Two million rows in a few MB of files take over 10 MB at the driver."""
+    t = durable(spark.range(2_000_000).selectExpr("id DIV 2 AS id", "1 AS x").coalesce(1), "packed")
+    plan = t.join(t.select("id", F.col("x").alias("y")), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
